@@ -159,29 +159,45 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     names = [id_col, *keep, "n_words", "n_hit", "items", "longest"]
 
     def run(batches):
-        held, words, n = [], [], 0
-
-        def judged():
-            made = judge_shard(words, blocks, window)
-            cols = pa.Table.from_batches(held).combine_chunks().to_batches()[0].columns[:-1]
+        for whole, made in shards(batches, rows_at, blocks, window):
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
-            return pa.RecordBatch.from_arrays([*cols, *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=names)
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                b = batch.slice(at, 128)
-                held.append(b)
-                words += [words_of(t) for t in b.column(b.num_columns - 1).to_pylist()]
-                n += sum(map(len, words[-b.num_rows :]))
-                if n >= SHARD_WORDS:
-                    yield judged()
-                    held, words, n = [], [], 0
-        if held:
-            yield judged()
+            yield pa.RecordBatch.from_arrays([*whole.columns[:-1], *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=names)
 
+    rows_at = len(keep) + 1
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, longest long")
 
 
+def shards(batches, at: int, blocks: list[str], window: int):
+    """The rows of each shard in one batch, whose column ``at`` is the text, and what was found in them."""
+    held, words, n = [], [], 0
+
+    def judged():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0], judge_shard(words, blocks, window)
+
+    for batch in batches:
+        for i in range(0, batch.num_rows, 128):
+            b = batch.slice(i, 128)
+            held.append(b)
+            words += [words_of(t) for t in b.column(at).to_pylist()]
+            n += sum(map(len, words[-b.num_rows :]))
+            if n >= SHARD_WORDS:
+                yield judged()
+                held, words, n = [], [], 0
+    if held:
+        yield judged()
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they were, in which no window occurs."""
+    blocks, at = prepare(benchmark), docs.columns.index(text_col)
+
+    def run(batches):
+        for whole, made in shards(batches, at, blocks, window):
+            yield whole.filter(pa.array([m[1] == 0 for m in made]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(items).encode()).hexdigest()

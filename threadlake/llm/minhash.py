@@ -210,3 +210,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     every = sigs.select("id", "n_shingles", "set_hash").join(reps, "set_hash", "left").join(final, "rep", "left")
     component = F.coalesce("class", "rep", "id")
     return every.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they were, that are the smallest identifier of their component; rows without one stay."""
+    spark = docs.sparkSession
+    gone = written(spark, near_duplicates(docs, n, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")

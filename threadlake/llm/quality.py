@@ -155,3 +155,16 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
+
+
+def accepted(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they were, whose score is at least 0.5."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                b = batch.slice(i, ROWS)
+                yield b.filter(pa.array(dots(b.column(at).to_pylist(), shared.value) >= 0))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ _codecs: dict[str, ChunkCodec] = {}
 
 
 class ChunkCodec:
-    """Distinct chunk -> (ids, ids as text, decoded text)."""
+    """Distinct chunk -> (ids as text, how many, decoded text, ids as 32-bit bytes)."""
 
     def __init__(self, model: str):
         import sentencepiece
@@ -42,8 +43,7 @@ class ChunkCodec:
         if self.sp.decode(self.sp.encode(probe)) != probe or not self.sp.id_to_piece(self.sp.encode("a")[0]).startswith(MARK):
             raise ValueError("the model normalises texts: chunks would not be texts")
         self.lines = not any("\n" in p for p in pieces)
-        self.bare = self.sp.encode("a")[0]
-        self.table: dict[str, tuple[str, int, str]] = {}
+        self.table: dict[str, tuple[str, int, str, bytes]] = {}
 
     def chunks(self, text: str) -> list[str]:
         """The marked words, whose concatenation is the text after a leading marker."""
@@ -76,21 +76,22 @@ class ChunkCodec:
             return cut
         return out
 
-    def segment(self, chunk: str) -> list[int]:
-        """The ids of one chunk. The library puts a marker before every text: one is taken off, or a leading line feed shields it."""
-        if chunk.startswith(MARK):
-            return self.sp.encode(chunk[1:].replace(MARK, " ")) if len(chunk) > 1 else [self.sp.piece_to_id(MARK)]
-        ids = self.sp.encode("\n" + chunk)
-        return ids[len(self.sp.encode("\n")) :]
-
-    def learn(self, new: set[str]) -> None:
-        table = self.table
-        for c in new:
-            ids = self.segment(c)
-            text = (" " + self.sp.decode(ids)) if c.startswith(MARK) else self.sp.decode(ids)
-            table[c] = (",".join(map(str, ids)), len(ids), text)
-
-    def encode(self, texts: list[str | None]) -> list[list[tuple[str, int, str]]]:
+    def learn(self, new: list[str]) -> None:
+        """Segments the chunks at one go. The library puts a marker before every text: one is taken off, or a leading line feed shields it."""
+        marked = [c for c in new if c.startswith(MARK) and len(c) > 1]
+        inner = [c for c in new if not c.startswith(MARK)]
+        ids = self.sp.encode([c[1:].replace(MARK, " ") for c in marked], num_threads=1) if marked else []
+        shield = len(self.sp.encode("\n"))
+        ids += [x[shield:] for x in self.sp.encode(["\n" + c for c in inner], num_threads=1)] if inner else []
+        chunks = marked + inner
+        if MARK in new:
+            chunks.append(MARK)
+            ids.append([self.sp.piece_to_id(MARK)])
+        texts = self.sp.decode(ids, num_threads=1) if ids else []
+        for c, x, t in zip(chunks, ids, texts, strict=True):
+            self.table[c] = (",".join(map(str, x)), len(x), " " + t if c[0] == MARK else t, np.array(x, np.int32).tobytes())
+
+    def encode(self, texts: list[str | None]) -> list[list[tuple[str, int, str, bytes]]]:
         """For each text its table entries in order."""
         cut = [self.chunks(t or "") for t in texts]
         if len(self.table) > TABLE:
@@ -98,7 +99,7 @@ class ChunkCodec:
         new: set[str] = set()
         for c in cut:
             new.update(c)
-        self.learn(new.difference(self.table))
+        self.learn(list(new.difference(self.table)))
         get = self.table.__getitem__
         return [list(map(get, c)) for c in cut]
 
@@ -126,7 +127,9 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
                 if digests:
                     cols += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in y]) for y in (joined, decoded)]
                 if ids:
-                    cols += [pa.array([[int(i) for i in j.split(",")] if j else [] for j in joined], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    ends = np.cumsum([0] + [sum([e[1] for e in f]) for f in found])
+                    flat = np.frombuffer(b"".join([e[3] for f in found for e in f]), np.int32)
+                    cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = rows.schema[id_col].dataType.simpleString()
