@@ -1,4 +1,6 @@
 """The catalogue: every query by its stable name, with the SQL it must equal."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import search_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
