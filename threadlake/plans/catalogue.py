@@ -1,6 +1,6 @@
 """The catalogue: every query by its stable name, with the SQL it must equal."""
 
-from . import search_queries  # noqa: F401
+from . import fact_queries, people_queries, search_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

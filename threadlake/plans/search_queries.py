@@ -125,7 +125,14 @@ def search_variants_weighted(spark, sf):
 
 
 CHAT = "WITH m AS (SELECT *, role = 'assistant' AS sent, role = 'user' AS received FROM conversations) "
-SENT, RECEIVED = F.col("role") == "assistant", F.col("role") == "user"
+
+
+def sent():
+    return F.col("role") == "assistant"
+
+
+def received():
+    return F.col("role") == "user"
 
 
 @query("SELECT conv_id, arg_min(text, turn) FILTER (length(trim(coalesce(text, ''))) > 0) AS subject, arg_max(text, turn) AS snippet, count(*) AS messages, count(DISTINCT role) AS senders, max(turn) AS last_seq FROM conversations GROUP BY conv_id")
@@ -139,7 +146,7 @@ def thread_len_between(spark, sf):
 
 
 def states(spark, sf):
-    return T.reply_states(load(spark, sf, "conversations"), "conv_id", "turn", SENT, RECEIVED)
+    return T.reply_states(load(spark, sf, "conversations"), "conv_id", "turn", sent(), received())
 
 
 @query(CHAT + "SELECT conv_id, turn FROM m a WHERE received AND NOT EXISTS (SELECT 1 FROM m b WHERE b.conv_id = a.conv_id AND b.sent AND b.turn > a.turn)")
@@ -170,7 +177,7 @@ WAITS = (
 
 @query(WAITS + "SELECT conv_id, received_at, sent_at, sent_at - received_at AS wait FROM w WHERE sent_at > received_at")
 def reply_waits(spark, sf):
-    return T.waits(load(spark, sf, "conversations"), "conv_id", "turn", SENT, RECEIVED)
+    return T.waits(load(spark, sf, "conversations"), "conv_id", "turn", sent(), received())
 
 
 @query(WAITS + ", r AS (SELECT sent_at - received_at AS wait, row_number() OVER (ORDER BY sent_at - received_at) AS k, count(*) OVER () AS n FROM w WHERE sent_at > received_at) SELECT wait AS median FROM r WHERE k = n // 2 + 1")
@@ -190,4 +197,4 @@ def thread_page_keyset(spark, sf):
 )
 def view_membership(spark, sf):
     m = load(spark, sf, "conversations")
-    return T.membership(m, "conv_id", "turn", {"inbox": RECEIVED, "sent": SENT, "all": F.lit(True)}, F.coalesce(F.length("text") > 500, F.lit(False)))
+    return T.membership(m, "conv_id", "turn", {"inbox": received(), "sent": sent(), "all": F.lit(True)}, F.coalesce(F.length("text") > 500, F.lit(False)))
