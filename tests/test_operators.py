@@ -30,7 +30,7 @@ def test_negation_is_two_valued(spark):
     assert [r[0] for r in rows.select(X.negated(F.col("b"))).collect()] == [True, False, True]
 
 
-@pytest.mark.parametrize(("number", "ok"), [("9400111899223197428490", True), ("9400111899223197428491", False)])
+@pytest.mark.parametrize(("number", "ok"), [("9400111899223197428497", True), ("9400111899223197428491", False)])
 def test_mod10(spark, number, ok):
     assert one(spark, X.mod10_ok, number) is ok
 

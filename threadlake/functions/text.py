@@ -111,7 +111,7 @@ def amounts(text: Column) -> Column:
 
 
 def digits(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c.cast("int"))
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: c.try_cast("int"))
 
 
 def mod10_ok(number: Column) -> Column:
@@ -126,7 +126,7 @@ def s10_ok(number: Column) -> Column:
     d = digits(F.substring(number, 3, 9))
     total = F.aggregate(F.zip_with(F.slice(d, 1, 8), F.array(*[F.lit(w) for w in (8, 6, 4, 2, 3, 5, 9, 7)]), lambda x, w: x * w), F.lit(0), lambda a, x: a + x)
     check = F.lit(11) - total % 11
-    return number.rlike(r"^[A-Z]{2}[0-9]{9}[A-Z]{2}$") & (F.when(check == 10, 0).when(check == 11, 5).otherwise(check) == F.get(d, F.lit(8)))
+    return F.coalesce(number.rlike(r"^[A-Z]{2}[0-9]{9}[A-Z]{2}$"), F.lit(False)) & (F.when(check == 10, 0).when(check == 11, 5).otherwise(check) == F.get(d, F.lit(8)))
 
 
 def edits1(word: str, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> list[str]:
