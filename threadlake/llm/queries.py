@@ -66,7 +66,6 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest").alias("longest_match"),
     )
 
 
@@ -87,4 +86,50 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, strlen(payload) AS n, sha1(payload) AS hex FROM p),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS last FROM d),
+        b AS (SELECT *, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(hex, i + 1, 1)) - 1) AS nib FROM g),
+        t AS (SELECT *, list_transform(range(160), lambda i: (nib[i // 4 + 1] >> (3 - i % 4)) & 1) AS bit FROM b)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+            array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                (bit[5 * k + 1] * 16 + bit[5 * k + 2] * 8 + bit[5 * k + 3] * 4 + bit[5 * k + 4] * 2 + bit[5 * k + 5] + 1)::BIGINT, 1)), '') AS payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM t""",
+    "op8_near_duplicates": """
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN array_to_string(ws, ' ') ELSE ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] END AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT a, b FROM m JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
+        ab AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+        r AS (SELECT a AS id, a AS reach FROM ab UNION SELECT r.id, ab.b FROM r JOIN ab ON ab.a = r.reach),
+        c AS (SELECT id, min(reach) AS c FROM r GROUP BY id)
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = d.doc_id""",
+    "op9_decontamination": """
+        WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+        d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents, low),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark, low),
+        bp AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS p FROM b WHERE len(ws) > 0),
+        w AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(ws, p, p + n - 1), ' ') AS k FROM bp),
+        dp AS (SELECT doc_id, ws, z.n, unnest(range(1, len(ws) - z.n + 2)) AS p FROM d, (SELECT DISTINCT n FROM w) z WHERE len(ws) >= z.n),
+        h AS (SELECT doc_id, item_id, p, x.n FROM (SELECT doc_id, n, p, array_to_string(list_slice(ws, p, p + n - 1), ' ') AS k FROM dp) x JOIN w USING (n, k)),
+        hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS q FROM h) GROUP BY doc_id),
+        it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM h GROUP BY doc_id)
+        SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op10_url_filter": """
+        WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+        p AS (SELECT page_id, translate(regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            regexp_extract(u, '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM u),
+        rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'),
+            ('listed', 'ads.example.net', '/'), ('listed', 'tracker.example.net', '/'), ('listed', 'spam.example.com', '/')) AS r(v, h, q)),
+        f AS (SELECT page_id, v, h || q AS rule FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)),
+        best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM f WHERE v <> 'listed' GROUP BY page_id)
+        SELECT page_id, host, path, rule, coalesce(v, CASE WHEN page_id IN (SELECT page_id FROM f WHERE v = 'listed') THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN best USING (page_id)""",
+}
