@@ -159,3 +159,47 @@ def test_entry_has_a_schema(spark):
 
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "score"] and df.count() > 0
+
+
+@pytest.mark.parametrize(("check", "number", "ok"), [(X.ups_ok, "1Z999AA10123456784", True), (X.ups_ok, "1Z999AA10123456783", False), (X.ups_ok, None, False), (X.dhl10_ok, "1234567891", True), (X.dhl10_ok, "1234567890", False), (X.fedex12_ok, "12345678901x", False)])
+def test_tracking_numbers(spark, check, number, ok):
+    assert one(spark, check, number) is ok
+
+
+def test_codes_and_dates(spark):
+    assert one(spark, X.codes, "Your code is 482913. Call 12345") == "482913"
+    assert one(spark, X.codes, "room 4829") is None
+    assert one(spark, X.iso_dates, "on 2026-02-28 and 2026-02-30") == [datetime.date(2026, 2, 28)]
+
+
+def test_hash_embedding_is_bag_of_words(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "a"]), (3, []), (4, None)], "id long, t array<string>")
+    got = {r["id"]: r["v"] for r in V.hash_embedded(rows, "t", "v", 16).collect()}
+    assert got[1] == got[2] and got[3] == got[4] == [0.0] * 16
+    assert V.fnv1a(b"a") == 0xAF63DC4C8601EC8C
+
+
+def test_randomization(spark):
+    rows = spark.createDataFrame([("x", 1.0, 0.0)] * 12 + [("y", 1.0, 0.0), ("y", 0.0, 1.0)], "g string, a double, b double")
+    got = {r["g"]: r for r in E.randomization_test(rows, "g", "a", "b", 2000).collect()}
+    assert got["x"]["p"] < 0.01 and got["y"]["p"] == 1.0 and got["x"]["difference"] == 1.0
+
+
+def test_sweep_and_fusion(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "id long, s string")
+    b = spark.createDataFrame([(2, "y"), (3, "q"), (4, "w")], "id long, s string")
+    assert {r["id"]: r["action"] for r in S.sweep(a, b, "id", "s").collect()} == {1: "add", 3: "replace", 4: "delete"}
+    kw, sem = spark.createDataFrame([(1, 1.0)], "id long, score double"), spark.createDataFrame([(1, 0.5), (2, 1.0)], "id long, score double")
+    assert {r["id"]: r["score"] for r in S.fused(kw, sem, "id", 0.25).collect()} == {1: 0.875, 2: 0.25}
+
+
+def test_receipts_of_old_messages_lose_their_bodies(spark):
+    m = spark.createDataFrame([(1, "2020-01-01", "x"), (2, "2024-01-01", "y"), (3, None, "z")], "id long, d string, body string").withColumn("d", F.col("d").cast("timestamp"))
+    assert {r["id"]: r["body"] for r in mail.without_old_bodies(m, "d", "2023-01-01", ["body"]).collect()} == {1: None, 2: "y", 3: "z"}
+
+
+def test_trec_run_and_envelope(spark, tmp_path):
+    run = spark.createDataFrame([("q1", "d1", 1, 0.5)], "query string, doc string, rank int, score double")
+    mail.write_trec_run(run, str(tmp_path / "run"), "t")
+    assert [r[0] for r in spark.read.text(str(tmp_path / "run")).collect()] == ["q1 Q0 d1 1 0.500000 t"]
+    assert mail.envelopes(run.select("doc"), "hits").first()["value"] == '{"version":1,"kind":"hits","data":{"doc":"d1"}}'

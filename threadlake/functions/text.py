@@ -135,3 +135,57 @@ def edits1(word: str, alphabet: str = "abcdefghijklmnopqrstuvwxyz") -> list[str]
     made = {a + b[1:] for a, b in cut if b} | {a + b[1] + b[0] + b[2:] for a, b in cut if len(b) > 1}
     made |= {a + c + b[1:] for a, b in cut if b for c in alphabet} | {a + c + b for a, b in cut for c in alphabet}
     return sorted(made - {word})
+
+
+def weighted_sum(d: Column, weights: tuple[int, ...]) -> Column:
+    """Sum of digits times the weights, which repeat."""
+    w = F.array(*[F.lit(x) for x in weights])
+    return F.aggregate(F.transform(d, lambda x, i: x * F.get(w, i % len(weights))), F.lit(0), lambda a, x: a + x)
+
+
+def fedex12_ok(number: Column) -> Column:
+    """Eleven digits weighted 1, 3, 7 from the right; the sum mod 11 mod 10 is the twelfth."""
+    d = digits(number)
+    total = weighted_sum(F.reverse(F.slice(d, 1, 11)), (1, 3, 7))
+    return F.coalesce(number.rlike(r"^[0-9]{12}$") & (total % 11 % 10 == F.get(d, F.lit(11))), F.lit(False))
+
+
+def dhl10_ok(number: Column) -> Column:
+    """The first nine digits mod 7 are the tenth."""
+    nine = F.substring(number, 1, 9).try_cast("bigint")
+    return F.coalesce(number.rlike(r"^[0-9]{10}$") & (nine % 7 == F.substring(number, 10, 1).try_cast("int")), F.lit(False))
+
+
+def ups_ok(number: Column) -> Column:
+    """1Z and 15 characters and a check digit: letters count (place after A + 2) mod 10, every second one doubled."""
+    body = F.filter(F.split(F.substring(number, 3, 15), ""), lambda c: c != "")
+    value = F.transform(body, lambda c, i: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise((F.ascii(c) - 63) % 10) * F.when(i % 2 == 1, 2).otherwise(1))
+    total = F.aggregate(value, F.lit(0), lambda a, x: a + x)
+    return F.coalesce(number.rlike(r"^1Z[0-9A-Z]{15}[0-9]$") & ((10 - total % 10) % 10 == F.substring(number, 18, 1).try_cast("int")), F.lit(False))
+
+
+def codes(text: Column) -> Column:
+    """One-time codes: four to eight digits near a word that says so; the first counts."""
+    near = F.regexp_extract(F.coalesce(text, F.lit("")), r"(?i)(?:code|passcode|otp|pin)\b[^0-9\n]{0,40}\b([0-9]{4,8})\b", 1)
+    return F.nullif(near, F.lit(""))
+
+
+def receipt_total(text: Column) -> Column:
+    """The amount on the most telling total line: grand total and charged before total before amount due; the later line wins ties. Subtotals do not count."""
+    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\n")
+    rank = lambda x: F.when(x.rlike(r"subtotal|sub-total|savings|points"), 0).when(x.rlike(r"grand total|order total|trip total|charged|\bpaid\b"), 5).when(x.rlike(r"refunded|total amount"), 4).when(x.rlike(r"\btotal\b"), 3).when(x.rlike(r"(amount|balance) due"), 2).otherwise(0)
+    found = F.transform(lines, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("line"), F.try_element_at(amounts(x), F.lit(-1)).alias("amount")))
+    fit = F.filter(found, lambda f: (f["rank"] > 0) & f["amount"].isNotNull())
+    return F.when(F.size(fit) > 0, F.array_max(fit)["amount"])
+
+
+def snippet(toks: Column, word: str, size: int = 32) -> Column:
+    """The ``size`` tokens around the first place of a word, which is marked; nothing if it does not occur."""
+    at = F.array_position(toks, word)
+    start = F.greatest(F.least(at - size // 2, F.size(toks) - size + 1), F.lit(1))
+    return F.when(at > 0, F.array_join(F.transform(F.slice(toks, start.cast("int"), size), lambda t: F.when(t == word, F.concat(F.lit("<mark>"), t, F.lit("</mark>"))).otherwise(t)), " "))
+
+
+def iso_dates(text: Column) -> Column:
+    """Days written as 2026-10-02 that exist."""
+    return F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b([0-9]{4}-[0-9]{2}-[0-9]{2})\b"), F.lit(1)), lambda d: d.try_cast("date")), lambda d: d.isNotNull())

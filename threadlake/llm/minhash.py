@@ -10,8 +10,9 @@ Equal sets are folded into one representative first. Then, for buckets of two or
 1. every member is compared with the bucket's smallest representative, on full sets, and the links
    give components;
 2. what is left are pairs of a bucket whose components still differ. Members of such buckets are
-   compared in blocks of ``BLOCK`` by ``BLOCK``, a pair in the first bucket it shares, and only while
-   its components differ; links are again confirmed on full sets.
+   compared block by block (at most ``BLOCK_ROWS`` members and about ``BLOCK_SHINGLES`` shingles in
+   each), a pair in the first bucket it shares, and only while its components differ; links are again
+   confirmed on full sets.
 So components are those of all links, while no pair within a component need be looked at twice, no
 list of pairs of a group is made, and no task holds a bucket: a large one is cut into blocks.
 
@@ -33,7 +34,7 @@ from .common import written
 
 PERMUTATIONS, ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-BLOCK = 512
+BLOCK_SHINGLES, BLOCK_ROWS = 2_000_000, 4096
 BROADCAST_IDS = 1_000_000
 TABLE = 250_000
 
@@ -180,9 +181,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     sigs = written(spark, signatures(docs, n, id_col, text_col), "signatures")
     reps = sigs.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"))
     reps = written(spark, reps, "representatives")
-    own = sigs.join(reps, (sigs["set_hash"] == reps["set_hash"]) & (sigs["id"] == reps["rep"])).select("id", "bands").dropDuplicates(["id", "bands"])
+    own = sigs.join(reps, (sigs["set_hash"] == reps["set_hash"]) & (sigs["id"] == reps["rep"])).select("id", "n_shingles", "bands").dropDuplicates(["id", "bands"])
     own = written(spark, own, "bands")
-    rows = own.select("id", F.posexplode("bands").alias("band", "key"))
+    rows = own.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = written(spark, rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     placed = written(spark, rows.join(buckets, "key"), "placed")
     pairs = written(spark, placed.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
@@ -194,11 +195,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     comp = components(spark, links)
 
     labelled = placed.where("n > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi").select("key", "members")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    left = labelled.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
+    left = labelled.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", "band", "id", "comp", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
-    left = left.join(own, "id").join(grams, "id")
+    left = left.join(own.select("id", "bands"), "id").join(grams, "id")
     more = written(spark, left.groupBy("key", "i", "j").applyInPandas(compare_block(percent), "a long, b long"), "links")
     named = lambda side: comp.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
     between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")

@@ -25,6 +25,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, fs_of, range_cuts, shared_dir, written
 
-TABLE = 250_000
+TABLE = 1_000_000
+MARKS = ".,;:!?*%&$#|"
 BLOCK = 1 << 18
 MAGIC = b"SSTABLE1"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")  # index at, index bytes, filter at, filter bytes, documents, ids, bytes of an id, hashes
@@ -59,22 +61,43 @@ class WordTable:
         whole, apart = self.encode([probe])[0], b"".join(self.encode(probe.replace("\n", " ").split(" ")))
         if whole != apart:
             raise ValueError("the tokenizer keeps white space: words are not independent")
+        if self.encode(["ab.cd!!"])[0] != b"".join(self.encode(["ab", ".", "cd", "!!"])):
+            raise ValueError("the tokenizer joins marks with letters")
+        self.lowers = self.encode(["AbÉ"]) == self.encode(["abé"])
         self.table: dict[str, bytes] = {}
         self.vocabulary = self.tok.get_vocab_size()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, text: str | None) -> list[str]:
+        """The text at its spaces and line feeds; already lower-cased where that is the normaliser's own lower case: Latin-1 without a special token."""
+        text = (text or "").replace("\n", " ")
+        if self.lowers and "<|" not in text:
+            try:
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+        return text.split(" ")
 
     def texts(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.table) > TABLE:
-            self.table.clear()
+        cut = [self.words(t) for t in texts]
+        table = self.table
+        if len(table) > TABLE:
+            table.clear()
         new: set[str] = set()
         for c in cut:
             new.update(c)
-        words = list(new.difference(self.table))
-        self.table.update(zip(words, self.encode(words), strict=True))
-        get = self.table.__getitem__
+        # the splitter parts letters from the marks behind them, so both are encoded apart and less often
+        parted = {w: (base, w[len(base) :]) for w in new.difference(table) if (base := w.rstrip(MARKS)) is not w and base[-1:].lower().isalpha() and "<|" not in w}
+        ask = {w for w in new.difference(table) if w not in parted}
+        for pair in parted.values():
+            ask.update(pair)
+        words = list(ask.difference(table))
+        table.update(zip(words, self.encode(words), strict=True))
+        table.update((w, table[base] + table[tail]) for w, (base, tail) in parted.items())
+        get = table.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 

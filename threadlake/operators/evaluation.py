@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,3 +54,18 @@ def run_diff(a: DataFrame, b: DataFrame, query: str = "query", doc: str = "doc")
     """What two runs rank differently; a missing rank is null."""
     both = a.select(query, doc, F.col("rank").alias("rank_a")).join(b.select(query, doc, F.col("rank").alias("rank_b")), [query, doc], "full")
     return both.where(~F.col("rank_a").eqNullSafe(F.col("rank_b")))
+
+
+def randomization_test(pairs: DataFrame, group: str, a: str, b: str, rounds: int = 10_000, seed: int = 1) -> DataFrame:
+    """Two-sided paired randomization: how often random signs give the differences a mean at least as large. A group is the queries of one comparison."""
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        d = (pdf[a] - pdf[b]).to_numpy(np.float64)
+        rng, hits = np.random.default_rng(seed), 0
+        for at in range(0, rounds, 500):
+            signs = rng.integers(0, 2, (min(500, rounds - at), len(d))) * 2 - 1
+            hits += int((np.abs((signs * d).mean(1)) >= abs(d.mean()) - 1e-12).sum())
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "difference": [d.mean()], "p": [(hits + 1) / (rounds + 1)]})
+
+    kind = pairs.schema[group].dataType.simpleString()
+    return pairs.groupBy(group).applyInPandas(test, f"{group} {kind}, difference double, p double")

@@ -80,3 +80,29 @@ def minmax(df: DataFrame, score: str, out: str) -> DataFrame:
     lo, hi = df.agg(F.min(score), F.max(score)).first()
     scaled = F.lit(1.0) if lo is None or hi == lo else (F.col(score) - F.lit(lo)) / F.lit(hi - lo)
     return df.withColumn(out, scaled)
+
+
+def soft_date_fit(age: Column, low: float, high: float, weight: float = 0.3) -> Column:
+    """Full weight inside the range of ages, outside a bell whose width is half the range, a week at least."""
+    sigma = max((high - low) / 2, 7.0)
+    off = F.greatest(F.lit(low) - age, age - F.lit(high), F.lit(0.0))
+    return F.lit(weight) * F.exp(-(off * off) / (2 * sigma * sigma))
+
+
+def prior(recency_fit: Column, starred: Column, unread: Column, sent_to: Column, named: Column) -> Column:
+    """What speaks for a message before any word is looked at."""
+    count = F.least(F.lit(0.12), F.log1p(sent_to) * 0.03)
+    return recency_fit + F.when(starred, 0.10).otherwise(0.0) + F.when(unread, 0.03).otherwise(0.0) + count + F.when(named, 0.30).otherwise(0.0)
+
+
+def fused(keyword: DataFrame, semantic: DataFrame, ident: str, alpha: float) -> DataFrame:
+    """(1 - alpha) of the keyword score and alpha of the semantic one; what only one list has gets 0 from the other."""
+    both = keyword.select(ident, F.col("score").alias("kw")).join(semantic.select(ident, F.col("score").alias("sem")), ident, "full")
+    return both.select(ident, ((1 - alpha) * F.coalesce("kw", F.lit(0.0)) + alpha * F.coalesce("sem", F.lit(0.0))).alias("score"))
+
+
+def sweep(current: DataFrame, indexed: DataFrame, ident: str, signature: str) -> DataFrame:
+    """What an index must do to follow its table: add, replace or delete."""
+    both = current.select(ident, F.col(signature).alias("now")).join(indexed.select(ident, F.col(signature).alias("then")), ident, "full")
+    action = F.when(F.col("then").isNull(), "add").when(F.col("now").isNull(), "delete").when(F.col("now") != F.col("then"), "replace")
+    return both.select(ident, action.alias("action")).where("action is not null")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,3 +41,29 @@ def nearest(vectors: DataFrame, query: list[float], k: int, ident: str, column:
 def best_chunk(scored: DataFrame, doc: str, ident: str, k: int) -> DataFrame:
     """The best chunk of each document, then the best documents."""
     return scored.groupBy(doc).agg(F.max("score").alias("score"), F.min_by(ident, F.struct(-F.col("score"), F.col(ident))).alias(ident)).orderBy(F.desc("score"), F.asc(doc)).limit(k)
+
+
+def fnv1a(data: bytes) -> int:
+    h = 0xCBF29CE484222325
+    for b in data:
+        h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+    return h
+
+
+def hash_embedded(rows: DataFrame, toks: str, out: str, dimension: int = 64) -> DataFrame:
+    """Bag of words by hashing: each word adds 1 or -1 to one component; scaled to unit length. Needs no model."""
+
+    @F.pandas_udf("array<float>")
+    def embed(column: pd.Series) -> pd.Series:
+        seen: dict[str, int] = {}
+        made = []
+        for words in column:
+            v = np.zeros(dimension, np.float64)
+            for w in words if words is not None else ():
+                if w not in seen:
+                    seen[w] = fnv1a(w.encode())
+                v[seen[w] % dimension] += 1 if seen[w] >> 63 else -1
+            made.append((v / n if (n := np.linalg.norm(v)) else v).astype(np.float32))
+        return pd.Series(made)
+
+    return rows.withColumn(out, embed(toks))
