@@ -78,4 +78,5 @@ def bucket_of(key: Column, cuts: list[int]) -> Column:
     nested = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups] + [F.array().cast("array<bigint>")])
     below = lambda a: F.size(F.filter(a, lambda c: c < key))
     g = below(lasts)
-    return (g * F.lit(step) + below(F.get(nested, g))).cast("int")
+    # the last group may be short: past it, all cuts lie below
+    return F.least(g * F.lit(step) + below(F.get(nested, g)), F.lit(len(cuts))).cast("int")
