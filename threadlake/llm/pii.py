@@ -6,8 +6,8 @@ keep offsets: (1) homoglyphs and zero-width characters, (2) digits spelled as wo
 a span found in the final text is carried back stage by stage to source characters. Such a span is
 added unless a plain span of its kind covers it; plain spans always stay.
 
-A bare ``at`` becomes @ only together with a bare or bracketed ``dot`` in what follows; in brackets
-it always does. A plain match that fails its check (digits, Luhn, 255) is dropped, not retried.
+A bare ``at`` becomes @ only together with a bare or bracketed ``dot`` in what follows and if the last
+label is one of a domain (``look at the dot on`` is prose); in brackets it always does. A plain match that fails its check (digits, Luhn, 255) is dropped, not retried.
 Null and empty texts have no spans. Repeated rows get equal results, an empty table an empty result;
 only the named columns are read.
 """
@@ -91,6 +91,9 @@ _AT = re.compile(rf"\s*{_OPEN}(?:at|@|arroba|ät){_SHUT}\s*", re.I)
 _DOT = re.compile(rf"\s*{_OPEN}(?:dot|\.|punkt|point|punto){_SHUT}\s*", re.I)
 _BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+", re.I)
 _INNER = re.compile(r"\s+(at|dot)\s+|\s*@\s*", re.I)
+#: Last labels that a name spelled with bare words may have; two-letter ones are taken unless they are English words.
+LABELS = frozenset("com org net edu gov int mil info biz name pro app dev xyz online site shop tech cloud blog museum".split())
+WORDS2 = frozenset("ad am an as at be by do go he hi if in is it me my no of oh ok on or so to up us we".split())
 
 
 @lru_cache(1)
@@ -135,6 +138,12 @@ class Rewrite:
         return s, e
 
 
+def likely(m: re.Match) -> bool:
+    """Whether a disguise of bare words is a name: after a written @ any last label will do, after the word ``at`` it must be one of a domain, no common word."""
+    last = m.group().rsplit(None, 1)[-1].lower()
+    return "@" in m["at"] or last in LABELS or len(last) == 2 and last.isalpha() and last not in WORDS2
+
+
 def stages(text: str):
     """The transducers that have something to do, one after another."""
     if not text.isascii():
@@ -153,7 +162,7 @@ def stages(text: str):
     def bare(t: str) -> Rewrite:
         if "dot" not in (low := t.lower()) or not (" at " in low or "@" in t or "\nat" in low or "at\n" in low):
             return Rewrite(t, [])
-        return Rewrite(t, [(m.start() + x.start(), m.start() + x.end(), "." if (x.group(1) or "").lower() == "dot" else "@") for m in _BARE.finditer(t) for x in _INNER.finditer(m.group())])
+        return Rewrite(t, [(m.start() + x.start(), m.start() + x.end(), "." if (x.group(1) or "").lower() == "dot" else "@") for m in _BARE.finditer(t) if likely(m) for x in _INNER.finditer(m.group())])
 
     yield bare
 
