@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from threadlake.llm import decontaminate, language, minhash, pii, quality, queries, sentencepieces, sstable, stages, url_filter, warc, winnow
+from threadlake.llm.common import bucket_of
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", None, "a", "  a  b ", "line\n\ntwo\n", "It's  İ Σ. É! <|endoftext|> ▁x ﬁ ½\t\x00z　 é", "same text here", "same text here", "x" * 5000, "no-space" * 700, "日本語テキスト" * 50, " \n \t"]
@@ -240,6 +241,7 @@ def test_plain_spans_equal_the_patterns():
     [
         ("mail john.doe [at] mail8 [dot] example [dot] com now", "email", "john.doe [at] mail8 [dot] example [dot] com"),
         ("write to john at example dot com, please", "email", "john at example dot com"),
+        ("kontakt: info at firma dot de heute", "email", "info at firma dot de"),
         ("jоhn.42@mail8.example.com here", "email", "jоhn.42@mail8.example.com"),
         ("jo​hn@example.com", "email", "jo​hn@example.com"),
         ("call plus four nine three zero one two three four five six seven ok", "phone", "plus four nine three zero one two three four five six seven"),
@@ -350,7 +352,7 @@ def test_decontamination_equals_brute_force(spark, docs):
     words = ["alpha", "Beta", "gámma", "d3", "e", "f"]
     items = [(1, " ".join(pick.choice(words) for _ in range(25))), (2, "alpha"), (3, "d3, e!"), (4, None), (5, "..."), (6, "e " * 30), (7, "e " * 30)]
     texts = [(i, " ".join(pick.choice(words[: 2 + i % 5]) for _ in range(pick.randrange(120)))) for i in range(60)]
-    texts += [(100, "x " + items[0][1] + " y"), (101, items[0][1].upper()), (102, "e " * 500), (103, None), (104, ""), (105, "--"), (106, items[0][1][:40])]
+    texts += [(100, "x " + items[0][1] + " y"), (101, re.sub("[a-z]+", lambda m: m.group().upper(), items[0][1])), (102, "e " * 500), (103, None), (104, ""), (105, "--"), (106, items[0][1][:40])]
     got = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     rows = {r["doc_id"]: r for r in got.collect()}
     assert {i: (r["n_words"], r["n_hit"], r["items"]) for i, r in rows.items()} == contaminated_brute(texts, items)
@@ -417,3 +419,10 @@ def test_sql_of_the_operators(spark):
         names = [d[0] for d in result.description]
         got = sorted(tuple(str(r[c]) for c in names) for r in df.collect())
         assert set(names) == set(df.columns) and got == sorted(tuple(map(str, r)) for r in result.fetchall()), name
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 31])
+def test_range_buckets_count_the_cuts_below(spark, n):
+    cuts = [10 * i for i in range(1, n + 1)]
+    rows = spark.range(0, 10 * n + 20).select("id", bucket_of(F.col("id"), cuts).alias("b")).collect()
+    assert all(r["b"] == sum(c < r["id"] for c in cuts) for r in rows)
