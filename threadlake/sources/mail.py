@@ -81,7 +81,7 @@ def envelopes(rows: DataFrame, kind: str, version: int = 1) -> DataFrame:
 
 def write_trec_run(run: DataFrame, path: str, tag: str, query: str = "query", doc: str = "doc") -> None:
     """Lines of query, Q0, document, rank, score and tag."""
-    run.select(F.concat_ws(" ", F.col(query), F.lit("Q0"), F.col(doc), F.col("rank"), F.format_number("score", "0.000000"), F.lit(tag)).alias("value")).write.mode("overwrite").text(path)
+    run.select(F.concat_ws(" ", F.col(query), F.lit("Q0"), F.col(doc), F.col("rank"), F.format_string("%.6f", F.col("score").cast("double")), F.lit(tag)).alias("value")).write.mode("overwrite").text(path)
 
 
 def compacted(spark: SparkSession, path: str, to: str, rows_per_file: int = 5_000_000) -> None:
