@@ -259,6 +259,36 @@ def test_clean_texts_have_no_spans():
         assert pii.spans(text) == ([], []), text
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("ask john at example [dot] com now", "john at example [dot] com"),
+        ("john at example.com", "john at example.com"),
+        ("my mail is john at example.com for now", "john at example.com"),
+        ("john.doe at mail.example dot com or so", "john.doe at mail.example dot com"),
+        ("anna at posta dot it", "anna at posta dot it"),
+        ("e-mail anna at firma dot be or call", "anna at firma dot be"),
+        ("ask max7 at firma dot at about it", "max7 at firma dot at"),
+        ("ask bob at mail dot agency dot us about it", "bob at mail dot agency dot us"),
+        ("ask john dot smith at example dot com today", "john dot smith at example dot com"),
+        ("ask john [dot] smith (at) example dot com today", "john [dot] smith (at) example dot com"),
+        ("ask john dot smith@example.com today", "john dot smith@example.com"),
+        ("reach me at john dot smith at example dot com", "john dot smith at example dot com"),
+        ("ask john @ example.com today", "john @ example.com"),
+        ("write to anna at museum dot berlin please", "anna at museum dot berlin"),
+        ("ask john at example dot com.", "john at example dot com"),
+    ],
+)
+def test_mixed_disguises_of_addresses(text, found):
+    assert [(k, text[s:e]) for k, s, e in pii.spans(text)[1] if text[s:e] == found] == [("email", found)]
+    assert pii.redacted(text, pii.spans(text)[1]) == text.replace(found, "[EMAIL]")
+
+
+def test_prose_with_at_and_dots_has_no_addresses():
+    for text in ("More at example.com today", "visit us at www.example.com", "Contact us at example.com", "we met at noon.Then it rained", "opened at 9.30 daily", "look at the dot it made", "He stared at a dot. It moved", "tickets are available at docs.example.org/x", "thanks @user.name!"):
+        assert pii.spans(text) == ([], []), text
+
+
 def test_pii_query_and_redaction(spark, edge, docs):
     for r in queries.op6_pii(spark, SF).join(docs, "doc_id").collect():
         base = plain_brute(r["text"])

@@ -6,8 +6,11 @@ keep offsets: (1) homoglyphs and zero-width characters, (2) digits spelled as wo
 a span found in the final text is carried back stage by stage to source characters. Such a span is
 added unless a plain span of its kind covers it; plain spans always stay.
 
-A bare ``at`` becomes @ only together with a bare or bracketed ``dot`` in what follows and if the last
-label is one of a domain (``look at the dot on`` is prose); in brackets it always does. A plain match that fails its check (digits, Luhn, 255) is dropped, not retried.
+A bare ``at`` becomes @ only with a domain behind it, whose dots may be spelled, bracketed or written, and with a
+local part before it, whose dots may be, too. In brackets it always does. What decides is ``likely``: a bracketed dot, two
+dots that are not all written, a digit or dot in the local part or a word about mail nearby are enough (``look at the dot on``
+is prose); else a domain's last label with spelled dots; with written dots alone (``more at example.com``) the
+address has to stand alone. A plain match that fails its check (digits, Luhn, 255) is dropped, not retried.
 Null and empty texts have no spans. Repeated rows get equal results, an empty table an empty result;
 only the named columns are read.
 """
@@ -89,11 +92,19 @@ _FEW = re.compile(rf"{_WORD}[\s,.-]+{_WORD}[\s,.-]+{_WORD}")
 _OPEN, _SHUT = r"[\[({<]\s*", r"\s*[\])}>]"
 _AT = re.compile(rf"\s*{_OPEN}(?:at|@|arroba|ät){_SHUT}\s*", re.I)
 _DOT = re.compile(rf"\s*{_OPEN}(?:dot|\.|punkt|point|punto){_SHUT}\s*", re.I)
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*\s+dot\s+[A-Za-z0-9-]+", re.I)
-_INNER = re.compile(r"\s+(at|dot)\s+|\s*@\s*", re.I)
-#: Last labels that a name spelled with bare words may have; two-letter ones are taken unless they are English words.
+_SPELLED = re.compile(r"\s+dot\s+", re.I)
+_HEAD = re.compile(r"@|(?<!\S)at(?=\s)", re.I)
+_HOST = re.compile(r"\s*((?!(?:dot|at)\s)[A-Za-z0-9-]++(?:(?:\s+dot\s+|\.)(?!dot\b|at\s+[A-Za-z0-9-]++(?:\s+dot\s|\.[A-Za-z0-9]))[A-Za-z0-9-]++)++)", re.I)
+#: What is written behind the last label with a letter.
+_TAIL = re.compile(r"(?:\.[0-9-]+)+$")
+_CUE = re.compile(r"\b(?:e-?mails?|e-?mailed|mails?|mailto|contact|kontakt|contatto|contacto|correo|courriel|posta|write|reach|inbox|schreib\w*|address|adresse)\b", re.I)
+NEAR = 40
+#: Last labels of a domain that are enough after bare words; two-letter ones are, too, unless they are English words.
 LABELS = frozenset("com org net edu gov int mil info biz name pro app dev xyz online site shop tech cloud blog museum".split())
 WORDS2 = frozenset("ad am an as at be by do go he hi if in is it me my no of oh ok on or so to up us we".split())
+#: Words before ``at`` and before ``dot`` that make prose of it where nothing else speaks for an address.
+BEFORE_AT = frozenset("i me you he him she her it us we they them is are was were be been being am look looks looked looking stare staring point points pointed pointing aim aimed glance glanced here there now online live more find found available visit see read shop buy order watch work works worked working stay met meet and or up down out not only".split())
+BEFORE_DOT = frozenset("a an the this that these those each every any some no one my your his her its our their red blue green black white yellow polka big small little tiny".split())
 
 
 @lru_cache(1)
@@ -138,10 +149,79 @@ class Rewrite:
         return s, e
 
 
-def likely(m: re.Match) -> bool:
-    """Whether a disguise of bare words is a name: after a written @ any last label will do, after the word ``at`` it must be one of a domain, no common word."""
-    last = m.group().rsplit(None, 1)[-1].lower()
-    return "@" in m["at"] or last in LABELS or len(last) == 2 and last.isalpha() and last not in WORDS2
+def local_start(t: str, end: int) -> tuple[int, int]:
+    """Where the local part before ``end`` starts and ends, dots spelled between its pieces included; equal if there is none."""
+
+    def back(at: int, white: bool) -> int:
+        while at and (t[at - 1].isspace() if white else t[at - 1] in _LOCAL):
+            at -= 1
+        return at
+
+    stop = back(end, True)
+    start = back(stop, False)
+    while start < stop and t[max((k := back(start, True)) - 3, 0) : k].lower() == "dot" and k < start:
+        before = back(k - 3, True)
+        piece = back(before, False)
+        if before == k - 3 or piece == before or t[piece:before].lower() in BEFORE_DOT:
+            break
+        start = piece
+    return start, stop
+
+
+def likely(t: str, start: int, stop: int, host: int, end: int, marks: set[int]) -> bool:
+    """Whether t[start:stop], an at and t[host:end] are an address. ``marks``: where a dot was bracketed."""
+    local, name, at = t[start:stop], t[host:end], t[stop:host]
+    if local[-1] in ".-" or local[0] == ".":
+        return False
+    labels = re.split(r"\s+dot\s+|\.", name, flags=re.I)
+    last, dots = labels[-1].lower().rstrip("-"), len(labels) - 1
+    spelled = bool(_SPELLED.search(name))
+    if "@" in at and (spelled or not at[-1].isspace() and not at[0].isspace()):
+        return True
+    if not (last.isalpha() and len(last) > 1 or last.startswith("xn--")):
+        return False
+    if any(host <= k < end for k in marks):
+        return True
+    domain = last in LABELS or last.startswith("xn--") or len(last) == 2 and last not in WORDS2
+    plain_name = bool(re.search(r"[A-Za-z]", local)) and local.lower() not in BEFORE_AT
+    cue = plain_name and bool(_CUE.search(t, max(start - NEAR, 0), stop) or _CUE.search(t, end, end + NEAR))
+    strong = cue or plain_name and bool(re.search(r"[0-9._]|\sdot\s", local, re.I))
+    if spelled:
+        if domain or dots > 1:
+            return True
+        return (strong or plain_name and alone(t, start, end)[1]) and labels[-2].lower() not in BEFORE_DOT and last not in ("the", "and")
+    if not (labels[-1].islower() or labels[-1].isupper()) or labels[0].lower() == "www":
+        return False
+    if "@" in at:
+        return strong or domain and at[0].isspace() and at[-1].isspace()
+    return strong or plain_name and (domain or last in WORDS2) and all(alone(t, start, end))
+
+
+def alone(t: str, start: int, end: int) -> tuple[bool, bool]:
+    """Whether no word of the same phrase stands before and behind."""
+    before, behind = t[max(start - 8, 0) : start].rstrip(" \t"), t[end : end + 8].lstrip(" \t")
+    return not before or not before[-1].isalnum() and before[-1] not in "'’", not behind or not behind[0].isalnum() and behind[0] not in "'’"
+
+
+def spelled_addresses(t: str, marks: set[int]) -> list[tuple[int, int, str]]:
+    """The edits that write the at and the dots of addresses as signs."""
+    found = []
+    for m in _HEAD.finditer(t):
+        if (host := _HOST.match(t, m.end())) and (m.group() == "@" or t[m.end()].isspace()):
+            (start, stop), (left, right) = local_start(t, m.start()), host.span(1)
+            right = left + len(_TAIL.sub("", t[left:right]))
+            if start < stop and likely(t, start, stop, left, right, marks):
+                found.append((start, stop, left, right))
+    out, free = [], 0
+    for k, (start, stop, host, end) in enumerate(found):
+        # in "me at john dot smith at ..." the name belongs to the second at
+        if start < free or t[start:stop].lower() in BEFORE_AT and k + 1 < len(found) and found[k + 1][0] < end:
+            continue
+        dots = [(m.start(), m.end(), ".") for a, b in ((start, stop), (host, end)) for m in _SPELLED.finditer(t, a, b)]
+        if dots or t[stop:host] != "@":
+            out += sorted([*dots, (stop, host, "@")])
+        free = end
+    return out
 
 
 def stages(text: str):
@@ -152,19 +232,18 @@ def stages(text: str):
             yield lambda t: Rewrite(t.translate(table), [(m.start(), m.end(), "") for m in _INVISIBLE.finditer(t)])
     yield lambda t: Rewrite(t, [(m.start(), m.end(), "+" * m.group().lower().startswith("plus") + "".join(DIGITS[w.lower()] for w in re.findall(_WORD, m.group(), re.I))) for m in (_RUN.finditer(t) if _FEW.search(t.lower()) else ())])
 
+    marks: set[int] = set()
+
     def bracketed(t: str) -> Rewrite:
         if not re.search(r"[\[({<]", t):
             return Rewrite(t, [])
-        return Rewrite(t, sorted([(m.start(), m.end(), "@") for m in _AT.finditer(t)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(t)]))
+        edits = sorted([(m.start(), m.end(), "@") for m in _AT.finditer(t)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(t)])
+        r = Rewrite(t, edits)
+        marks.update(r.new[2 * k + 1] for k, e in enumerate(edits) if e[2] == ".")
+        return r
 
     yield bracketed
-
-    def bare(t: str) -> Rewrite:
-        if "dot" not in (low := t.lower()) or not (" at " in low or "@" in t or "\nat" in low or "at\n" in low):
-            return Rewrite(t, [])
-        return Rewrite(t, [(m.start() + x.start(), m.start() + x.end(), "." if (x.group(1) or "").lower() == "dot" else "@") for m in _BARE.finditer(t) if likely(m) for x in _INNER.finditer(m.group())])
-
-    yield bare
+    yield lambda t: Rewrite(t, spelled_addresses(t, marks))
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:
