@@ -284,6 +284,31 @@ def test_mixed_disguises_of_addresses(text, found):
     assert pii.redacted(text, pii.spans(text)[1]) == text.replace(found, "[EMAIL]")
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("host 192 dot 168 dot 1 dot 1 is up", "ip", "192 dot 168 dot 1 dot 1"),
+        ("host one nine two [dot] one six eight [dot] one [dot] one is up", "ip", "one nine two [dot] one six eight [dot] one [dot] one"),
+        ("host ten, one nine two dot one six eight dot one dot one", "ip", "one nine two dot one six eight dot one dot one"),
+        ("host one.two.three.four is up", "ip", "one.two.three.four"),
+        ("host 10.one.2.three is up", "ip", "10.one.2.three"),
+        ("call +49 30 five 5 one 2 three 4 5 six today", "phone", "+49 30 five 5 one 2 three 4 5 six"),
+        ("call plus 49 30 five 5 one 2 three 4 5 six today", "phone", "plus 49 30 five 5 one 2 three 4 5 six"),
+        ("call +four nine  30 1234567 today", "phone", "+four nine  30 1234567"),
+        ("card 4111 1111 1111 one one 1 1 used", "card", "4111 1111 1111 one one 1 1"),
+        ("card four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one used", "card", "four.one.one.one.one.one.one.one.one.one.one.one.one.one.one.one"),
+        ("card ４１１１ １１１１ １１１１ １１１１ one of", "card", "４１１１ １１１１ １１１１ １１１１"),
+    ],
+)
+def test_few_spelled_digits_and_dots(text, kind, found):
+    assert (kind, found) in [(k, text[s:e]) for k, s, e in pii.spans(text)[1]]
+
+
+def test_few_spelled_digits_in_prose():
+    for text in ("one of 2 dots, version 3 dot 1", "in 2019 one two or 3. four", "two dot three dot four", "plus one or two, zero"):
+        assert pii.spans(text) == ([], []), text
+
+
 def test_prose_with_at_and_dots_has_no_addresses():
     for text in ("More at example.com today", "visit us at www.example.com", "Contact us at example.com", "we met at noon.Then it rained", "opened at 9.30 daily", "look at the dot it made", "He stared at a dot. It moved", "tickets are available at docs.example.org/x", "thanks @user.name!"):
         assert pii.spans(text) == ([], []), text

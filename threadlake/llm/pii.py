@@ -1,8 +1,9 @@
 """Personal data, also where it is disguised; spans always refer to the source text.
 
 Plain identifiers are found by fixed patterns. For disguised ones, transducers rewrite the text and
-keep offsets: (1) homoglyphs and zero-width characters, (2) digits spelled as words, in runs,
-(3) disguises of at and dot. Each stage knows for every piece of its output where it came from, so
+keep offsets: (1) homoglyphs and zero-width characters, (2) digits spelled as words, (3) disguises of at and dot. Stage 2
+has two readings, and the spans of both count: every digit word that adjoins a digit, another digit word or a disguised dot, with
+the dots between them kept, and runs of three or more words without what stands between them. Each stage knows for every piece of its output where it came from, so
 a span found in the final text is carried back stage by stage to source characters. Such a span is
 added unless a plain span of its kind covers it; plain spans always stay.
 
@@ -20,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import pyarrow as pa
@@ -89,9 +90,16 @@ DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 _WORD = "(?:" + "|".join(DIGITS) + ")"
 _RUN = re.compile(rf"(?<![a-z])(?:plus[\s-]+(?={_WORD}|[0-9]))?{_WORD}(?:[\s,.-]+{_WORD}){{2,}}(?![a-z])", re.I)
 _FEW = re.compile(rf"{_WORD}[\s,.-]+{_WORD}[\s,.-]+{_WORD}")
+_DIGIT_WORD = re.compile(rf"(?<![a-z]){_WORD}(?![a-z])", re.I)
 _OPEN, _SHUT = r"[\[({<]\s*", r"\s*[\])}>]"
 _AT = re.compile(rf"\s*{_OPEN}(?:at|@|arroba|ät){_SHUT}\s*", re.I)
 _DOT = re.compile(rf"\s*{_OPEN}(?:dot|\.|punkt|point|punto){_SHUT}\s*", re.I)
+_DISGUISED = rf"(?:{_DOT.pattern}|\s+dot\s+)"
+_BEHIND = re.compile(rf"[\s,.-]*[0-9]|[\s,.-]+{_WORD}(?![a-z])|{_DISGUISED}(?:[0-9]|{_WORD}(?![a-z]))|\)[\s.-]*(?:[0-9]|{_WORD}(?![a-z]))", re.I)
+_BEFORE = re.compile(rf"(?:[0-9][\s,.-]*|[0-9]\)[\s.-]*|(?<![a-z]){_WORD}\)?[\s,.-]+|(?:[0-9]|(?<![a-z]){_WORD}){_DISGUISED}|\+[\s(.-]*)$", re.I)
+_ENDS = ("dot", "ero", "oh", "one", "two", "ree", "our", "ive", "six", "ven", "ght", "ine", *"0123456789)]}>+")
+_PLUS = re.compile(rf"(?<![a-z])plus[\s-]+(?=[\s(]*(?:[0-9]|{_WORD}(?![a-z])))", re.I)
+_DOT_DIGITS = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
 _SPELLED = re.compile(r"\s+dot\s+", re.I)
 _HEAD = re.compile(r"@|(?<!\S)at(?=\s)", re.I)
 _HOST = re.compile(r"\s*((?!(?:dot|at)\s)[A-Za-z0-9-]++(?:(?:\s+dot\s+|\.)(?!dot\b|at\s+[A-Za-z0-9-]++(?:\s+dot\s|\.[A-Za-z0-9]))[A-Za-z0-9-]++)++)", re.I)
@@ -144,7 +152,7 @@ class Rewrite:
         """The source of a span: a replaced piece counts whole, without the white space around it if it opens or ends the span."""
         i = bisect_right(self.new, start) - 1
         s = self.old[i] + (start - self.new[i]) * self.kept[i]
-        j = max(k for k in range(i, len(self.kept)) if k == i or self.new[k] < end)
+        j = max(i, bisect_left(self.new, end) - 1)
         e = self.old[j] + end - self.new[j] if self.kept[j] else self.old[j + 1]
         return s, e
 
@@ -224,14 +232,40 @@ def spelled_addresses(t: str, marks: set[int]) -> list[tuple[int, int, str]]:
     return out
 
 
-def stages(text: str):
+def runs(t: str) -> Rewrite:
+    """Runs of three or more digit words as digits alone."""
+    return Rewrite(t, [(m.start(), m.end(), "+" * m.group().lower().startswith("plus") + "".join(DIGITS[w.lower()] for w in re.findall(_WORD, m.group(), re.I))) for m in (_RUN.finditer(t) if _FEW.search(t.lower()) else ())])
+
+
+def adjoining(t: str) -> Rewrite:
+    """Every digit word that adjoins a digit, a digit word or a disguised dot as its digit. Between two of them dots stay as one dot, white space, commas and hyphens go; next to a digit white space becomes one space."""
+    words = []
+    for m in _DIGIT_WORD.finditer(t):
+        before = t[max(m.start() - NEAR, 0) : m.start()]
+        if _BEHIND.match(t, m.end()) or before.rstrip(" \t\r\n\f\v,.-(").lower().endswith(_ENDS) and _BEFORE.search(before):
+            words.append((m.start(), m.end(), DIGITS[m.group().lower()]))
+    edits = [(m.start(), m.end(), "+") for m in _PLUS.finditer(t)]
+    last = -1
+    for start, end, digit in words:
+        gap = t[last:start] if last >= 0 else ""
+        if gap and not gap.strip(" \t\r\n\f\v,.-"):
+            edits.append((last, start, "." if "." in gap else ""))
+        elif (white := re.search(r"(?<=[0-9])\s\s+$|(?<=[0-9])[\t\r\n]$", t[max(start - NEAR, 0, last) : start])) and last < start:
+            edits.append((start - len(white.group()), start, " "))
+        edits.append((start, end, digit))
+        if white := re.match(r"(?:\s\s+|[\t\r\n])(?=[0-9])", t[end : end + NEAR]):
+            edits.append((end, end + white.end(), " "))
+        last = end
+    return Rewrite(t, sorted(edits))
+
+
+def stages(text: str, digits=runs):
     """The transducers that have something to do, one after another."""
     if not text.isascii():
         table = homoglyphs()
         if any(ord(c) in table for c in set(text)) or _INVISIBLE.search(text):
             yield lambda t: Rewrite(t.translate(table), [(m.start(), m.end(), "") for m in _INVISIBLE.finditer(t)])
-    yield lambda t: Rewrite(t, [(m.start(), m.end(), "+" * m.group().lower().startswith("plus") + "".join(DIGITS[w.lower()] for w in re.findall(_WORD, m.group(), re.I))) for m in (_RUN.finditer(t) if _FEW.search(t.lower()) else ())])
-
+    yield digits
     marks: set[int] = set()
 
     def bracketed(t: str) -> Rewrite:
@@ -243,27 +277,53 @@ def stages(text: str):
         return r
 
     yield bracketed
-    yield lambda t: Rewrite(t, spelled_addresses(t, marks))
+
+    def bare(t: str) -> Rewrite:
+        edits = spelled_addresses(t, marks)
+        taken = {e[0] for e in edits}
+        return Rewrite(t, sorted([*edits, *((m.start(), m.end(), ".") for m in _DOT_DIGITS.finditer(t) if m.start() not in taken)]))
+
+    yield bare
+
+
+def uncovered(found: list[Span], base: list[Span]) -> list[Span]:
+    """The spans, each once, that neither a plain span nor another of their kind covers."""
+    out = []
+    for kind in KINDS:
+        most = -1
+        for k, s, e in sorted({x for x in found if x[0] == kind}, key=lambda x: (x[1], -x[2])):
+            if e > most and not any(b == kind and s0 <= s and e <= e0 for b, s0, e0 in base):
+                out.append((k, s, e))
+            most = max(most, e)
+    return out
 
 
 def spans(text: str | None) -> tuple[list[Span], list[Span]]:
     """Plain spans, and all spans; both by start, then kind."""
     text = text or ""
     base = plain(text)
-    done: list[Rewrite] = []
-    now = text
-    for stage in stages(text):
-        r = stage(now)
-        if r.text != now:
-            done.append(r)
-            now = r.text
     more: list[Span] = []
-    if done:
+    read: set[str] = set()
+    for digits in (runs, adjoining):
+        done: list[Rewrite] = []
+        now = text
+        for stage in stages(text, digits):
+            r = stage(now)
+            if r.text != now:
+                done.append(r)
+                now = r.text
+            if stage is digits:
+                if now in read:
+                    done = []
+                    break
+                read.add(now)
+        if not done:
+            continue
         for kind, s, e in plain(now):
             for r in reversed(done):
                 s, e = r.back(s, e)
-            if not any(k == kind and a <= s and e <= b for k, a, b in base):
-                more.append((kind, s, e))
+            more.append((kind, s, e))
+    more = uncovered(more, base)
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     return sorted(base, key=order), sorted(base + more, key=order)
 
