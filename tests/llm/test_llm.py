@@ -368,6 +368,18 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, n, percent, block
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_pairs_of_a_bucket_with_one_shared_band_are_compared():
+    import pandas as pd
+
+    grams, bands = np.arange(100, dtype=np.int64), np.arange(3 * minhash.BANDS, dtype=np.int64).reshape(3, -1)
+    bands[:, 7] = -1  # three members of one bucket that share nothing else
+    pdf = pd.DataFrame({"key": -1, "band": 7, "id": [1, 2, 3], "comp": [1, 2, 3], "block": 0, "i": 0, "j": 0, "bands": list(bands), "grams": [grams + 1000, grams, grams + 5]})
+    found = minhash.compare_block(85)(pdf)
+    assert found.values.tolist() == [[2, 3]]
+    pdf["band"] = 6  # not the first band that they share
+    assert minhash.compare_block(85)(pdf).empty
+
+
 def test_near_duplicates_edges(spark, edge):
     got = minhash.near_duplicates(edge, 3, 85).collect()
     assert len(got) == edge.count()

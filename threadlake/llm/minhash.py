@@ -157,7 +157,7 @@ def compare_block(percent: int):
             y = y[100 * np.minimum(sizes[x], sizes[y]) >= percent * np.maximum(sizes[x], sizes[y])]
             same = keys[y] == keys[x]
             shared = same.sum(1)
-            ok = (same.argmax(1) == band) & (shared >= 2)
+            ok = (shared > 0) & (same.argmax(1) == band)
             if ok.any():
                 cand.append(np.stack([np.full(ok.sum(), x), y[ok], shared[ok]]))
         out = []
