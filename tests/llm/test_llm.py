@@ -67,7 +67,42 @@ def test_quality_held_out(spark, docs):
 def test_quality_dot_products_equal_features():
     w = np.random.default_rng(1).normal(size=2**quality.BITS + 1).astype(np.float32)
     want = [w[i] @ x + w[-1] for i, x in map(quality.features, TEXTS)]
-    assert np.allclose(quality.dots(TEXTS, w), want, atol=1e-4)
+    assert np.allclose(quality.dots(TEXTS, w, quality.Tokens()), want, atol=1e-4)
+
+
+def test_quality_updates_equal_a_plain_loop():
+    """The same passes, one weight at a time, as the published algorithm states them."""
+    import math
+
+    pick = np.random.default_rng(3)
+    rows = [(np.unique(pick.integers(0, 16, 5)), None, int(pick.integers(0, 2))) for _ in range(12)]
+    rows = [(at, pick.random(len(at)).astype(np.float32), y) for at, _, y in rows]
+    z, n, order = [0.0] * 17, [0.0] * 17, np.random.default_rng(7)
+
+    def weight(i):
+        if abs(z[i]) <= quality.L1:
+            return 0.0
+        return (math.copysign(quality.L1, z[i]) - z[i]) / ((quality.BETA + math.sqrt(n[i])) / quality.ALPHA + quality.L2)
+
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            at, x, y = rows[k]
+            pairs = [*zip(map(int, at), map(float, x), strict=True), (16, 1.0)]
+            w = [weight(i) for i, _ in pairs]
+            p = 1 / (1 + math.exp(-sum(a * v for a, (_, v) in zip(w, pairs, strict=True))))
+            for a, (i, v) in zip(w, pairs, strict=True):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality.ALPHA * a
+                n[i] += g * g
+    assert np.allclose(quality.ftrl(rows, bits=4, epochs=3), [weight(i) for i in range(17)], atol=1e-6)
+
+
+def test_quality_scores_do_not_depend_on_the_table(monkeypatch):
+    w = np.random.default_rng(1).normal(size=2**quality.BITS + 1).astype(np.float32)
+    want = quality.dots(TEXTS, w, quality.Tokens())
+    monkeypatch.setattr(quality, "TABLE_CHARS", 3)
+    table = quality.Tokens()
+    assert np.allclose([quality.dots([t], w, table)[0] for t in TEXTS], want)
 
 
 def test_quality_edges(spark, edge):
@@ -136,13 +171,22 @@ def test_language_edges(spark, edge, docs):
 
 
 def test_bundle_is_the_sum_of_bound_trigrams():
-    counts, points = language.trigrams(["ab a", "ba"])
-    v = language.bundle(counts, points)[1]
+    v = language.bundle(*language.trigrams(["ab a", "ba"]), 2)[1]
     at = {c: language.vector(ord(c)).astype(int) for c in " ab"}
     tri = lambda x: np.roll(at[x[0]], 2) * np.roll(at[x[1]], 1) * at[x[2]]
     assert (v == tri(" ba") + tri("ba ")).all()
 
 
+def test_bundles_of_many_letters_are_sparse_and_equal(monkeypatch):
+    pick = random.Random(4)
+    texts = ["".join(chr(0x4E00 + pick.randrange(20_000)) for _ in range(300)) for _ in range(80)] + ["plain words here"]
+    made = language.trigrams(texts)
+    want = language.bundle(*made, len(texts))
+    assert len(made[2]) > 2 * language.STEP
+    monkeypatch.setattr(language, "SPARSE", 10**9)  # products alone
+    assert (language.bundle(*made, len(texts)) == want).all()
+
+
 def spark_hash(data, seed=42):
     return xxhash.xxh64_intdigest(data, seed)
 
@@ -338,7 +382,7 @@ def test_sentencepiece_equals_the_library(spark, edge, docs):
 
 
 def test_sentencepiece_table_may_be_emptied(monkeypatch):
-    monkeypatch.setattr(sentencepieces, "TABLE", 2)
+    monkeypatch.setattr(sentencepieces, "TABLE_CHARS", 2)
     c = sentencepieces.ChunkCodec(queries.PIECE_BPE)
     assert [[e[1] for e in x] for x in c.encode(["one two three", "four"])] == [[e[1] for e in x] for x in c.encode(["one two three", "four"])]
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,34 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def spells(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of a column of texts: at most ``rows`` rows and ``size`` bytes, a longer text on its own."""
+    start = total = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and (total + n > size or i - start == rows):
+            yield start, i - start
+            start, total = i, 0
+        total += n
+    if len(texts) > start:
+        yield start, len(texts) - start
+
+
+def tidy(run):
+    """A task's function that gives its memory back when it ends: a Python worker lives on and serves the tasks of other stages."""
+
+    @functools.wraps(run)
+    def whole(*args):
+        try:
+            yield from run(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def fs_of(uri: str):
     """(pyarrow file system, path) of a URI; a bare path is local."""
     from pyarrow import fs

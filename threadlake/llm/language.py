@@ -12,7 +12,8 @@ the driver gets one vector for each language. All rows that may be learned from
 
 A null text or one without a letter is ``und`` with score 0; so is every text if there is nothing to
 learn from. Equal cosines go to the language that sorts first. Repeated rows are predicted alike, an
-empty table gives an empty result, and only the named columns are read.
+empty table gives an empty result, and only the named columns are read. Whole texts are read, in slices bounded
+in bytes, a very long text on its own; trigrams are counted sparsely, so memory follows the slice, whatever the alphabet.
 """
 
 from __future__ import annotations
@@ -24,9 +25,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spells, tidy
+
 DIMENSION = 1024
 SEED = 20
-BATCH_ROWS, BATCH_CHARS = 512, 1_500_000
+ROWS, SIZE = 512, 1 << 20
+STEP = 8192
+#: A matrix product pays where at least one of so many cells is filled.
+SPARSE = 32
 POINTS = 0x110000
 
 
@@ -40,8 +46,8 @@ def vector(point: int) -> np.ndarray:
     return (np.random.default_rng([SEED, point]).integers(0, 2, DIMENSION, dtype=np.int8) * 2 - 1).astype(np.int8)
 
 
-def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x distinct trigrams) counts and the code points of the trigrams."""
+def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each trigram in the texts the text and which of the distinct ones it is; and the code points of those."""
     lows = [" " + t.lower() + " " for t in texts]
     codes = np.frombuffer("".join(lows).encode("utf-32-le", "replace"), np.uint32)
     doc = np.repeat(np.arange(len(lows)), [len(x) for x in lows])
@@ -67,9 +73,8 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         at = to[tri]
     else:
         distinct, at = np.unique(tri, return_inverse=True)
-    counts = np.bincount(of * len(distinct) + at, minlength=len(texts) * len(distinct)).reshape(len(texts), -1)
     points = np.stack([alphabet[distinct // (k * k)], alphabet[distinct // k % k], alphabet[distinct % k]], 1)
-    return counts, points
+    return of, at, points
 
 
 def bound(points: np.ndarray) -> np.ndarray:
@@ -80,40 +85,42 @@ def bound(points: np.ndarray) -> np.ndarray:
     return np.roll(v, 2, 1)[at[:, 0]] * np.roll(v, 1, 1)[at[:, 1]] * v[at[:, 2]]
 
 
-def bundle(counts: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """counts x vectors, for so many trigrams at a time that memory stays bounded."""
-    out = np.zeros((len(counts), DIMENSION), np.float32)
-    for i in range(0, counts.shape[1], 8192):
-        out += counts[:, i : i + 8192].astype(np.float32) @ bound(points[i : i + 8192]).astype(np.float32)
+def bundle(of: np.ndarray, at: np.ndarray, points: np.ndarray, rows: int) -> np.ndarray:
+    """The sum of the vectors of each text's trigrams, for so many trigrams at a time that memory stays bounded."""
+    out = np.zeros((rows, DIMENSION), np.float32)
+    if len(points) > STEP:
+        order = np.argsort(at, kind="stable")
+        of, at = of[order], at[order]
+    for i in range(0, len(points), STEP):
+        lo, hi = np.searchsorted(at, [i, i + STEP]) if len(points) > STEP else (0, len(at))
+        v, d, t = bound(points[i : i + STEP]), of[lo:hi], at[lo:hi] - i
+        if (hi - lo) * SPARSE >= rows * len(v):
+            counts = np.bincount(d * len(v) + t, minlength=rows * len(v)).reshape(rows, -1)
+            out += counts.astype(np.float32) @ v.astype(np.float32)
+            continue
+        for j in range(0, hi - lo, STEP):
+            order = np.argsort(d[j : j + STEP], kind="stable")
+            text = d[j : j + STEP][order]
+            starts = np.flatnonzero(np.diff(text, prepend=-1))
+            out[text[starts]] += np.add.reduceat(v[t[j : j + STEP][order]], starts, axis=0, dtype=np.float32)
     return out
 
 
-def spells(texts: list[str | None]) -> list[tuple[int, int]]:
-    """Slices of a batch, bounded in rows and characters."""
-    cuts, start, chars = [], 0, 0
-    for i, t in enumerate(texts):
-        chars += len(t or "")
-        if chars > BATCH_CHARS or i + 1 - start == BATCH_ROWS:
-            cuts.append((start, i + 1))
-            start, chars = i + 1, 0
-    return cuts + [(start, len(texts))] * (start < len(texts))
-
-
 def train(docs: DataFrame, learn: Column | None = None, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """A unit vector for each language of the rows that ``learn`` allows."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = (rows if learn is None else rows.where(learn)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    @tidy
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
-            langs, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, j in spells(texts):
-                counts, points = trigrams(texts[i:j])
-                names = sorted(set(langs[i:j]))
-                which = np.array([names.index(x) for x in langs[i:j]])
-                by = np.stack([counts[which == k].sum(0) for k in range(len(names))])
-                for name, v in zip(names, bundle(by, points), strict=True):
+        for batch in batches:
+            for start, n in spells(batch.column(1), ROWS, SIZE):
+                langs, texts = (c.to_pylist() for c in batch.slice(start, n).columns)
+                of, at, points = trigrams(texts)
+                names = sorted(set(langs))
+                which = np.array([names.index(x) for x in langs])
+                for name, v in zip(names, bundle(which[of], at, points, len(names)), strict=True):
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
@@ -130,14 +137,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     matrix = np.stack(list(prototypes.values())).astype(np.float32) if names else np.zeros((0, DIMENSION), np.float32)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
 
+    @tidy
     def run(batches):
         for batch in batches:
-            for i, j in spells(texts := batch.column(1).to_pylist()):
-                b = batch.slice(i, j - i)
-                pred, best = ["und"] * (j - i), np.zeros(j - i)
-                full = [k for k, t in enumerate(texts[i:j]) if t and names and any(map(str.isalpha, t))]
+            for start, n in spells(batch.column(1), ROWS, SIZE):
+                b = batch.slice(start, n)
+                texts, pred, best = b.column(1).to_pylist(), ["und"] * n, np.zeros(n)
+                full = [k for k, t in enumerate(texts) if t and names and any(map(str.isalpha, t))]
                 if full:
-                    v = bundle(*trigrams([texts[i + k] for k in full]))
+                    v = bundle(*trigrams([texts[k] for k in full]), len(full))
                     cos = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                     for k, row in zip(full, cos, strict=True):
                         pred[k], best[k] = names[int(row.argmax())], min(1.0, max(0.0, float(row.max())))

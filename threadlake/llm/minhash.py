@@ -30,19 +30,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spells, tidy, written
 
 PERMUTATIONS, ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 BLOCK_SHINGLES, BLOCK_ROWS = 2_000_000, 4096
 BROADCAST_IDS = 1_000_000
-TABLE = 250_000
+TABLE_BYTES = 2_000_000
+ROWS_AT_ONCE, SIZE = 512, 1 << 20
 
 _RANDOM = np.random.default_rng(11)
 _A = _RANDOM.integers(0, 2**63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 2**63, PERMUTATIONS, np.uint64)
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD], np.uint64)
-_words: dict[bytes, int] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -50,16 +50,29 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
+class Words:
+    """A task's table of hashed words; emptied at ``TABLE_BYTES``."""
+
+    def __init__(self):
+        self.table: dict[bytes, int] = {}
+        self.size = 0
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        if self.size > TABLE_BYTES:
+            self.table.clear()
+            self.size = 0
+        for w in set(words).difference(self.table):
+            self.table[w] = xxhash.xxh64_intdigest(w)
+            self.size += len(w)
+        return np.fromiter(map(self.table.__getitem__, words), np.uint64, len(words))
+
+
+def shingles(text: str | None, n: int, table: Words) -> np.ndarray:
     """Ascending distinct hashes."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_words) > TABLE:
-        _words.clear()
-    for w in set(words).difference(_words):
-        _words[w] = xxhash.xxh64_intdigest(w)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = table.hashes(words)
     n = min(n, len(words))
     out = h[: len(h) - n + 1] + np.uint64(n)
     for k in range(1, n):
@@ -84,11 +97,13 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
     """id, n_shingles, set_hash (null: empty set), bands."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
+    @tidy
     def run(batches):
+        table = Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                sets = [shingles(t, n) for t in b.column(1).to_pylist()]
+            for start, size in spells(batch.column(1), ROWS_AT_ONCE, SIZE):
+                b = batch.slice(start, size)
+                sets = [shingles(t, n, table) for t in b.column(1).to_pylist()]
                 keys = np.concatenate([signature(s) for s in sets if len(s)] or [np.zeros(0, np.int64)])
                 ends = np.cumsum([0] + [BANDS * (len(s) > 0) for s in sets])
                 yield pa.RecordBatch.from_arrays(
@@ -104,11 +119,13 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str)
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
+    @tidy
     def run(batches):
+        table = Words()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                sets = [shingles(t, n).view(np.int64) for t in b.column(1).to_pylist()]
+            for start, size in spells(batch.column(1), ROWS_AT_ONCE, SIZE):
+                b = batch.slice(start, size)
+                sets = [shingles(t, n, table).view(np.int64) for t in b.column(1).to_pylist()]
                 ends = np.cumsum([0] + [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["id", "grams"])
 

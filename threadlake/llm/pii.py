@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spells, tidy
+
 KINDS = ("email", "ip", "card", "phone")
-ROWS = 512
+ROWS, SIZE = 512, 4 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -347,10 +349,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     names = [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"]
 
+    @tidy
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
+            for start, n in spells(batch.column(1), ROWS, SIZE):
+                b = batch.slice(start, n)
                 made = [spans(t) for t in b.column(1).to_pylist()]
                 counts = [pa.array([sum(x[0] == k for x in base) for base, _ in made], pa.int64()) for k in KINDS]
                 yield pa.RecordBatch.from_arrays(
@@ -366,10 +369,11 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = Non
     at, schema = docs.columns.index(text_col), docs.schema
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
+    @tidy
     def run(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                b = batch.slice(i, ROWS)
+            for start, size in spells(batch.column(at), ROWS, SIZE):
+                b = batch.slice(start, size)
                 cols = list(b.columns)
                 texts = [t if t is None or not (f := spans(t)[1]) else redacted(t, f) for t in b.column(at).to_pylist()]
                 cols[at] = pa.array(texts, pa.string())

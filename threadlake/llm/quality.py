@@ -20,6 +20,7 @@ and the text is read.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -28,22 +29,21 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import spells, tidy
+
 BITS = 18
 SAMPLE = 16_000
 SHARDS = 4
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 SCALE = 20.0
-TABLE = 250_000
-ROWS = 256
+TABLE_CHARS = 2_000_000
+ROWS, SIZE = 256, 1 << 20
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.array([0x9E3779B97F4A7C15], np.uint64)
 _SALT = np.array([[0x51], [0x52], [0x61], [0x62], [0x63]], np.uint64)
 
-_seen: dict[str, int] = {}
-_hashes = [np.zeros((1024, 2), np.uint64)]
-
 
 def shape(token: str) -> str:
     if token[0].isalpha():
@@ -53,18 +53,28 @@ def shape(token: str) -> str:
     return token[:1] + "+" * (len(token) > 1)
 
 
-def look_up(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Word and shape hash of each token."""
-    if len(_seen) > TABLE:
-        _seen.clear()
-    new = set(tokens).difference(_seen)
-    if len(_seen) + len(new) > len(_hashes[0]):
-        _hashes[0] = np.resize(_hashes[0], (2 * (len(_seen) + len(new)), 2))
-    for t in new:
-        _hashes[0][len(_seen)] = (xxhash.xxh64_intdigest(t.lower().encode("utf-8", "replace")), xxhash.xxh64_intdigest(shape(t).encode()))
-        _seen[t] = len(_seen)
-    at = np.fromiter(map(_seen.__getitem__, tokens), np.int64, len(tokens))
-    return _hashes[0][at, 0], _hashes[0][at, 1]
+class Tokens:
+    """A task's table of distinct tokens; emptied at ``TABLE_CHARS`` characters, so its memory is bounded whatever the words are."""
+
+    def __init__(self):
+        self.seen: dict[str, int] = {}
+        self.chars, self.hashes = 0, np.zeros((1024, 2), np.uint64)
+
+    def look_up(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Word and shape hash of each token."""
+        seen = self.seen
+        if self.chars > TABLE_CHARS:
+            seen.clear()
+            self.chars = 0
+        new = set(tokens).difference(seen)
+        if len(seen) + len(new) > len(self.hashes):
+            self.hashes = np.resize(self.hashes, (2 * (len(seen) + len(new)), 2))
+        for t in new:
+            self.hashes[len(seen)] = (xxhash.xxh64_intdigest(t.lower().encode("utf-8", "replace")), xxhash.xxh64_intdigest(shape(t).encode()))
+            seen[t] = len(seen)
+            self.chars += len(t)
+        at = np.fromiter(map(seen.__getitem__, tokens), np.int64, len(tokens))
+        return self.hashes[at, 0], self.hashes[at, 1]
 
 
 _REPEAT = np.uint64(xxhash.xxh64_intdigest(b"="))
@@ -74,11 +84,11 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a ^ (b * _MIX + (a << np.uint64(7)))) * _MIX
 
 
-def grams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[str | None], tokens: Tokens, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """The hashed n-grams of the texts, one after another: (text, index). No n-gram crosses from one text to the next."""
     cut = [_TOKEN.findall(t or "") for t in texts]
     doc = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
-    w, s = look_up([t for c in cut for t in c])
+    w, s = tokens.look_up([t for c in cut for t in c])
     s[1:][(w[1:] == w[:-1]) & (doc[1:] == doc[:-1])] = _REPEAT
     s2 = mix(s[:-1], s[1:])
     families = [mix(w, _SALT[0]), mix(mix(w[:-1], w[1:]), _SALT[1]), mix(s, _SALT[2]), mix(s2, _SALT[3]), mix(mix(s2[:-1], s[2:]), _SALT[4])]
@@ -89,16 +99,16 @@ def grams(texts: list[str | None], bits: int = BITS) -> tuple[np.ndarray, np.nda
     return of, at
 
 
-def features(text: str | None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+def features(text: str | None, tokens: Tokens | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Ascending indices of one text and their values: the share of each n-gram."""
-    _, at = grams([text], bits)
+    _, at = grams([text], tokens or Tokens(), bits)
     at, n = np.unique(at, return_counts=True)
     return at, (n * (SCALE / max(1, n.sum()))).astype(np.float32)
 
 
-def dots(texts: list[str | None], w: np.ndarray) -> np.ndarray:
+def dots(texts: list[str | None], w: np.ndarray, tokens: Tokens) -> np.ndarray:
     """The sparse dot product of each text's features with the weights (the bias last), plus the bias."""
-    of, at = grams(texts)
+    of, at = grams(texts, tokens)
     n = np.bincount(of, minlength=len(texts))
     return np.bincount(of, w[at], minlength=len(texts)) * SCALE / np.maximum(n, 1) + float(w[-1])
 
@@ -131,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     dealt = rows.select("__text", "__y", F.pmod(F.xxhash64(id_col), F.lit(SHARDS)).alias("shard"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = [(*features(t), int(y)) for t, y in sorted(zip(pdf["__text"].fillna(""), pdf["__y"], strict=True))]
+        tokens = Tokens()
+        made = [(*features(t, tokens), int(y)) for t, y in sorted(zip(pdf["__text"].fillna(""), pdf["__y"], strict=True))]
         return pd.DataFrame({"w": [ftrl(made).astype(np.float32).tobytes()], "n": [len(made)]})
 
     fitted = dealt.groupBy("shard").applyInPandas(fit, "w binary, n long").collect()  # SHARDS rows
@@ -140,18 +151,27 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_co
     return np.average([np.frombuffer(r["w"], np.float32) for r in fitted], axis=0, weights=[r["n"] for r in fitted]).astype(np.float32)
 
 
+def scored(batches: Iterable[pa.RecordBatch], at: int, w: np.ndarray):
+    """Slices of the batches with the dot products of the texts in column ``at``."""
+    tokens = Tokens()
+    for batch in batches:
+        for start, n in spells(batch.column(at), ROWS, SIZE):
+            b = batch.slice(start, n)
+            yield b, dots(b.column(at).to_pylist(), w, tokens)
+
+
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns to keep, score and predicted for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     rows = docs.select(F.col(id_col), *keep, F.col(text_col).alias("__text"))
 
+    rows_at = len(keep) + 1
+
+    @tidy
     def run(batches):
-        w = shared.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
-                p = 1 / (1 + np.exp(-np.clip(dots(b.column(b.num_columns - 1).to_pylist(), w), -35, 35)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, *keep, "score", "predicted"])
+        for b, dot in scored(batches, rows_at, shared.value):
+            p = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, *keep, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
@@ -161,10 +181,9 @@ def accepted(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Da
     """The rows, all columns as they were, whose score is at least 0.5."""
     shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                b = batch.slice(i, ROWS)
-                yield b.filter(pa.array(dots(b.column(at).to_pylist(), shared.value) >= 0))
+        for b, dot in scored(batches, at, shared.value):
+            yield b.filter(pa.array(dot >= 0))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,8 +7,8 @@ cut is as exact as the library itself: it is refused (``ValueError``) for a mode
 pieces, a normalisation other than identity, or without the leading marker. Texts are also cut at line
 feeds, if no piece holds one: an unknown character is never merged with a neighbour.
 
-The table lives in a worker and is emptied once it has ``TABLE`` entries, so memory is bounded and
-only time depends on how often words repeat. A null text is the empty text, which has no ids.
+The table lives as long as a task and is emptied once its chunks have ``TABLE_CHARS`` characters, so memory is
+bounded and only time depends on how often words repeat. Texts are taken in slices bounded in bytes, a very long one on its own. A null text is the empty text, which has no ids.
 Repeated rows are encoded alike; an empty table gives an empty result; only the identifier and the
 text are read.
 """
@@ -22,20 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spells, tidy
+
 MARK = "▁"
-TABLE = 250_000
-ROWS = 512
+TABLE_CHARS = 1_000_000
+ROWS, SIZE = 512, 1 << 20
 
-_codecs: dict[str, ChunkCodec] = {}
+_models: dict = {}
 
 
 class ChunkCodec:
     """Distinct chunk -> (ids as text, how many, decoded text, ids as 32-bit bytes)."""
 
     def __init__(self, model: str):
-        import sentencepiece
-
-        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.sp = processor(model)
         pieces = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         if any(MARK in p.lstrip(MARK) for p in pieces):
             raise ValueError("a piece holds a marker after another character: the chunks are not independent")
@@ -44,6 +44,7 @@ class ChunkCodec:
             raise ValueError("the model normalises texts: chunks would not be texts")
         self.lines = not any("\n" in p for p in pieces)
         self.table: dict[str, tuple[str, int, str, bytes]] = {}
+        self.chars = 0
 
     def chunks(self, text: str) -> list[str]:
         """The marked words, whose concatenation is the text after a leading marker."""
@@ -89,13 +90,15 @@ class ChunkCodec:
             ids.append([self.sp.piece_to_id(MARK)])
         texts = self.sp.decode(ids, num_threads=1) if ids else []
         for c, x, t in zip(chunks, ids, texts, strict=True):
+            self.chars += len(c)
             self.table[c] = (",".join(map(str, x)), len(x), " " + t if c[0] == MARK else t, np.array(x, np.int32).tobytes())
 
     def encode(self, texts: list[str | None]) -> list[list[tuple[str, int, str, bytes]]]:
         """For each text its table entries in order."""
         cut = [self.chunks(t or "") for t in texts]
-        if len(self.table) > TABLE:
+        if self.chars > TABLE_CHARS:
             self.table.clear()
+            self.chars = 0
         new: set[str] = set()
         for c in cut:
             new.update(c)
@@ -104,10 +107,13 @@ class ChunkCodec:
         return [list(map(get, c)) for c in cut]
 
 
-def codec(model: str) -> ChunkCodec:
-    if model not in _codecs:
-        _codecs[model] = ChunkCodec(model)
-    return _codecs[model]
+def processor(model: str):
+    """The library's model, loaded once by a worker; its size is fixed."""
+    if model not in _models:
+        import sentencepiece
+
+        _models[model] = sentencepiece.SentencePieceProcessor(model_file=model)
+    return _models[model]
 
 
 def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, digests: bool = True) -> DataFrame:
@@ -115,11 +121,12 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
     names = [id_col, "n_tokens"] + ["ids_sha256", "decoded_sha256"] * digests + ["ids", "decoded"] * ids
 
+    @tidy
     def run(batches):
-        c = codec(model)
+        c = ChunkCodec(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
+            for start, n in spells(batch.column(1), ROWS, SIZE):
+                b = batch.slice(start, n)
                 found = c.encode(b.column(1).to_pylist())
                 joined = [",".join([e[0] for e in f]) for f in found]
                 decoded = ["".join([e[2] for e in f])[1:] for f in found]

@@ -13,7 +13,8 @@ about equal counts; a task writes each shard under another name and moves it int
 table gives no shard and an empty result; only the identifier and the text are read.
 
 Words are cut at spaces and line feeds, which the tokenizer's normaliser and splitter drop anyway,
-and each distinct one is encoded once in a table of a worker that is emptied at ``TABLE`` entries.
+and each distinct one is encoded once in a task's table that is emptied at ``TABLE_CHARS`` characters; texts are
+taken in slices bounded in bytes, a very long one on its own.
 That needs a pre-tokenizer that drops white space; a probe of the tokenizer refuses others
 (``ValueError``).
 """
@@ -35,28 +36,25 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, fs_of, range_cuts, shared_dir, written
+from .common import bucket_of, fs_of, range_cuts, shared_dir, spells, tidy, written
 
-TABLE = 1_000_000
+TABLE_CHARS = 2_000_000
 MARKS = ".,;:!?*%&$#|"
 BLOCK = 1 << 18
 MAGIC = b"SSTABLE1"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")  # index at, index bytes, filter at, filter bytes, documents, ids, bytes of an id, hashes
 BITS, HASHES = 10, 7
-ROWS = 512
+ROWS, SIZE = 512, 1 << 20
 LEAST = -(2**63)
 
-_encoders: dict[str, WordTable] = {}
+_tokenizers: dict = {}
 
 
 class WordTable:
     """Distinct word -> its ids as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
+        self.tok = tokenizer_of(path)
         probe = "It's  A b-1\n\nc. d \n"
         whole, apart = self.encode([probe])[0], b"".join(self.encode(probe.replace("\n", " ").split(" ")))
         if whole != apart:
@@ -65,6 +63,7 @@ class WordTable:
             raise ValueError("the tokenizer joins marks with letters")
         self.lowers = self.encode(["AbÉ"]) == self.encode(["abé"])
         self.table: dict[str, bytes] = {}
+        self.chars = 0
         self.vocabulary = self.tok.get_vocab_size()
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -84,8 +83,9 @@ class WordTable:
     def texts(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.words(t) for t in texts]
         table = self.table
-        if len(table) > TABLE:
+        if self.chars > TABLE_CHARS:
             table.clear()
+            self.chars = 0
         new: set[str] = set()
         for c in cut:
             new.update(c)
@@ -95,16 +95,21 @@ class WordTable:
         for pair in parted.values():
             ask.update(pair)
         words = list(ask.difference(table))
+        self.chars += sum(map(len, words)) + sum(map(len, parted))
         table.update(zip(words, self.encode(words), strict=True))
         table.update((w, table[base] + table[tail]) for w, (base, tail) in parted.items())
         get = table.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
 
-def word_table(path: str) -> WordTable:
-    if path not in _encoders:
-        _encoders[path] = WordTable(path)
-    return _encoders[path]
+def tokenizer_of(path: str):
+    """The library's tokenizer, loaded once by a worker; its size is fixed."""
+    if path not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return _tokenizers[path]
 
 
 def key_of(ident: int | None) -> bytes:
@@ -263,8 +268,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
     dealt = rows.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
     end = struct.pack("<I", end_id)
 
+    @tidy
     def run(batches):
-        table = word_table(tokenizer)
+        table = WordTable(tokenizer)
         width = 2 if max(table.vocabulary, end_id + 1) <= 1 << 16 else 4
         shard, w, uri, ident = None, None, "", None
 
@@ -273,8 +279,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([ident], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.int64())], names=["shard", "path", "last_key", "documents", "ids"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                b = batch.slice(at, ROWS)
+            for start, n in spells(batch.column(1), ROWS, SIZE):
+                b = batch.slice(start, n)
                 for i, value, s in zip(b.column(0).to_pylist(), table.texts(b.column(1).to_pylist()), b.column(2).to_pylist(), strict=True):
                     if s != shard:
                         if w:
