@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import json
 import os
 import tempfile
 import uuid
@@ -41,6 +42,23 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+#: Rows of one key that a task gets at most (about) where keys are dealt out.
+HEAVY = 512
+
+
+def dealt_join(left: DataFrame, right: DataFrame, key: str, ident: str, how: str = "inner") -> DataFrame:
+    """``left.join(right, key)`` where a key may hold any share of the rows of ``left``.
+
+    ``right`` has one row a key and in ``n`` how many rows of ``left`` it meets. Rows of keys with more than ``HEAVY`` are
+    dealt out by the hash of ``ident``, and the key's one row goes to each of their tasks. The list of such keys is written
+    down, so Spark knows its size before it decides how to join it.
+    """
+    spark, parts = left.sparkSession, F.greatest(F.ceil(F.col("n") / HEAVY), F.lit(1)).cast("int")
+    heavy = written(spark, right.where(F.col("n") > HEAVY).select(key, parts.alias("__parts")), "heavy")
+    many = left.join(heavy, key, "left").withColumn("__salt", F.pmod(F.xxhash64(ident), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    return many.join(right.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))), [key, "__salt"], how).drop("__salt")
+
+
 def spells(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
     """(start, length) of slices of a column of texts: at most ``rows`` rows and ``size`` bytes, a longer text on its own."""
     start = total = 0
@@ -93,23 +111,36 @@ def range_cuts(df: DataFrame, key: Column, buckets: int) -> list[int]:
     """
     if buckets < 2:
         return []
-    at = [i / buckets for i in range(1, buckets)]
-    found = df.agg(F.percentile_approx(key, F.array(*[F.lit(x) for x in at]), F.lit(max(1000, 20 * buckets)))).first()[0]
+    at = F.split(F.lit(",".join(str(i / buckets) for i in range(1, buckets))), ",").cast("array<double>")
+    found = df.agg(F.percentile_approx(key, at, F.lit(max(1000, 8 * buckets)))).first()[0]
     return sorted(set(found or []))
 
 
+def grouped(cuts: list[int]) -> tuple[Column, Column, int]:
+    """The cuts in groups of about the square root of their number, the last of each group, and how many a group has. Both are single literals, however many cuts there are."""
+    step = max(1, int(len(cuts) ** 0.5))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    lasts = F.split(F.lit(",".join(str(g[-1]) for g in groups)), ",").cast("array<bigint>")
+    return F.from_json(F.lit(json.dumps(groups)), "array<array<bigint>>"), lasts, step
+
+
 def bucket_of(key: Column, cuts: list[int]) -> Column:
     """How many cuts lie below ``key``: bucket b holds the keys in (cuts[b-1], cuts[b]].
 
-    Two levels of literals, so a row compares with about twice the square root of the cuts.
+    Two levels, so a row compares with about twice the square root of the cuts.
     """
     if not cuts:
         return F.lit(0)
-    step = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    lasts = F.array(*[F.lit(g[-1]) for g in groups])
-    nested = F.array(*[F.array(*[F.lit(x) for x in g]) for g in groups] + [F.array().cast("array<bigint>")])
+    nested, lasts, step = grouped(cuts)
     below = lambda a: F.size(F.filter(a, lambda c: c < key))
     g = below(lasts)
-    # the last group may be short: past it, all cuts lie below
-    return F.least(g * F.lit(step) + below(F.get(nested, g)), F.lit(len(cuts))).cast("int")
+    # past the last group, which may be short, all cuts lie below
+    return F.least(g * F.lit(step) + F.coalesce(F.nullif(below(F.get(nested, g)), F.lit(-1)), F.lit(0)), F.lit(len(cuts))).cast("int")
+
+
+def is_cut(key: Column, bucket: Column, cuts: list[int]) -> Column:
+    """Whether ``key``, which lies in ``bucket``, is the cut that ends it."""
+    if not cuts:
+        return F.lit(False)
+    nested, _, step = grouped(cuts)
+    return F.coalesce(F.get(F.get(nested, F.floor(bucket / step).cast("int")), bucket % step) == key, F.lit(False))

@@ -3,14 +3,15 @@
 Every record is a gzip member of its own. The reader takes the file a chunk at a time, inflates
 incrementally, frames each record by its content length and verifies the payload digest.
 
-Writing: one record for each row, payload the html in UTF-8 (null: empty). Rows are dealt out by
-identifier, each task writes one archive into the shared folder under a temporary name and moves it
-into place, so a task that is repeated leaves whole files only. Of the records with equal payloads
+Writing: one record for each row, payload the html in UTF-8 (null: empty). Who refers to whom is decided from
+identifiers, digests and lengths alone and written down as a narrow table; the payloads are joined to it once, revisits
+go on without theirs, and each task writes one archive straight behind that join: into the shared folder under a
+temporary name, then moved into place, so a task that is repeated leaves whole files only. Of the records with equal payloads
 of at least ``min_bytes``, the one with the largest identifier is the response and the others are
 revisits that name it; a revisit keeps the HTTP header with the payload's length and digest, not the
 payload. Rows that repeat both identifier and payload are all written as the response; where every
 copy has a null identifier there is none to refer to, and all are responses. Empty tables give no
-archive and an empty result; other columns are not read.
+archive and an empty result; other columns are not read. A very long payload is one record in the memory of one task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fs_of, put_file, shared_dir, written
+from .common import fs_of, put_file, shared_dir, tidy, written
 
 CHUNK = 1 << 16
 LEVEL = 4
@@ -35,9 +36,9 @@ def b32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def record(page_id: int | None, uri: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A record's bytes before compression."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def record(page_id: int | None, uri: str | None, payload: bytes | None, length: int, digest: str, refers_to: int | None) -> bytes:
+    """A record's bytes before compression. A revisit needs no payload, only its length and digest."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {length}\r\n\r\n".encode()
     revisit = refers_to is not None
     block = http if revisit else http + payload
     head = [
@@ -94,6 +95,8 @@ def parse(data: bytes) -> dict:
     if not sep or not head.startswith(b"WARC/1."):
         raise WarcError("no record header")
     h = fields(head)
+    if missing := [k for k in ("content-length", "warc-type", "warc-target-uri", "warc-block-digest", "warc-payload-digest") if k not in h]:
+        raise WarcError(f"the header has no {missing[0]}")
     n = int(h["content-length"])
     block = rest[:n]
     if len(block) != n or rest[n:] != b"\r\n\r\n":
@@ -113,18 +116,21 @@ def parse(data: bytes) -> dict:
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0, files: int | None = None) -> DataFrame:
     """Writes the archives and returns their manifest (path, records)."""
     spark = pages.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
-    facts = rows.select("page_id", F.sha1("payload").alias("digest"), F.length("payload").alias("n"))
+    keyed = rows.withColumns({"digest": F.sha1("payload"), "n": F.length("payload")})
+    facts = keyed.select("page_id", "digest", "n")
     # one row for each page and payload, so that a repeated row meets one answer and not as many as it has copies
     each = facts.where(F.col("n") >= min_bytes).groupBy("page_id", "digest").agg(F.lit(1).alias("one"))
     last = each.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     refs = each.select("page_id", "digest").join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("last")) & F.col("last").isNotNull())
-    refs = refs.select(F.col("page_id").alias("of"), F.col("digest").alias("ref_digest"), F.col("last").alias("refers_to"))
-    keyed = rows.withColumn("digest", F.sha1("payload"))
+    # written down, so its size is known: a small one is joined where the payloads are read, else they are dealt out once
+    refs = written(spark, refs.select(F.col("page_id").alias("of"), F.col("digest").alias("ref_digest"), F.col("last").alias("refers_to")), "warc-revisits")
     dealt = keyed.join(refs, keyed["page_id"].eqNullSafe(refs["of"]) & (keyed["digest"] == refs["ref_digest"]), "left")
-    dealt = dealt.select("page_id", "url", "payload", "digest", "refers_to").repartition(files, "page_id", "digest")
+    dealt = dealt.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "n", "digest", "refers_to")
+    if files:
+        dealt = dealt.repartition(files, "page_id", "digest")
 
+    @tidy
     def run(batches):
         from pyspark import TaskContext
 
@@ -141,9 +147,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 yield from batches
 
             for b in every():
-                for page, url, payload, digest, ref in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    out.write(member(record(page, url, payload, b32(bytes.fromhex(digest)), ref)))
-                    n += 1
+                for at in range(0, b.num_rows, 256):
+                    for page, url, payload, length, digest, ref in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+                        out.write(member(record(page, url, payload, length, b32(bytes.fromhex(digest)), ref)))
+                        n += 1
 
         put_file(uri, write)
         yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], names=["path", "records"])
@@ -156,6 +163,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payload
 
+    @tidy
     def run(batches):
         schema = pa.schema([(k, {"page_id": pa.int64(), "payload_bytes": pa.int64(), "refers_to": pa.int64(), "payload": pa.binary()}.get(k, pa.string())) for k in names])
         for b in batches:
