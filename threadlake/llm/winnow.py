@@ -1,17 +1,17 @@
 """Document fingerprints by winnowing, in DataFrame expressions alone.
 
-A text is cut into words: runs of other characters than white space, of at most ``PIECE`` characters
-each, so that a text without spaces has words as well. Every run of ``K`` words is a gram with a rolling hash: the hashes
-of shorter runs are combined by doubling, gram(2n) at i from gram(n) at i and at i+n, so no gram is
-read as a whole. Of each ``W`` grams in a row the smallest hash is taken, of equal ones the
-rightmost, and kept with its position (of its first word). Two texts that share K + W - 1 words in a
-row share a fingerprint.
-
-Hash and position are packed in one number (31 bits each), of which the smallest is the winnowed
-one, and the minimum over a window is again built by doubling: log2(W) passes over an array.
+Every ``K`` characters in a row are a gram, and its hash is the polynomial residue (CRC-32) of their code points: the
+value that a rolling update would have, taken from the bytes of each gram, as SQL functions have no running state. Of
+each ``W`` grams in a row the smallest hash is taken, of equal ones the rightmost, and kept with its position (in
+characters). So two texts that share K + W - 1 characters in a row share a fingerprint, wherever the passage stands
+and whether or not there is white space in it.
+
+Hash and position are packed in one number (32 and 31 bits), of which the smallest is the winnowed one, and the minimum
+over a window is built by doubling: log2(W) passes over an array. A text is taken in pieces of ``PIECE`` windows, which
+overlap by what a window needs, so the arrays of a very long text stay short.
 The likeness of two fingerprints is the Jaccard index of their distinct hashes; two empty ones have 1.
 
-A text with fewer than K words is one gram; a null or empty text, or one of white space alone, has
+A text with fewer than K + W - 1 characters is one window, one with fewer than K one gram; a null or empty text has
 the empty fingerprint. Equal texts have equal fingerprints. For the next document, rows are ordered
 by identifier descending, then text; null identifiers come last. Rows are dealt to ranges of the identifier, and
 the first row of the following range is sent along, so no window needs all rows. Repeated rows
@@ -24,16 +24,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .common import bucket_of, range_cuts
+from .common import bucket_of, is_cut, range_cuts
 
-K, W = 4, 8
-PIECE = 16
+K, W = 16, 16
+PIECE = 4096
 LEAST = -(2**63)
 LOW31 = 2**31 - 1
 
 
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"([^ \t\n\r\f\x0B]{1,%d})" % PIECE), F.lit(1))
+def nothing() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def bound(value: Column, use) -> Column:
@@ -41,31 +41,58 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def doubled(a: Column, by: int, combine) -> Column:
-    """``combine(a[i], a[i + by])`` for as many i as there are; the array itself if it is too short."""
-    return F.when(F.size(a) > by, F.zip_with(F.slice(a, 1, F.greatest(F.size(a) - by, F.lit(1))), F.slice(a, by + 1, F.greatest(F.size(a), F.lit(1))), combine)).otherwise(a)
+def packed(crc: Column, position: Column) -> Column:
+    """The hash above, 2^31 - 1 minus the position below."""
+    return F.shiftleft(crc, 31) + (F.lit(LOW31) - position)
 
 
-def grams(tokens: Column) -> Column:
-    """Hash and position of each gram, packed: the hash above, 2^31 - 1 minus the position below."""
-    roll = lambda x, y: F.xxhash64(x, y)
-    one = F.transform(tokens, lambda t: F.xxhash64(t))
-    whole = F.array(F.xxhash64(F.array_join(tokens, " ")))
-    four = bound(one, lambda a: bound(doubled(a, 1, roll), lambda b: doubled(b, 2, roll)))
-    hashes = F.when(F.size(tokens) == 0, F.array().cast("array<bigint>")).when(F.size(tokens) < K, whole).otherwise(four)
-    return F.transform(hashes, lambda h, i: F.shiftleft(h.bitwiseAND(F.lit(LOW31)), 31) + F.lit(LOW31) - i)
+def grams(text: Column, first: Column) -> Column:
+    """Every gram of the text, whose first character stands at position ``first``. A character is four bytes in UTF-32."""
+    each = lambda points: F.transform(F.sequence(F.lit(1), F.length(points) - (4 * K - 1), F.lit(4)), lambda at, i: packed(F.crc32(F.substring(points, at, F.lit(4 * K))), first + i))
+    return bound(F.encode(text, "UTF-32"), each)
 
 
-def minima(packed: Column) -> Column:
-    """The smallest of every W neighbours, each once, in order of position; of fewer than W, the smallest."""
-    least = lambda x, y: F.least(x, y)
-    every = bound(doubled(packed, 1, least), lambda a: bound(doubled(a, 2, least), lambda b: doubled(b, 4, least)))
-    return F.when(F.size(packed) >= W, F.array_distinct(every)).when(F.size(packed) > 0, F.array(F.array_min(packed))).otherwise(packed)
+def lesser(a: Column, by: int) -> Column:
+    """The smaller of a[i] and a[i + by]."""
+    n = F.size(a) - by
+    return F.zip_with(F.slice(a, 1, n), F.slice(a, by + 1, n), lambda x, y: F.when(x < y, x).otherwise(y))
 
 
-def winnowed(text: Column) -> Column:
-    """The fingerprint as an array of packed numbers."""
-    return bound(words(text), lambda t: bound(grams(t), minima))
+def minima(grams_: Column) -> Column:
+    """The smallest of every W neighbours, each once, in order of position."""
+    by, now = 1, grams_
+    levels = []
+    while by < W:
+        levels.append(by)
+        by *= 2
+
+    def rest(a: Column, steps: list[int]) -> Column:
+        return F.array_distinct(lesser(a, steps[0])) if len(steps) == 1 else bound(lesser(a, steps[0]), lambda b: rest(b, steps[1:]))
+
+    return bound(now, lambda a: rest(a, levels))
+
+
+def windows(text: Column, start: Column, end: Column) -> Column:
+    """What the windows whose first grams stand at ``start`` to ``end`` - 1 select, piece by piece."""
+    piece = lambda at: F.substring(text, at + 1, F.least(F.lit(PIECE), end - at) + (K + W - 2))
+    return F.when(end > start, F.flatten(F.transform(F.sequence(start, end - 1, F.lit(PIECE)), lambda at: minima(grams(piece(at), at))))).otherwise(nothing())
+
+
+def short(text: Column) -> Column:
+    """The fingerprint of a text with less than a whole window."""
+    one = F.array(packed(F.crc32(F.encode(text, "UTF-32")), F.lit(0)))
+    return F.when(F.length(text) >= K, F.array(F.array_min(grams(text, F.lit(0))))).when(F.length(text) > 0, one).otherwise(nothing())
+
+
+def last_window(text: Column) -> Column:
+    """How many whole windows a text has."""
+    return F.length(text) - (K + W - 2)
+
+
+def winnowed(text: Column, shared: Column | None = None, start: Column | None = None) -> Column:
+    """The fingerprint as an array of packed numbers; ``shared``: what the windows before ``start`` select, where that is known."""
+    whole = windows(text, F.lit(0), last_window(text)) if shared is None else F.concat(shared, windows(text, start, last_window(text)))
+    return F.when(last_window(text) > 0, F.array_distinct(whole)).otherwise(short(text))
 
 
 def hashes(prints: Column) -> Column:
@@ -90,17 +117,16 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows with ``guest`` over 0 stand in for the rows of other ranges and are to be left out in the end.
     """
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
-    cuts = range_cuts(docs, key, 8 * tasks)
+    cuts = range_cuts(docs, key, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     top = docs.agg(F.max(key)).first()[0]
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"), key.alias("key"))
     at = bucket_of(F.col("key"), cuts)
     # a range ends, downwards, before the largest key of the range below it: that row follows as a guest; the first row of all follows the last range
     guests = F.when(F.col("key") == F.lit(top), F.lit(0))
-    below = F.when(F.array_contains(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), F.col("key")), at + 1)
+    below = F.when(is_cut(F.col("key"), at, cuts), at + 1)
     places = F.filter(F.array(F.struct(at.alias("range"), F.lit(0).alias("guest")), F.struct(below.alias("range"), F.lit(1).alias("guest")), F.struct(guests.alias("range"), F.lit(2).alias("guest"))), lambda p: p["range"].isNotNull())
-    dealt = rows.select("*", F.inline(places))
+    dealt = rows.select("*", F.inline(places)).repartitionById(len(cuts) + 1, F.col("range"))
     order = Window.partitionBy("range").orderBy("guest", F.desc("key"), "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)), order
 
@@ -113,7 +139,8 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, fingerprint, prints (packed numbers) of every row."""
-    rows = docs.select(F.col(id_col), winnowed(F.col(text_col)).alias("prints"))
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    rows = rows.select(id_col, winnowed(F.col("__text")).alias("prints"))
     return rows.select(id_col, shown(F.col("prints")).alias("fingerprint"), "prints")
 
 
@@ -121,8 +148,12 @@ def compare(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """Each row's fingerprint beside those of its edited text and of the next row."""
     rows, order = with_next(docs, id_col, text_col)
     third = edited(F.col("text"), F.coalesce("next_text", F.lit("")))
-    made = rows.select(id_col, *ORDER, F.length("text").cast("long").alias("n_chars"), "text", winnowed(F.col("text")).alias("own"), F.when(F.col("guest") == 0, third).alias("changed"))
-    made = made.select(id_col, *ORDER, "text", "n_chars", "own", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"), winnowed(F.col("changed")).alias("near"))
+    # the windows that end before the edited part are the same in both texts and looked at once
+    kept = F.greatest(F.length("text") - F.floor(F.length("text") / 3).cast("int") - (K + W - 2), F.lit(0))
+    made = rows.select(id_col, *ORDER, F.length("text").cast("long").alias("n_chars"), "text", F.when(F.col("guest") == 0, third).alias("changed"), kept.alias("kept"))
+    made = made.withColumn("head", windows(F.col("text"), F.lit(0), F.col("kept")))
+    each = lambda c: winnowed(F.col(c), F.col("head"), F.col("kept"))
+    made = made.select(id_col, *ORDER, "text", "n_chars", F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"), each("text").alias("own"), F.when(F.col("guest") == 0, each("changed")).alias("near"))
     made = made.withColumn("following", F.lead("own").over(order)).where("guest = 0")
     sets = made.select(id_col, "n_chars", "edited_sha256", "own", "near", hashes(F.col("own")).alias("h0"), hashes(F.col("near")).alias("h1"), hashes(F.col("following")).alias("h2"))
     return sets.select(
