@@ -1,19 +1,19 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-The documents of a task are a training shard: their words, as numbers of the benchmark's
-vocabulary (0: any other word), stand one after another with a 0 between documents. Its suffix
-array holds the positions from which a match can begin, sorted by the ``window`` words that follow.
-Every test suffix is binary-searched in every shard; the range it gets is all occurrences of its
-window, and each is extended word by word to the longest verbatim match.
+The documents of a task are training shards: their words, numbered, stand one after another with a mark of its own
+behind each document, and the shard's suffix array holds all positions, ordered by the whole suffix up to its document's
+end. Every test suffix is binary-searched in every shard, word by word: the range of suffixes that agree with it narrows
+until none is left, which gives its longest verbatim match and where that is; the range at the length of a window is all
+occurrences of the window, and each is extended to its longest verbatim match.
 
 A window is ``window`` consecutive words of an item, or the whole item if it has fewer words but
 one at least. A document word inside any occurrence of a window is hit. Words are runs of digits,
 letters and all characters beyond ASCII, A-Z lower-cased.
 
 Null and empty texts have no words, on either side. Repeated documents are judged alike; items with
-equal texts are all reported. Empty tables give an empty result, an empty benchmark gives no hits.
-The benchmark is written to the shared folder in blocks of about ``BLOCK`` bytes, and each task
-takes them one by one: nothing is broadcast and nothing grows with it but time. Documents are
+equal texts are all reported, one without an identifier as ``null``. Empty tables give an empty result, an empty
+benchmark gives no hits. The benchmark is written to the shared folder in blocks of about ``BLOCK`` bytes, and each shard
+is searched for one after another: nothing is broadcast and nothing grows with it but time. Documents are
 never split, so a shard is at least as long as its longest document.
 """
 
@@ -21,22 +21,26 @@ from __future__ import annotations
 
 import hashlib
 import pickle
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fs_of, put_file, shared_dir, written
+from .common import fs_of, put_file, shared_dir, spells, tidy, written
 
 WINDOW = 10
 SHARD_WORDS = 400_000
 BLOCK = 16 << 20
-PAIRS = 2_000_000
+#: Bytes of benchmark blocks that a task keeps; further ones are read again for each shard.
+KEPT = 64 << 20
+#: Occurrences that are extended at a time.
+STEP = 1_000_000
 
 #: What becomes of each byte: A-Z lower case, what is in no word a space.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+MATCHES = "array<struct<item:string,item_at:long,at:long,length:long>>"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -44,108 +48,182 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Tests:
-    """A block of the benchmark: vocabulary, distinct windows, and the items of each."""
-
-    def __init__(self, items: list[tuple[int, list[bytes]]], window: int):
-        self.window = window
-        self.items = [(i, w) for i, w in items if w]
-        self.vocab: dict[bytes, int] = {}
-        for _, ws in self.items:
-            for w in ws:
-                self.vocab.setdefault(w, len(self.vocab) + 1)
-        by: dict[bytes, list] = {}
-        self.flat: list[np.ndarray] = []
-        for k, (_, ws) in enumerate(self.items):
-            ids = np.array([self.vocab[w] for w in ws], np.int64)
-            self.flat.append(ids)
-            n = min(window, len(ids))
-            be = ids.astype(">u4").tobytes()
-            for p in range(len(ids) - n + 1):
-                by.setdefault(be[4 * p : 4 * (p + n)], []).append((k, p))
-        width = 4 * window
-        self.low = np.array(list(by), f"S{width}")
-        self.high = np.array([k + b"\xff" * (width - len(k)) for k in by], f"S{width}")
-        self.lengths = np.array([len(k) // 4 for k in by], np.int64)
-        self.places = list(by.values())
-        self.owners = [sorted({k for k, _ in v}) for v in self.places]
-        firsts = {(int(w[0]), int(w[1])) for f in self.flat for w in zip(f[:-1], f[1:], strict=True)}
-        base = len(self.vocab) + 1
-        self.pairs = np.array(sorted(a * base + b for a, b in firsts), np.int64)
-        self.singles = np.array(sorted({int(f[0]) for f in self.flat if len(f) == 1}), np.int64)
-
-
-@lru_cache(2)
-def load(uri: str, window: int) -> Tests:
-    fs, path = fs_of(uri)
-    with fs.open_input_stream(path, compression=None) as f:
-        return Tests(pickle.loads(f.read()), window)
-
-
-def member(values: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
-    if not len(sorted_set):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(sorted_set, values), len(sorted_set) - 1)
-    return sorted_set[at] == values
-
-
-def search(tests: Tests, docs: list[list[bytes]], starts: np.ndarray, total: int, depth: np.ndarray, found: list[set], longest: np.ndarray) -> None:
-    """Adds one block's occurrences to ``depth`` (differences), ``found`` (item ids by document) and ``longest``."""
-    window, get = tests.window, tests.vocab.get
-    t = np.zeros(total + window + 1, np.int64)
-    for at, ws in zip(starts.tolist(), docs, strict=True):
-        t[at : at + len(ws)] = [get(w, 0) for w in ws]
-    base = len(tests.vocab) + 1
-    may = member(t[:total] * base + t[1 : total + 1], tests.pairs) & (t[1 : total + 1] > 0) | member(t[:total], tests.singles)
-    at = np.flatnonzero(may)
-    if not len(at) or not len(tests.low):
-        return
-    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(t, window)[at].astype(">u4")).view(f"S{4 * window}").ravel()
-    order = np.argsort(keys, kind="stable")
-    keys, suffixes = keys[order], at[order]  # the suffix array
-    lo, hi = np.searchsorted(keys, tests.low, "left"), np.searchsorted(keys, tests.high, "right")
-    for w in np.flatnonzero(hi > lo):
-        n, q = int(tests.lengths[w]), suffixes[lo[w] : hi[w]]
-        np.add.at(depth, q, 1)
-        np.add.at(depth, q + n, -1)
-        of = np.searchsorted(starts, q, "right") - 1
-        for d in np.unique(of):
-            found[d].update(tests.items[k][0] for k in tests.owners[w])
-        for k, p in tests.places[w]:
-            item, reach = tests.flat[k], n
-            here, docs_here = q, of
-            while len(here):  # one more word at a time, for those that still agree
-                np.maximum.at(longest, docs_here, reach)
-                if p + reach >= len(item):
-                    break
-                same = t[here + reach] == item[p + reach]
-                here, docs_here, reach = here[same], docs_here[same], reach + 1
-
-
-def judge_shard(docs: list[list[bytes]], blocks: list[str], window: int) -> list[tuple]:
-    """(n_words, n_hit, items, longest) of each document."""
-    lengths = np.array([len(d) for d in docs], np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths[:-1] + 1)]).astype(np.int64) if len(docs) else np.zeros(0, np.int64)
-    total = int(lengths.sum() + len(docs))
-    depth, found, longest = np.zeros(total + window + 1, np.int64), [set() for _ in docs], np.zeros(len(docs), np.int64)
-    for uri in blocks:
-        search(load(uri, window), docs, starts, total, depth, found, longest)
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(depth)[:total] > 0)])
-    return [(n, int(hit[s + n] - hit[s]), sorted(map(str, f)), int(x)) for n, s, f, x in zip(lengths.tolist(), starts.tolist(), found, longest, strict=True)]
+    """A block of the benchmark: names of the items, their words as numbers of the block's vocabulary, one item after another."""
+
+    def __init__(self, items: list[tuple[str, list[bytes]]]):
+        vocabulary: dict[bytes, int] = {}
+        items = [(i, ws) for i, ws in items if ws]
+        self.names = [i for i, _ in items]
+        flat = [vocabulary.setdefault(w, len(vocabulary)) for _, ws in items for w in ws]
+        self.flat, self.vocabulary = np.array(flat, np.int32), list(vocabulary)
+        lengths = np.array([len(ws) for _, ws in items], np.int64)
+        #: Of each suffix its item, and how many words it has.
+        self.item = np.repeat(np.arange(len(items)), lengths)
+        self.start = np.cumsum(lengths) - lengths
+        self.left = (self.start + lengths)[self.item] - np.arange(len(flat)) if items else np.zeros(0, np.int64)
+
+    def windows(self, window: int) -> np.ndarray:
+        """The length of the window that begins at each suffix, 0 if none does."""
+        whole = np.where(self.at() == 0, self.left, 0)
+        return np.where(self.left >= window, window, np.where(whole < window, whole, 0))
+
+    def at(self) -> np.ndarray:
+        """Where in its item each suffix begins."""
+        return np.arange(len(self.flat)) - self.start[self.item] if len(self.flat) else self.left
+
+
+class Blocks:
+    """The benchmark's blocks for one task."""
+
+    def __init__(self, uris: list[str]):
+        self.uris, self.kept, self.size = uris, {}, 0
+
+    def __iter__(self) -> Iterator[Tests]:
+        for uri in self.uris:
+            if uri in self.kept:
+                yield self.kept[uri]
+                continue
+            fs, path = fs_of(uri)
+            with fs.open_input_stream(path, compression=None) as f:
+                data = f.read()
+            tests = pickle.loads(data)
+            if self.size + 4 * len(data) <= KEPT:
+                self.kept[uri] = tests
+                self.size += 4 * len(data)
+            yield tests
+
+
+class Shard:
+    """The words of some documents and their suffix array."""
+
+    def __init__(self, docs: list[list[bytes]]):
+        self.lengths = np.array([len(d) for d in docs], np.int64)
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+        number: dict[bytes, int] = {}
+        ends = len(docs)
+        t: list[int] = []
+        for k, ws in enumerate(docs):
+            t += [number.setdefault(w, ends + len(number)) for w in ws]
+            t.append(k)  # a mark that no other document has, before all words
+        self.words, self.number = np.array(t, np.int64), number
+        self.order = suffix_array(self.words)
+
+    def find(self, tests: Tests, window: int):
+        """(longest match of each suffix, a place of it, suffixes whose window occurs, the ranges of their occurrences)."""
+        t, order, numbers = self.words, self.order, np.array([self.number.get(w, -1) for w in tests.vocabulary], np.int64)
+        q = numbers[tests.flat] if len(tests.flat) else tests.left
+        firsts = t[order]
+        lo, hi = np.searchsorted(firsts, q, "left"), np.searchsorted(firsts, q, "right")
+        longest, place, wanted = np.zeros(len(q), np.int64), np.full(len(q), -1, np.int64), tests.windows(window)
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        active, k = np.flatnonzero((lo < hi) & (q >= 0)), 1
+        lo, hi = lo[active], hi[active]
+        while len(active):
+            longest[active], place[active] = k, order[lo]
+            done = wanted[active] == k
+            hits.append((active[done], lo[done], hi[done]))
+            more = tests.left[active] > k
+            active, lo, hi = active[more], lo[more], hi[more]
+            word = q[active + k]
+            lo = bisect(t, order, k, word, lo, hi, False)
+            hi = bisect(t, order, k, word, lo, hi, True)
+            some = lo < hi
+            active, lo, hi, k = active[some], lo[some], hi[some], k + 1
+        at, lo, hi = (np.concatenate([h[i] for h in hits] or [np.zeros(0, np.int64)]) for i in range(3))
+        return longest, place, q, at, lo, hi
+
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, "right") - 1
+
+
+def bisect(t: np.ndarray, order: np.ndarray, k: int, word: np.ndarray, lo: np.ndarray, hi: np.ndarray, right: bool) -> np.ndarray:
+    """In each range of suffixes that agree in k words, where the next word is no longer less (or: no longer as small)."""
+    lo, hi = lo.copy(), hi.copy()
+    open_ = np.flatnonzero(lo < hi)
+    while len(open_):
+        mid = (lo[open_] + hi[open_]) // 2
+        there = t[order[mid] + k]
+        up = there <= word[open_] if right else there < word[open_]
+        lo[open_[up]] = mid[up] + 1
+        hi[open_[~up]] = mid[~up]
+        open_ = open_[lo[open_] < hi[open_]]
+    return lo
+
+
+def suffix_array(t: np.ndarray) -> np.ndarray:
+    """All positions by their whole suffixes: prefix doubling, and each round sorts only what is still tied. Every document ends with a value of its own, so no comparison goes beyond it."""
+    n = len(t)
+    order = np.argsort(t, kind="stable")
+    fresh = np.concatenate([[True], np.diff(t[order]) != 0])[:n]
+    rank = np.zeros(n, np.int64)
+    first = np.flatnonzero(fresh)
+    rank[order] = first[np.cumsum(fresh) - 1] if n else first
+    tied = np.flatnonzero(~(fresh & np.concatenate([fresh[1:], [True]])[:n]))
+    h = 1
+    while len(tied):
+        at = order[tied]
+        key = rank[at] * (n + 1) + rank[at + h]
+        by = np.argsort(key, kind="stable")
+        at, key = at[by], key[by]
+        order[tied] = at
+        fresh = np.concatenate([[True], np.diff(key) != 0])
+        first = np.flatnonzero(fresh)
+        rank[at] = tied[first[np.cumsum(fresh) - 1]]
+        tied = tied[~(fresh & np.concatenate([fresh[1:], [True]]))]
+        h *= 2
+    return order
+
+
+def judge_shard(docs: list[list[bytes]], blocks: Blocks, window: int) -> list[tuple]:
+    """(n_words, n_hit, items, longest, matches) of each document."""
+    shard = Shard(docs)
+    t, depth = shard.words, np.zeros(len(shard.words) + 1, np.int64)
+    found: list[set] = [set() for _ in docs]
+    matches: list[set] = [set() for _ in docs]
+    for tests in blocks:
+        _, _, q, suffixes, lo, hi = shard.find(tests, window)
+        wanted, start = tests.windows(window), tests.at()
+        counts = hi - lo
+        cuts = np.searchsorted(np.cumsum(counts), np.arange(STEP, counts.sum() + STEP, STEP)) if len(counts) else []
+        for part in np.split(np.arange(len(suffixes)), np.unique(np.asarray(cuts, np.int64) + 1)):
+            if not len(part):
+                continue
+            j = np.repeat(suffixes[part], counts[part])
+            within = np.arange(len(j)) - np.repeat(np.cumsum(counts[part]) - counts[part], counts[part])
+            at = shard.order[np.repeat(lo[part], counts[part]) + within]
+            reach = wanted[j]
+            np.add.at(depth, at, 1)
+            np.add.at(depth, at + reach, -1)
+            # what begins one word earlier, too, is part of a longer match
+            inner = (start[j] > 0) & (at > 0) & (t[at - 1] == q[j - 1])
+            doc = shard.document(at)
+            for d, k in {*zip(doc.tolist(), tests.item[j].tolist(), strict=True)}:
+                found[d].add(tests.names[k])
+            j, at, reach, doc = j[~inner], at[~inner], reach[~inner], doc[~inner]
+            going = np.arange(len(j))
+            while len(going := going[tests.left[j[going]] > reach[going]]) and len(going := going[t[at[going] + reach[going]] == q[j[going] + reach[going]]]):
+                reach[going] += 1
+            for d, k, i, p, n in zip(doc.tolist(), tests.item[j].tolist(), start[j].tolist(), (at - shard.starts[doc]).tolist(), reach.tolist(), strict=True):
+                matches[d].add((tests.names[k], i, p, n))
+    hit = np.concatenate([[0], np.cumsum(np.cumsum(depth)[:-1] > 0)])
+    made = zip(shard.lengths.tolist(), shard.starts.tolist(), found, matches, strict=True)
+    return [(n, int(hit[s + n] - hit[s]), sorted(f), max((x[3] for x in m), default=0), sorted(m, key=lambda x: (x[2], x[0], x[1]))) for n, s, f, m in made]
 
 
 def prepare(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[str]:
-    """The benchmark's words in blocks in the shared folder; their paths. Null ids become -1."""
+    """The benchmark's words in blocks in the shared folder; their paths."""
     spark = benchmark.sparkSession
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     folder = shared_dir(spark, "benchmark")
 
+    @tidy
     def run(batches):
         from pyspark import TaskContext
 
-        items = [(i, words_of(t)) for b in batches for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        tests = Tests([(i, words_of(t)) for b in batches for i, t in zip(*(c.to_pylist() for c in b.columns), strict=True)])
         uri = f"{folder}/{TaskContext.get().partitionId():05d}.items"
-        put_file(uri, lambda out: out.write(pickle.dumps(items)))
+        put_file(uri, lambda out: out.write(pickle.dumps(tests)))
         yield pa.RecordBatch.from_arrays([pa.array([uri])], names=["path"])
 
     manifest = written(spark, rows.repartition(max(1, -(-size // BLOCK))).mapInArrow(run, "path string"), "benchmark-manifest")
@@ -153,48 +231,84 @@ def prepare(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns to keep, n_words, n_hit, items array<string> (sorted as strings), longest (words), for every row."""
-    blocks = prepare(benchmark)
+    """``id_col``, the columns to keep, n_words, n_hit, items array<string> (sorted as strings), longest (words) and matches, for every row.
+
+    ``matches`` are the longest verbatim matches of a window or more: item, the word of the item and the word of the
+    document where it begins (from 0), and its length in words; by place in the document.
+    """
+    uris = prepare(benchmark)
     rows = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    names = [id_col, *keep, "n_words", "n_hit", "items", "longest"]
+    names = [id_col, *keep, "n_words", "n_hit", "items", "longest", "matches"]
+    place = pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("length", pa.int64())]))
 
+    @tidy
     def run(batches):
-        for whole, made in shards(batches, rows_at, blocks, window):
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64())
-            yield pa.RecordBatch.from_arrays([*whole.columns[:-1], *(pa.array([m[i] for m in made], k) for i, k in enumerate(kinds))], names=names)
+        blocks = Blocks(uris)
+        for whole, words in shards(batches, rows_at):
+            made = judge_shard(words, blocks, window)
+            cols = [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()))]
+            cols.append(pa.array([[dict(zip(("item", "item_at", "at", "length"), x, strict=True)) for x in m[4]] for m in made], place))
+            yield pa.RecordBatch.from_arrays([*whole.columns[:-1], *cols], names=names)
 
     rows_at = len(keep) + 1
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    return rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, longest long")
+    return rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, longest long, matches {MATCHES}")
+
 
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """item, item_at, length, ``id_col``, at: for every suffix of every item its longest verbatim match in all documents, however short, and a place of it. Suffixes whose first word no document has are left out."""
+    uris = prepare(benchmark)
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+    kind = rows.schema[id_col].dataType.simpleString()
 
-def shards(batches, at: int, blocks: list[str], window: int):
-    """The rows of each shard in one batch, whose column ``at`` is the text, and what was found in them."""
+    @tidy
+    def run(batches):
+        blocks = Blocks(uris)
+        for whole, words in shards(batches, 1):
+            shard = Shard(words)
+            for tests in blocks:
+                longest, place, *_ = shard.find(tests, WINDOW)
+                j = np.flatnonzero(longest)
+                doc = shard.document(place[j])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([tests.names[k] for k in tests.item[j]], pa.string()), pa.array(tests.at()[j]), pa.array(longest[j]), whole.column(0).take(pa.array(doc)), pa.array(place[j] - shard.starts[doc])],
+                    names=["item", "item_at", "length", id_col, "at"],
+                )
+
+    found = rows.mapInArrow(run, f"item string, item_at long, length long, `{id_col}` {kind}, at long")
+    best = F.max_by(F.struct(id_col, "at"), "length")
+    return found.groupBy("item", "item_at").agg(F.max("length").alias("length"), best.alias("p")).select("item", "item_at", "length", F.col("p")[id_col].alias(id_col), F.col("p.at").alias("at"))
+
+
+def shards(batches, at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """The rows of each shard in one batch, whose column ``at`` is the text, and the words of each."""
     held, words, n = [], [], 0
 
-    def judged():
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0], judge_shard(words, blocks, window)
+    def whole() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        for i in range(0, batch.num_rows, 128):
-            b = batch.slice(i, 128)
+        for start, size in spells(batch.column(at), 128, 1 << 20):
+            b = batch.slice(start, size)
             held.append(b)
             words += [words_of(t) for t in b.column(at).to_pylist()]
             n += sum(map(len, words[-b.num_rows :]))
             if n >= SHARD_WORDS:
-                yield judged()
+                yield whole(), words
                 held, words, n = [], [], 0
     if held:
-        yield judged()
+        yield whole(), words
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text") -> DataFrame:
     """The rows, all columns as they were, in which no window occurs."""
-    blocks, at = prepare(benchmark), docs.columns.index(text_col)
+    uris, at = prepare(benchmark), docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
-        for whole, made in shards(batches, at, blocks, window):
-            yield whole.filter(pa.array([m[1] == 0 for m in made]))
+        blocks = Blocks(uris)
+        for whole, words in shards(batches, at):
+            yield whole.filter(pa.array([m[1] == 0 for m in judge_shard(words, blocks, window)]))
 
     return docs.mapInArrow(run, docs.schema)
 
