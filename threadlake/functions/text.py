@@ -54,8 +54,12 @@ def positions(toks: Column, word: str) -> Column:
 
 
 def near(toks: Column, a: str, b: str, n: int) -> Column:
-    """At most ``n`` other words between the two, in either order."""
-    return F.exists(positions(toks, a), lambda p: F.exists(positions(toks, b), lambda q: F.abs(p - q) - 1 <= n))
+    """At most ``n`` other words between the two, in either order: in a text that has both, the two lists of places are merged and each place is looked at with the one before it."""
+    places = F.array_sort(F.concat(F.transform(positions(toks, a), lambda p: p * 2), F.transform(positions(toks, b), lambda p: p * 2 + 1)))
+    # neighbours of different words; a word next to itself says nothing about the other
+    pairs = lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda p, q: (p % 2 != q % 2) & (F.floor(q / 2) - F.floor(p / 2) - 1 <= n))
+    close = F.get(F.transform(F.array(places), lambda x: F.exists(pairs(x), lambda y: y)), F.lit(0))
+    return has_word(toks, a) & has_word(toks, b) & (F.lit(True) if a == b else close)
 
 
 def negated(predicate: Column) -> Column:
@@ -77,9 +81,13 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
 
 
+#: Parameters by which advertisers and mailers know a reader again.
+TRACKERS = ("gclid", "fbclid", "msclkid", "dclid", "yclid", "twclid", "ttclid", "igshid", "mc_eid", "_hsenc", "_hsmi", "mkt_tok", "vero_id", "wickedid", "oly_enc_id", "oly_anon_id")
+
+
 def without_tracking(url: Column) -> Column:
-    """The url without the parameters that follow people around."""
-    x = F.regexp_replace(url, r"(?i)([?&])(utm_[a-z]+|gclid|fbclid|mc_eid|mc_cid|ref)=[^&#]*", "$1")
+    """The url without the parameters that follow people around. Campaign tags say nothing about who reads, and stay; so does ``ref``, which ordinary links need."""
+    x = F.regexp_replace(url, rf"(?i)([?&])({'|'.join(TRACKERS)})=[^&#]*", "$1")
     x = F.regexp_replace(x, r"&&+", "&")
     return F.regexp_replace(F.regexp_replace(x, r"\?&", "?"), r"[?&]+(#|$)", "$1")
 

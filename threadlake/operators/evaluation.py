@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 
 def gain(rank: Column, grade: Column) -> Column:
     return grade / F.log2(rank + 1)
@@ -42,10 +44,21 @@ def judged(run: DataFrame, judgments: DataFrame, k: int, query: str = "query", d
 
 
 def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """Percentiles as elements: the ceil(n * p)-th smallest, the first at least. Counted values are ranked, not rows."""
+    """Percentiles as elements: the ceil(n * p)-th smallest, the first at least.
+
+    Counted values are dealt to ranges; the driver gets a count for each range (a job that runs while the plan is built),
+    and a task ranks the values of one range alone.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    n = counts.agg(F.sum("c")).first()[0] or 0
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = written(counts.repartitionByRange(tasks, value).withColumn("__r", F.spark_partition_id()), "ranges")
+    before, n = {}, 0
+    for r in sorted(ranges.groupBy("__r").agg(F.sum("c").alias("c")).collect()):  # a row a range
+        before[r["__r"]], n = n, n + r["c"]
+    if not n:
+        return counts.agg(*[F.min(value).alias(f"p{round(100 * p)}") for p in shares])
+    start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__r"))
+    upto = ranges.withColumn("upto", start + F.sum("c").over(Window.partitionBy("__r").orderBy(value)))
     want = lambda p: max(-(-int(n * p * 10**6) // 10**6), 1)
     return upto.agg(*[F.min(F.when(F.col("upto") >= want(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
 
@@ -17,12 +19,18 @@ def corpus(docs: DataFrame, text_col: str, toks) -> DataFrame:
 
 
 def tf(word: str) -> Column:
-    return F.size(F.filter("toks", lambda t: t == word))
+    """How often the word occurs: what is missing once it is taken out."""
+    return F.size("toks") - F.size(F.array_remove("toks", word))
+
 
+def bm25(docs: DataFrame, words: list[str], drop: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``docs`` (with toks) with a score; rows without any of the words are left out.
 
-def bm25(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``docs`` (with toks) with a score; rows without any of the words are left out. Corpus statistics take one pass."""
+    Texts are tokenised once: what scores need is written down, narrow, and both the corpus statistics (a job that runs
+    while the plan is built) and the scores read that.
+    """
     counted = docs.withColumns({f"tf{i}": tf(w) for i, w in enumerate(words)} | {"dl": F.size("toks")})
+    counted = written(counted.drop("toks", *drop), "counted")
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(words))]).first()
     score = F.lit(0.0)
     for i in range(len(words)):

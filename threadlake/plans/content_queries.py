@@ -87,9 +87,9 @@ def convex_fuse(spark, sf):
     return n.select("vec_id", F.round(0.7 * F.col("s") + 0.3 * F.col("l"), 6).alias("score")).orderBy(F.desc("score"), "vec_id").limit(15)
 
 
-@query("SELECT event_id, round((value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events), 6) AS norm FROM events WHERE event_type = 'error' AND user_id < 20")
+@query("SELECT event_id, round((value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events), 6) AS norm FROM events")
 def minmax_norm(spark, sf):
-    return S.minmax(load(spark, sf, "events"), "value", "n").where("event_type = 'error' and user_id < 20").select("event_id", F.round("n", 6).alias("norm"))
+    return S.minmax(load(spark, sf, "events"), "value", "n").select("event_id", F.round("n", 6).alias("norm"))
 
 
 @query(DOCS + "SELECT doc_id, len(toks)::BIGINT AS n, len(list_distinct(toks))::BIGINT AS n_distinct, md5(array_to_string(toks, ' ')) AS digest FROM d")
@@ -117,7 +117,7 @@ def anchors(spark, sf):
     return h.select("page_id", F.size("h").cast("long").alias("n"), F.array_join("h", " ").alias("hrefs"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '(?i)([?&])(utm_[a-z]+|gclid|fbclid|mc_eid|mc_cid|ref)=[^&#]*', '\\1', 'g'), '&&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+(#|$)', '\\1', 'g') AS url FROM pages")
+@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '(?i)([?&])(" + "|".join(X.TRACKERS) + ")=[^&#]*', '\\1', 'g'), '&&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+(#|$)', '\\1', 'g') AS url FROM pages")
 def url_strip_tracking(spark, sf):
     return load(spark, sf, "pages").select("page_id", X.without_tracking(F.col("url")).alias("url"))
 
@@ -138,9 +138,9 @@ def check_digit_mod10(spark, sf):
     return n.where(X.mod10_ok(F.col("number")))
 
 
-@query("SELECT doc_id, len(string_split_regex(trim(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), '\\n+'))::BIGINT AS n FROM documents WHERE source = 'src3' AND text NOT LIKE '% ' AND regexp_matches(text, '^\\S')")
+@query("SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+', '\\1' || chr(10), 'g'), '\\n+'), lambda x: trim(x) <> ''))::BIGINT AS n FROM documents")
 def sentence_split(spark, sf):
-    d = load(spark, sf, "documents").where("source = 'src3' and text not like '% '").where(F.col("text").rlike(r"^\S"))
+    d = load(spark, sf, "documents")
     return d.select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
 
 

@@ -112,12 +112,12 @@ def ranking_prior(spark, sf):
     return e.where("event_type = 'view'").join(sent, "user_id", "left").select("event_id", F.round(p, 6).alias("prior"))
 
 
-@query(ME + ", a AS (SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 30), b AS (SELECT vec_id, label / 9.0 AS score FROM s WHERE vec_id % 10 = 0) SELECT vec_id, round(0.5 * coalesce(b.score, 0) + 0.5 * coalesce(a.score, 0), 6) AS score FROM a FULL JOIN b USING (vec_id)")
+@query(ME + ", a AS (SELECT vec_id, score FROM s ORDER BY score DESC, vec_id LIMIT 30), b AS (SELECT vec_id, label / 9.0 AS score FROM s WHERE label >= 7) SELECT vec_id, round(0.5 * coalesce(b.score, 0) + 0.5 * coalesce(a.score, 0), 6) AS score FROM a FULL JOIN b USING (vec_id)")
 def hybrid_fused(spark, sf):
     """Two candidate lists, of which either may miss what the other has."""
     v, q = vectors(spark, sf)
     sem = V.nearest(v, q, 30, "vec_id").select("vec_id", "score")
-    kw = v.where("vec_id % 10 = 0").select("vec_id", (F.col("label") / 9.0).alias("score"))
+    kw = v.where("label >= 7").select("vec_id", (F.col("label") / 9.0).alias("score"))
     return S.fused(kw, sem, "vec_id", 0.5).withColumn("score", F.round("score", 6))
 
 
@@ -164,11 +164,11 @@ def people_intersection(spark, sf):
     return e.where("event_type = 'error'").select("user_id").intersect(e.where("event_type = 'signup'").select("user_id"))
 
 
-@query("SELECT c_custkey, word FROM (SELECT c_custkey, unnest(string_split(lower(c_name), '#')) AS word FROM customer WHERE c_custkey < 100) WHERE word <> ''")
+@query("SELECT c_custkey, word FROM (SELECT c_custkey, unnest(string_split(lower(c_name), '#')) AS word FROM customer) WHERE word <> ''")
 def person_words(spark, sf):
     """The inverted index of names."""
     words = F.explode(F.split(F.lower("c_name"), "#"))
-    return load(spark, sf, "customer").where("c_custkey < 100").select("c_custkey", words.alias("word")).where("word <> ''")
+    return load(spark, sf, "customer").select("c_custkey", words.alias("word")).where("word <> ''")
 
 
 @query("SELECT l.l_orderkey, l.l_linenumber, o.o_custkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' AND o.o_orderpriority = '1-URGENT' AND o.o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
@@ -214,13 +214,13 @@ def receipt_totals(spark, sf):
     return spark.createDataFrame([(t,) for t, _ in RECEIPTS], "text string").select("text", X.receipt_total(F.col("text")).alias("total"))
 
 
-SENT = "WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '\\n+')) AS line FROM documents WHERE source = 'src3'), w AS (SELECT doc_id, trim(line) AS line, regexp_extract_all(lower(line), '[a-z]+') AS ws FROM s WHERE trim(line) <> '') "
+SENT = "WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '\\n+')) AS line FROM documents), w AS (SELECT doc_id, trim(line) AS line, regexp_extract_all(lower(line), '[a-z]+') AS ws FROM s WHERE trim(line) <> '') "
 
 
 @query(SENT + ", q AS (SELECT *, len(list_filter(list_distinct(ws), lambda x: x IN ('thing', 'than', 'the'))) AS hits FROM w), r AS (SELECT doc_id, md5(line) AS line, round(hits / 3.0 + hits::DOUBLE / greatest(len(ws), 5), 6) AS score FROM q WHERE hits > 0) SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line) = 1")
 def line_score(spark, sf):
     """The best line of each document: how many of the words it has, and how densely."""
-    lines = load(spark, sf, "documents").where("source = 'src3'").select("doc_id", F.explode(F.split("text", r"\n+")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
+    lines = load(spark, sf, "documents").select("doc_id", F.explode(F.split("text", r"\n+")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
     ws = F.regexp_extract_all(F.lower("line"), F.lit("[a-z]+"), F.lit(0))
     scored = lines.withColumn("ws", ws).withColumn("hits", F.size(F.array_intersect("ws", F.array(F.lit("thing"), F.lit("than"), F.lit("the")))))
     scored = scored.where("hits > 0").select("doc_id", F.md5(F.col("line").cast("binary")).alias("line"), F.round(F.col("hits") / 3.0 + F.col("hits") / F.greatest(F.size("ws"), F.lit(5)), 6).alias("score"))
