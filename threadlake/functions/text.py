@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -54,12 +55,12 @@ def positions(toks: Column, word: str) -> Column:
 
 
 def near(toks: Column, a: str, b: str, n: int) -> Column:
-    """At most ``n`` other words between the two, in either order: in a text that has both, the two lists of places are merged and each place is looked at with the one before it."""
-    places = F.array_sort(F.concat(F.transform(positions(toks, a), lambda p: p * 2), F.transform(positions(toks, b), lambda p: p * 2 + 1)))
-    # neighbours of different words; a word next to itself says nothing about the other
-    pairs = lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - 1, F.lit(0))), F.slice(x, 2, F.greatest(F.size(x) - 1, F.lit(0))), lambda p, q: (p % 2 != q % 2) & (F.floor(q / 2) - F.floor(p / 2) - 1 <= n))
-    close = F.get(F.transform(F.array(places), lambda x: F.exists(pairs(x), lambda y: y)), F.lit(0))
-    return has_word(toks, a) & has_word(toks, b) & (F.lit(True) if a == b else close)
+    """At most ``n`` other words between the two, in either order; the text is looked through once."""
+    if a == b:
+        return has_word(toks, a)
+    between = r"(?: [^ ]+){0,%d} " % n
+    either = "|".join(f"(?:^| ){re.escape(x)}{between}{re.escape(y)}(?: |$)" for x, y in ((a, b), (b, a)))
+    return F.array_join(toks, " ").rlike(either)
 
 
 def negated(predicate: Column) -> Column:

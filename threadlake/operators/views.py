@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def collapsed_charges(charges: DataFrame, key: str, day: str, ident: str, within: int = 3) -> DataFrame:
-    """Charges without those less than ``within`` days after the last one kept.
+    """Charges without those less than ``within`` (one at least) days after the last one kept.
 
-    Each decision depends on the one before it, which no window frame can say, so a key's charges are
-    taken in order of day; a key is a person and a merchant, so its charges are few.
+    Of a day the charge with the least identifier alone can stay, so a key is first reduced to its days; each decision
+    depends on the one before it, which no window frame can say, so the days are then taken in order as one array.
     """
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([day, ident])
-        last, kept = None, []
-        for d in pdf[day]:
-            kept.append(last is None or d - last >= within)
-            last = d if kept[-1] else last
-        return pdf[kept]
-
-    return charges.groupBy(key).applyInPandas(keep, charges.schema)
+    firsts = charges.groupBy(key, day).agg(F.min_by(F.struct(*charges.columns), ident).alias("c"))
+    days = firsts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(day), F.col("c")))).alias("days"))
+    fresh = lambda kept, x: (F.size(kept) == 0) | (x[day] - F.try_element_at(kept, F.lit(-1))[day] >= within)
+    kept = F.aggregate("days", F.slice("days", 1, 0), lambda kept, x: F.when(fresh(kept, x), F.array_append(kept, x)).otherwise(kept))
+    return days.select(F.inline(kept)).select("c.*")
 
 
 def cadence(charges: DataFrame, key: str, day: str, amount: str, least: int = 3, slack: float = 0.25, steady: float = 0.75) -> DataFrame:
