@@ -14,11 +14,13 @@ Equal sets are folded into one representative first. Then, for buckets of two or
    each), a pair in the first bucket it shares, and only while its components differ; links are again
    confirmed on full sets.
 So components are those of all links, while no pair within a component need be looked at twice, no
-list of pairs of a group is made, and no task holds a bucket: a large one is cut into blocks.
+list of pairs of a group is made, and no task holds a bucket: a large one is cut into blocks, and wherever rows meet
+the one row of their key, bucket or centre, keys with many rows are dealt out to several tasks (``dealt_join``).
 
 Null and empty texts have empty sets and are linked with nothing; rows with a null identifier are
 linked with nothing and have a null component. An identifier that occurs with several texts is linked by any of them. An
-empty table gives an empty result; only the identifier and the text are read.
+empty table gives an empty result; only the identifier and the text are read. Whole texts are read; a very long one is
+an array of hashes in one task.
 """
 
 from __future__ import annotations
@@ -30,12 +32,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spells, tidy, written
+from .common import dealt_join, spells, tidy, written
 
 PERMUTATIONS, ROWS = 48, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 BLOCK_SHINGLES, BLOCK_ROWS = 2_000_000, 4096
-BROADCAST_IDS = 1_000_000
 TABLE_BYTES = 2_000_000
 ROWS_AT_ONCE, SIZE = 512, 1 << 20
 
@@ -115,9 +116,8 @@ def signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """id, grams of the wanted identifiers. Few enough identifiers go to the texts; else the texts are dealt out to them."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    """id, grams of the wanted identifiers, which are a table whose size Spark knows."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi")
 
     @tidy
     def run(batches):
@@ -196,24 +196,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     """``id_col``, n_shingles, component_id, kept for every row: sets of ``n``-word shingles, linked from ``percent`` hundredths of similarity."""
     spark = docs.sparkSession
     sigs = written(spark, signatures(docs, n, id_col, text_col), "signatures")
-    reps = sigs.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"))
+    reps = sigs.where("set_hash is not null and id is not null").groupBy("set_hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
     reps = written(spark, reps, "representatives")
     own = sigs.join(reps, (sigs["set_hash"] == reps["set_hash"]) & (sigs["id"] == reps["rep"])).select("id", "n_shingles", "bands").dropDuplicates(["id", "bands"])
     own = written(spark, own, "bands")
     rows = own.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = written(spark, rows.groupBy("key").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    placed = written(spark, rows.join(buckets, "key"), "placed")
+    placed = written(spark, dealt_join(rows, buckets, "key", "id"), "placed")
     pairs = written(spark, placed.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    grams = written(spark, sets_of(docs, placed.select("id").distinct(), n, id_col, text_col), "sets")
+    grams = written(spark, sets_of(docs, written(spark, placed.select("id").distinct(), "members"), n, id_col, text_col), "sets")
     # a pair is compared where its first set is, so only one set of a pair travels twice
     ga, gb = grams.select(F.col("id").alias("a"), F.col("grams").alias("x")), grams.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    met = pairs.join(gb, "b").join(ga, "a").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("m"))
+    centres = written(spark, pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "centres")
+    met = dealt_join(pairs.join(gb, "b"), ga.join(centres, "a"), "a", "b").select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), F.size(F.array_intersect("x", "y")).alias("m"))
     links = written(spark, met.where(similar(F.col("m"), F.col("nx"), F.col("ny"), percent)).select("a", "b"), "links")
     comp = components(spark, links)
 
     labelled = placed.where("n > 2").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks")).where("lo < hi").select("key", "blocks")
-    left = labelled.join(open_keys, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.greatest(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.ceil(F.count(F.lit(1)) / BLOCK_ROWS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "blocks", "n")
+    left = dealt_join(labelled.drop("n"), written(spark, open_keys, "open"), "key", "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", "band", "id", "comp", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     left = left.join(own.select("id", "bands"), "id").join(grams, "id")
     more = written(spark, left.groupBy("key", "i", "j").applyInPandas(compare_block(percent), "a long, b long"), "links")
@@ -224,14 +225,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     ends = comp.select("id", "comp").union(between.select(F.col("a").alias("id"), F.col("a").alias("comp"))).union(between.select(F.col("b").alias("id"), F.col("b").alias("comp"))).groupBy("id").agg(F.min("comp").alias("comp"))
     final = written(spark, ends.join(upper, "comp", "left").select(F.col("id").alias("rep"), F.coalesce("top", "comp").alias("class")), "classes")
 
-    every = sigs.select("id", "n_shingles", "set_hash").join(reps, "set_hash", "left").join(final, "rep", "left")
-    component = F.coalesce("class", "rep", "id")
+    classes = written(spark, reps.join(final, "rep", "left").select("set_hash", F.coalesce("class", "rep").alias("class"), "n"), "classes")
+    every = dealt_join(sigs.select("id", "n_shingles", "set_hash"), classes, "set_hash", "id", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("class", "id"))
     return every.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows, all columns as they were, that are the smallest identifier of their component; rows without one stay."""
+    """One row, all columns as they were, of each component: the one of its smallest identifier. Of rows that repeat an identifier one stays; rows without an identifier all do."""
     spark = docs.sparkSession
-    gone = written(spark, near_duplicates(docs, n, percent, id_col, text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct(), "gone")
-    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    judged = written(spark, near_duplicates(docs, n, percent, id_col, text_col).select(F.col(id_col).alias("id"), "kept"), "judged")
+    gone = written(spark, judged.where("not kept").select("id").distinct(), "gone")
+    kept = docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    twice = written(spark, judged.where("kept and id is not null").groupBy("id").count().where("count > 1").select("id"), "twice")
+    if twice.isEmpty():
+        return kept
+    once = kept.join(twice, kept[id_col] == twice["id"], "left_anti")
+    return once.unionByName(kept.join(twice, kept[id_col] == twice["id"], "left_semi").dropDuplicates([id_col]))
