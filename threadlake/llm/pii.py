@@ -12,8 +12,10 @@ local part before it, whose dots may be, too. In brackets it always does. What d
 dots that are not all written, a digit or dot in the local part or a word about mail nearby are enough (``look at the dot on``
 is prose); else a domain's last label with spelled dots; with written dots alone (``more at example.com``) the
 address has to stand alone. A plain match that fails its check (digits, Luhn, 255) is dropped, not retried.
+Digits, at, dot and plus are known in English, German, French and Spanish.
 Null and empty texts have no spans. Repeated rows get equal results, an empty table an empty result;
-only the named columns are read.
+only the named columns are read. Whole texts are read, in slices bounded in bytes; the time for a very long text grows with
+its length, not the square of it.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ ROWS, SIZE = 512, 4 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# what begins inside a run of digits also begins at its start, so only starts of runs are tried, and a run is never given back
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -69,7 +72,7 @@ def luhn(digits: str) -> bool:
 def plain(text: str) -> list[Span]:
     out = emails(text) if "@" in text else []
     if _DIGIT.search(text):
-        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+        out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) < 4 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
         for m in _CARD.finditer(text):
             d = re.sub(r"[^0-9]", "", m.group())
             if 14 <= len(d) <= 19 and luhn(d):
@@ -87,24 +90,33 @@ LOOKALIKES = {
     "ı": "i", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", " ": " ", " ": " ", " ": " ",
 }
 _INVISIBLE = re.compile("[­​-‍⁠﻿]+")
-#: The words for the digits.
-DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: The words for the digits, in English, German, French and Spanish.
+DIGITS = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: The words for at and dot, and for the plus of a phone number.
+AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "arroba", "arobase"), ("dot", "punkt", "point", "punto"), ("plus", "más")
+_ATS, _DOTS = "(?:" + "|".join(AT_WORDS) + ")", "(?:" + "|".join(DOT_WORDS) + ")"
 _WORD = "(?:" + "|".join(DIGITS) + ")"
-_RUN = re.compile(rf"(?<![a-z])(?:plus[\s-]+(?={_WORD}|[0-9]))?{_WORD}(?:[\s,.-]+{_WORD}){{2,}}(?![a-z])", re.I)
-_FEW = re.compile(rf"{_WORD}[\s,.-]+{_WORD}[\s,.-]+{_WORD}")
-_DIGIT_WORD = re.compile(rf"(?<![a-z]){_WORD}(?![a-z])", re.I)
+_RUN = re.compile(rf"(?<![^\W\d_])(?:(?:{'|'.join(PLUS_WORDS)})[\s-]++(?={_WORD}|[0-9]))?{_WORD}(?:[\s,.-]++{_WORD}){{2,}}(?![^\W\d_])", re.I)
+_FEW = re.compile(rf"{_WORD}[\s,.-]++{_WORD}[\s,.-]++{_WORD}")
+_DIGIT_WORD = re.compile(rf"(?<![^\W\d_]){_WORD}(?![^\W\d_])", re.I)
 _OPEN, _SHUT = r"[\[({<]\s*", r"\s*[\])}>]"
-_AT = re.compile(rf"\s*{_OPEN}(?:at|@|arroba|ät){_SHUT}\s*", re.I)
-_DOT = re.compile(rf"\s*{_OPEN}(?:dot|\.|punkt|point|punto){_SHUT}\s*", re.I)
-_DISGUISED = rf"(?:{_DOT.pattern}|\s+dot\s+)"
+# both begin at the bracket, and the white space before it is taken in afterwards: from every space of a long run on would take quadratic time
+_AT = re.compile(rf"{_OPEN}(?:@|ät|{_ATS}){_SHUT}\s*", re.I)
+_DOT = re.compile(rf"{_OPEN}(?:\.|{_DOTS}){_SHUT}\s*", re.I)
+_DISGUISED = rf"(?:\s*{_DOT.pattern}|\s+{_DOTS}\s+)"
 _BEHIND = re.compile(rf"[\s,.-]*[0-9]|[\s,.-]+{_WORD}(?![a-z])|{_DISGUISED}(?:[0-9]|{_WORD}(?![a-z]))|\)[\s.-]*(?:[0-9]|{_WORD}(?![a-z]))", re.I)
 _BEFORE = re.compile(rf"(?:[0-9][\s,.-]*|[0-9]\)[\s.-]*|(?<![a-z]){_WORD}\)?[\s,.-]+|(?:[0-9]|(?<![a-z]){_WORD}){_DISGUISED}|\+[\s(.-]*)$", re.I)
-_ENDS = ("dot", "ero", "oh", "one", "two", "ree", "our", "ive", "six", "ven", "ght", "ine", *"0123456789)]}>+")
-_PLUS = re.compile(rf"(?<![a-z])plus[\s-]+(?=[\s(]*(?:[0-9]|{_WORD}(?![a-z])))", re.I)
-_DOT_DIGITS = re.compile(r"(?<=[0-9])\s+dot\s+(?=[0-9])", re.I)
-_SPELLED = re.compile(r"\s+dot\s+", re.I)
-_HEAD = re.compile(r"@|(?<!\S)at(?=\s)", re.I)
-_HOST = re.compile(r"\s*((?!(?:dot|at)\s)[A-Za-z0-9-]++(?:(?:\s+dot\s+|\.)(?!dot\b|at\s+[A-Za-z0-9-]++(?:\s+dot\s|\.[A-Za-z0-9]))[A-Za-z0-9-]++)++)", re.I)
+_ENDS = (*{w[-3:] for w in (*DIGITS, *DOT_WORDS)}, *"0123456789)]}>+")
+_PLUS = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(PLUS_WORDS)})[\s-]++(?=[\s(]*+(?:[0-9]|{_WORD}(?![a-z])))", re.I)
+_DOT_DIGITS = re.compile(rf"(?<=[0-9])\s+{_DOTS}\s+(?=[0-9])", re.I)
+_SPELLED = re.compile(rf"\s+{_DOTS}\s+", re.I)
+_HEAD = re.compile(rf"@|(?<!\S){_ATS}(?=\s)", re.I)
+_HOST = re.compile(rf"\s*+((?!(?:{_DOTS}|{_ATS})\s)[A-Za-z0-9-]++(?:(?:\s+{_DOTS}\s+|\.)(?!{_DOTS}\b|{_ATS}\s+[A-Za-z0-9-]++(?:\s+{_DOTS}\s|\.[A-Za-z0-9]))[A-Za-z0-9-]++)++)", re.I)
 #: What is written behind the last label with a letter.
 _TAIL = re.compile(r"(?:\.[0-9-]+)+$")
 _CUE = re.compile(r"\b(?:e-?mails?|e-?mailed|mails?|mailto|contact|kontakt|contatto|contacto|correo|courriel|posta|write|reach|inbox|schreib\w*|address|adresse)\b", re.I)
@@ -169,10 +181,10 @@ def local_start(t: str, end: int) -> tuple[int, int]:
 
     stop = back(end, True)
     start = back(stop, False)
-    while start < stop and t[max((k := back(start, True)) - 3, 0) : k].lower() == "dot" and k < start:
-        before = back(k - 3, True)
+    while start < stop and (k := back(start, True)) < start and t[(word := back(k, False)) : k].lower() in DOT_WORDS:
+        before = back(word, True)
         piece = back(before, False)
-        if before == k - 3 or piece == before or t[piece:before].lower() in BEFORE_DOT:
+        if before == word or piece == before or t[piece:before].lower() in BEFORE_DOT:
             break
         start = piece
     return start, stop
@@ -183,7 +195,7 @@ def likely(t: str, start: int, stop: int, host: int, end: int, marks: set[int])
     local, name, at = t[start:stop], t[host:end], t[stop:host]
     if local[-1] in ".-" or local[0] == ".":
         return False
-    labels = re.split(r"\s+dot\s+|\.", name, flags=re.I)
+    labels = re.split(rf"\s+{_DOTS}\s+|\.", name, flags=re.I)
     last, dots = labels[-1].lower().rstrip("-"), len(labels) - 1
     spelled = bool(_SPELLED.search(name))
     if "@" in at and (spelled or not at[-1].isspace() and not at[0].isspace()):
@@ -195,7 +207,9 @@ def likely(t: str, start: int, stop: int, host: int, end: int, marks: set[int])
     domain = last in LABELS or last.startswith("xn--") or len(last) == 2 and last not in WORDS2
     plain_name = bool(re.search(r"[A-Za-z]", local)) and local.lower() not in BEFORE_AT
     cue = plain_name and bool(_CUE.search(t, max(start - NEAR, 0), stop) or _CUE.search(t, end, end + NEAR))
-    strong = cue or plain_name and bool(re.search(r"[0-9._]|\sdot\s", local, re.I))
+    strong = cue or plain_name and bool(re.search(rf"[0-9._]|\s{_DOTS}\s", local, re.I))
+    if spelled and at.strip().lower() == "at" and re.search(r"\spoint\s", name, re.I):
+        return strong and (domain or dots > 1)  # "at this point in"
     if spelled:
         if domain or dots > 1:
             return True
@@ -236,7 +250,7 @@ def spelled_addresses(t: str, marks: set[int]) -> list[tuple[int, int, str]]:
 
 def runs(t: str) -> Rewrite:
     """Runs of three or more digit words as digits alone."""
-    return Rewrite(t, [(m.start(), m.end(), "+" * m.group().lower().startswith("plus") + "".join(DIGITS[w.lower()] for w in re.findall(_WORD, m.group(), re.I))) for m in (_RUN.finditer(t) if _FEW.search(t.lower()) else ())])
+    return Rewrite(t, [(m.start(), m.end(), "+" * m.group().lower().startswith(PLUS_WORDS) + "".join(DIGITS[w.lower()] for w in re.findall(_WORD, m.group(), re.I))) for m in (_RUN.finditer(t) if _FEW.search(t.lower()) else ())])
 
 
 def adjoining(t: str) -> Rewrite:
@@ -273,7 +287,12 @@ def stages(text: str, digits=runs):
     def bracketed(t: str) -> Rewrite:
         if not re.search(r"[\[({<]", t):
             return Rewrite(t, [])
-        edits = sorted([(m.start(), m.end(), "@") for m in _AT.finditer(t)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(t)])
+        edits, free = [], 0
+        for start, end, by in sorted([(m.start(), m.end(), "@") for m in _AT.finditer(t)] + [(m.start(), m.end(), ".") for m in _DOT.finditer(t)]):
+            while start > free and t[start - 1].isspace():
+                start -= 1
+            edits.append((start, end, by))
+            free = end
         r = Rewrite(t, edits)
         marks.update(r.new[2 * k + 1] for k, e in enumerate(edits) if e[2] == ".")
         return r
@@ -292,9 +311,10 @@ def uncovered(found: list[Span], base: list[Span]) -> list[Span]:
     """The spans, each once, that neither a plain span nor another of their kind covers."""
     out = []
     for kind in KINDS:
-        most = -1
+        most, mine = -1, sorted((s, e) for b, s, e in base if b == kind)  # they do not overlap
         for k, s, e in sorted({x for x in found if x[0] == kind}, key=lambda x: (x[1], -x[2])):
-            if e > most and not any(b == kind and s0 <= s and e <= e0 for b, s0, e0 in base):
+            at = bisect_right(mine, (s, float("inf"))) - 1
+            if e > most and not (at >= 0 and e <= mine[at][1]):
                 out.append((k, s, e))
             most = max(most, e)
     return out
