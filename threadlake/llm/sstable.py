@@ -9,7 +9,8 @@ Keys are identifiers as 8 big-endian bytes with the sign bit turned over, so byt
 do; a null identifier is the empty key and comes first. Equal identifiers are kept, in the order of
 their texts. Values are ids of 2 bytes where the vocabulary allows it, else 4, little-endian. A
 null or empty text has the end id alone. Rows are dealt out in ranges of the identifier, cut at
-about equal counts; a task writes each shard under another name and moves it into place. An empty
+about equal counts and so many that a shard has about ``SHARD`` bytes of text at most; each task writes one shard
+under another name and moves it into place. An empty
 table gives no shard and an empty result; only the identifier and the text are read.
 
 Words are cut at spaces and line feeds, which the tokenizer's normaliser and splitter drop anyway,
@@ -44,6 +45,7 @@ BLOCK = 1 << 18
 MAGIC = b"SSTABLE1"
 FOOTER = struct.Struct("<QQQQQQBB6x8s")  # index at, index bytes, filter at, filter bytes, documents, ids, bytes of an id, hashes
 BITS, HASHES = 10, 7
+SHARD = 128 << 20
 ROWS, SIZE = 512, 1 << 20
 LEAST = -(2**63)
 
@@ -261,11 +263,13 @@ class Reader:
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """Writes the shards; their manifest: shard, path, last_key, documents, ids."""
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
-    cuts = range_cuts(docs, key, shards or 4 * tasks)
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+        shards = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD))
+    cuts = range_cuts(docs, key, shards)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), bucket_of(key, cuts).alias("shard"))
-    dealt = rows.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
+    dealt = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "text")
     end = struct.pack("<I", end_id)
 
     @tidy

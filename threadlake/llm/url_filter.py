@@ -1,8 +1,8 @@
 """URL filters: a sorted array of 64-bit digests, memory-mapped and probed by binary search.
 
 A list of rules and of blocked places becomes one file: the ascending xxhash64 keys, the offsets of
-the stored strings, the strings. Every url asks for each suffix of its host with each prefix of its
-path that is as long as some listed path; ``searchsorted`` finds all keys of a batch at once, and a
+the stored strings, the strings. Every url asks for each suffix of its host that has no more labels than the
+longest listed host (longer ones can't be listed) with each prefix of its path that is as long as some listed path; ``searchsorted`` finds all keys of a batch at once, and a
 hit counts only if the stored string is the very string asked for, so a digest collision decides
 nothing.
 
@@ -24,14 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fs_of, put_file, shared_dir
+from .common import fs_of, put_file, shared_dir, tidy
 
 #: (verdict, host and path); a rule's host ends at its first slash.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Blocked places for urls that no rule fits.
 BLOCKED = ("ads.example.net/", "tracker.example.net/", "spam.example.com/")
 
-MAGIC = b"DIGESTS1"
+MAGIC = b"DIGESTS2"
+ROWS = 4096
 KINDS = ("allow", "block", "listed")
 
 
@@ -45,9 +46,10 @@ def build(uri: str, rules: Iterable[tuple[str, str]], blocked: Iterable[str]) ->
         blob.write(bytes([k]) + s)
         offsets.append(blob.tell())
     lens = sorted({len(s[s.index("/") :]) for s, _ in texts})
+    labels = max((s[: s.index("/")].count(".") + 1 for s, _ in texts), default=0)
 
     def write(out):
-        out.write(MAGIC + struct.pack("<QQ", len(keyed), len(lens)))
+        out.write(MAGIC + struct.pack("<QQQ", len(keyed), len(lens), labels))
         out.write(np.array([h for h, _, _ in keyed], "<u8").tobytes())
         out.write(np.array(offsets, "<u8").tobytes())
         out.write(np.array(lens, "<u8").tobytes())
@@ -70,8 +72,8 @@ class DigestArray:
                 raw = np.frombuffer(f.read(), np.uint8)
         if raw[:8].tobytes() != MAGIC:
             raise ValueError(f"not a digest array: {uri}")
-        n, m = struct.unpack("<QQ", raw[8:24].tobytes())
-        at = 24
+        n, m, self.labels = struct.unpack("<QQQ", raw[8:32].tobytes())
+        at = 32
         self.keys = raw[at : at + 8 * n].view("<u8")
         at += 8 * n
         self.offsets = raw[at : at + 8 * (n + 1)].view("<u8")
@@ -97,8 +99,8 @@ def judge(hosts: list[str], paths: list[str], array: DigestArray) -> tuple[list[
     asked: list[bytes] = []
     owner: list[int] = []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-        labels = host.split(".") if host else []
-        suffixes = [".".join(labels[k:]) for k in range(len(labels))]
+        parts = host.rsplit(".", array.labels)[-array.labels :] if host and array.labels else []
+        suffixes = [".".join(parts[k:]) for k in range(len(parts))]
         for n in array.path_lengths:
             if n <= len(path):
                 for s in suffixes:
@@ -132,9 +134,10 @@ def filter_urls(
         F.regexp_extract(url, split, 2).alias("path"),
     )
 
+    @tidy
     def run(batches):
         array = DigestArray(uri)
-        for b in batches:
+        for b in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
             rule, verdict = judge(b.column(1).to_pylist(), b.column(2).to_pylist(), array)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=[*b.schema.names, "rule", "verdict"])
 
