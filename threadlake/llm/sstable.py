@@ -14,7 +14,7 @@ under another name and moves it into place. An empty
 table gives no shard and an empty result; only the identifier and the text are read.
 
 Words are cut at spaces and line feeds, which the tokenizer's normaliser and splitter drop anyway,
-and each distinct one is encoded once in a task's table that is emptied at ``TABLE_CHARS`` characters; texts are
+and each distinct one is encoded once in a worker's table that is emptied at ``TABLE_CHARS`` characters; texts are
 taken in slices bounded in bytes, a very long one on its own.
 That needs a pre-tokenizer that drops white space; a probe of the tokenizer refuses others
 (``ValueError``).
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_of, fs_of, range_cuts, shared_dir, spells, tidy, written
 
-TABLE_CHARS = 2_000_000
+TABLE_CHARS = 8_000_000
 MARKS = ".,;:!?*%&$#|"
 BLOCK = 1 << 18
 MAGIC = b"SSTABLE1"
@@ -49,14 +49,17 @@ SHARD = 128 << 20
 ROWS, SIZE = 512, 1 << 20
 LEAST = -(2**63)
 
-_tokenizers: dict = {}
+_tables: dict[str, WordTable] = {}
 
 
 class WordTable:
     """Distinct word -> its ids as little-endian 32-bit bytes."""
 
     def __init__(self, path: str):
-        self.tok = tokenizer_of(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
         probe = "It's  A b-1\n\nc. d \n"
         whole, apart = self.encode([probe])[0], b"".join(self.encode(probe.replace("\n", " ").split(" ")))
         if whole != apart:
@@ -104,14 +107,11 @@ class WordTable:
         return [b"".join(map(get, c)) for c in cut]
 
 
-def tokenizer_of(path: str):
-    """The library's tokenizer, loaded once by a worker; its size is fixed."""
-    if path not in _tokenizers:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        _tokenizers[path] = Tokenizer.from_file(path)
-    return _tokenizers[path]
+def word_table(path: str) -> WordTable:
+    """A worker's table: shards are small, so a table for each would learn the common words again and again."""
+    if path not in _tables:
+        _tables[path] = WordTable(path)
+    return _tables[path]
 
 
 def key_of(ident: int | None) -> bytes:
@@ -274,7 +274,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
 
     @tidy
     def run(batches):
-        table = WordTable(tokenizer)
+        table = word_table(tokenizer)
         width = 2 if max(table.vocabulary, end_id + 1) <= 1 << 16 else 4
         shard, w, uri, ident = None, None, "", None
 
