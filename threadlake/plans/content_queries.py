@@ -231,13 +231,13 @@ def shown(df, window="window"):
 
 @query("SELECT strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS starts, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf):
-    return shown(Z.drained(Z.tumbling(stream(spark, sf), "ts", "1 day", ["event_type"], "2 days"), "complete", "tumbling")).withColumn("total", F.round("total", 3))
+    return shown(Z.drained(Z.tumbling(stream(spark, sf), "ts", "1 day", ["event_type"], "2 days"), "update", "tumbling", ["window", "event_type"])).withColumn("total", F.round("total", 3))
 
 
 @query("SELECT strftime(h - INTERVAL (k) HOUR, '%Y-%m-%d %H:%M:%S') AS starts, event_type, count(*) AS n, round(sum(value), 3) AS total FROM (SELECT *, time_bucket(INTERVAL 6 HOUR, ts) AS h, unnest([0, 6]) AS k FROM events) GROUP BY 1, 2")
 def stream_sliding(spark, sf):
     """Windows of 12 hours every 6."""
-    return shown(Z.drained(Z.tumbling(stream(spark, sf), "ts", "12 hours", ["event_type"], "2 days", "6 hours"), "complete", "sliding")).withColumn("total", F.round("total", 3))
+    return shown(Z.drained(Z.tumbling(stream(spark, sf), "ts", "12 hours", ["event_type"], "2 days", "6 hours"), "update", "sliding", ["window", "event_type"])).withColumn("total", F.round("total", 3))
 
 
 @query("WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS starts, user_id, count(*) AS n FROM g GROUP BY user_id, k")
@@ -266,14 +266,14 @@ def stream_rules_claim(spark, sf):
 
 @query(RULES + "SELECT rule, strftime(time_bucket(INTERVAL 1 DAY, ts), '%Y-%m-%d %H:%M:%S') AS starts, count(*) AS n, count(*) > 60 AS paused FROM f WHERE rule IS NOT NULL GROUP BY 1, 2")
 def stream_rate_breaker(spark, sf):
-    return shown(Z.drained(Z.breaker(fired(spark, sf).withWatermark("ts", "2 days"), "rule", "ts", "1 day", 60), "complete", "breaker"))
+    return shown(Z.drained(Z.breaker(fired(spark, sf).withWatermark("ts", "2 days"), "rule", "ts", "1 day", 60), "update", "breaker", ["window", "rule"]))
 
 
 @query("SELECT user_id, arg_max(body, (event_type = 'purchase', event_id % 7, value, ts, body)) AS body FROM (SELECT *, event_id::VARCHAR AS body FROM events) GROUP BY user_id")
 def stream_lww(spark, sf):
     """Records merge to the largest of (terminal, generation, phase, clock, body)."""
     r = stream(spark, sf).select("user_id", (F.col("event_type") == "purchase").alias("terminal"), (F.col("event_id") % 7).alias("gen"), F.col("value").alias("phase"), F.col("ts").alias("at"), F.col("event_id").cast("string").alias("body"))
-    return Z.drained(Z.merge_records(r, "user_id", F.col("terminal")), "complete", "lww")
+    return Z.drained(Z.merge_records(r, "user_id", F.col("terminal")), "update", "lww", ["user_id"])
 
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")

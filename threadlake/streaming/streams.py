@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import shared_dir
 
@@ -20,14 +21,28 @@ def stream(spark: SparkSession, folder: str, names: str = "*.parquet", files_per
     return spark.readStream.schema(schema).option("pathGlobFilter", names).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def drained(df: DataFrame, mode: str, name: str) -> DataFrame:
-    """Runs a stream to its present end. Append: the rows written; complete: the last result."""
+def drained(df: DataFrame, mode: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream to its present end. Append: the rows written; complete: the last result; update: the last row of each of ``keys``.
+
+    In update mode a micro-batch writes only what it changed, under its own number, so one that comes twice replaces itself, and
+    the state that the watermark has passed is dropped.
+    """
     spark = df.sparkSession
     base = shared_dir(spark, name)
     if mode == "append":
         df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(df.schema).parquet(f"{base}/out")
 
+    if mode == "update":
+
+        def change(batch: DataFrame, epoch: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+
+        df.writeStream.outputMode(mode).foreachBatch(change).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        rest = [c for c in df.columns if c not in keys]
+        changed = spark.read.schema(StructType(df.schema.fields + [StructField("epoch", LongType())])).parquet(f"{base}/out")
+        return changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("last")).select(*[k for k in keys], "last.*").select(*df.columns)
+
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out")
 
@@ -109,3 +124,8 @@ def standing_queries(events: DataFrame, rules: list[tuple[str, Column, bool]]) -
 def breaker(fired: DataFrame, rule: str, at: str, width: str, most: int) -> DataFrame:
     """Rules by window with whether they fired more than ``most`` times in it."""
     return fired.groupBy(rule, F.window(at, width)).agg(F.count(F.lit(1)).alias("n")).withColumn("paused", F.col("n") > most)
+
+
+def unechoed(events: DataFrame, keys: list[str], at: str, ttl: str = "15 minutes") -> DataFrame:
+    """Without echoes: a repeat of a key within ``ttl`` of its first event is left out, and the state is forgotten with it."""
+    return events.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
