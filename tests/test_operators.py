@@ -41,14 +41,16 @@ def test_s10(spark, number, ok):
 
 
 def test_chunks_of_long_and_short_texts(spark):
-    def cut(n):
-        made = spark.range(1).select(X.chunk_words(F.sequence(F.lit(1), F.lit(n))).alias("c")).first()["c"]
+    def cut(n, most=None):
+        made = spark.range(1).select(X.chunk_words(F.sequence(F.lit(1), F.lit(n)), most=most).alias("c")).first()["c"]
         return [(c["start"], c["length"]) for c in made]
 
     assert cut(50) == [(0, 50)]
     assert cut(95) == [(0, 95)]  # five new words join the opening
     assert cut(200) == [(0, 90), (70, 120), (170, 30)]
-    assert len(cut(5000)) == 8
+    assert sum(cut(5000)[-1]) == 5000 and len(cut(5000)) == 51
+    assert cut(795, 8)[-1] == (670, 125)  # the tail joins the eighth
+    assert cut(4995, 8)[-1] == (670, 120) and len(cut(5000, 8)) == 8
 
 
 def test_upper_median_and_nearest_rank(spark):

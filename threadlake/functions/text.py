@@ -98,16 +98,17 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def chunk_words(words: Column, opening: int = 90, size: int = 120, overlap: int = 20, tail: int = 8, most: int = 8) -> Column:
-    """(start, length) of passages: an opening, then windows with overlap; a tail of few new words joins the passage before it."""
+def chunk_words(words: Column, opening: int = 90, size: int = 120, overlap: int = 20, tail: int = 8, most: int | None = None) -> Column:
+    """(start, length) of passages: an opening, then windows with overlap; a tail of few new words joins the passage before it. The whole text, unless ``most`` passages are asked for."""
     n, step, first = F.size(words), size - overlap, opening - overlap
     more = F.greatest(F.ceil((n - opening) / step), F.lit(0)).cast("int")
     last_new = n - opening - (more - 1) * step
     merged = (more > 0) & (last_new < tail)
-    count = F.least(F.when(merged, more - 1).otherwise(more) + 1, F.lit(most))
+    full = F.when(merged, more - 1).otherwise(more) + 1
+    count = full if most is None else F.least(full, F.lit(most))
     start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.lit(first) + (i - 1) * step)
     end = lambda i: F.when(i == 0, F.lit(opening)).otherwise(start(i) + size)
-    whole = merged & (count <= F.lit(most))
+    whole = merged if most is None else merged & (full <= most)
     length = lambda i: F.when(whole & (i == count - 1), n).otherwise(F.least(end(i), n)) - start(i)
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("chunk"), start(i).alias("start"), length(i).alias("length"))))
 

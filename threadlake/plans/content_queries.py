@@ -144,8 +144,8 @@ def sentence_split(spark, sf):
     return d.select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
 
 
-@query(DOCS + ", w AS (SELECT doc_id, len(toks) AS n FROM d), c AS (SELECT doc_id, n, unnest(range(0, 8)) AS chunk FROM w WHERE n > 0), p AS (SELECT doc_id, n, chunk, greatest(ceil((n - 90) / 100.0), 0)::INT AS more FROM c), "
-    "q AS (SELECT *, more > 0 AND n - 90 - (more - 1) * 100 < 8 AS merged FROM p), k AS (SELECT *, least(CASE WHEN merged THEN more - 1 ELSE more END + 1, 8) AS cnt FROM q), "
+@query(DOCS + ", w AS (SELECT doc_id, len(toks) AS n FROM d), c AS (SELECT doc_id, n, unnest(range(0, greatest(ceil((n - 90) / 100.0), 0)::INT + 1)) AS chunk FROM w WHERE n > 0), p AS (SELECT doc_id, n, chunk, greatest(ceil((n - 90) / 100.0), 0)::INT AS more FROM c), "
+    "q AS (SELECT *, more > 0 AND n - 90 - (more - 1) * 100 < 8 AS merged FROM p), k AS (SELECT *, CASE WHEN merged THEN more - 1 ELSE more END + 1 AS cnt FROM q), "
     "s AS (SELECT *, CASE WHEN chunk = 0 THEN 0 ELSE 70 + (chunk - 1) * 100 END AS start FROM k WHERE chunk < cnt) "
     "SELECT doc_id, chunk::INT AS chunk, start::INT AS start, (CASE WHEN merged AND chunk = cnt - 1 THEN n ELSE least(CASE WHEN chunk = 0 THEN 90 ELSE start + 120 END, n) END - start)::INT AS length FROM s")
 def chunk_windows(spark, sf):
