@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, minhash, pii, quality, sentencepieces, sstable, url_filter, warc, winnow
+from . import collocations, decontaminate, language, minhash, ngram_trie, pii, prefix_trie, quality, sentencepieces, sstable, url_filter, warc, winnow
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -73,6 +73,21 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op11_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents")
+    scored = ngram_trie.scored(docs, remainder(7) != 2)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_token_shards": op2_token_shards,
@@ -84,6 +99,9 @@ QUERIES = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
+    "op11_ngram_trie": op11_ngram_trie,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLES: dict[str, str] = {
@@ -132,4 +150,37 @@ ORACLES: dict[str, str] = {
         f AS (SELECT page_id, v, h || q AS rule FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)),
         best AS (SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(v, length(rule)) AS v FROM f WHERE v <> 'listed' GROUP BY page_id)
         SELECT page_id, host, path, rule, coalesce(v, CASE WHEN page_id IN (SELECT page_id FROM f WHERE v = 'listed') THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN best USING (page_id)""",
+    "op12_prefix_trie": """
+        WITH RECURSIVE t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i,
+            coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+        bits AS (SELECT i::UBIGINT AS i, i::UBIGINT AS v, 0 AS k FROM range(256) r(i) UNION ALL
+            SELECT i, CASE WHEN v & 1 = 1 THEN xor(3988292384::UBIGINT, v >> 1) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+        crc AS (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+        steps AS (SELECT c, c::VARCHAR AS s, 4294967295::UBIGINT AS x, 1 AS p FROM (SELECT DISTINCT c FROM t) UNION ALL
+            SELECT c, s, xor(tab[(xor(x, ascii(s[p])::UBIGINT) & 255)::BIGINT + 1], x >> 8), p + 1 FROM steps, crc WHERE p <= length(s)),
+        h AS (SELECT c, (xor(x, 4294967295::UBIGINT) % 6)::BIGINT AS h FROM steps WHERE p = length(s) + 1),
+        r AS (SELECT h.c, 0 AS part, t.i, role, text FROM h JOIN t ON t.c = h.c - h.c % 100 AND t.i < h.h UNION ALL SELECT t.c, 1, t.i, role, text FROM t JOIN h ON h.c = t.c WHERE t.i >= h.h),
+        q AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, sha256(length(role)::VARCHAR || ' ' || role || text) AS k, length(text) AS n FROM r),
+        p AS (SELECT c, d, string_agg(k, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS k, n FROM q UNION ALL SELECT c, 0, '', 0 FROM h),
+        l AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+        e AS (SELECT p.d, p.k, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM p JOIN l USING (c, d) GROUP BY p.d, p.k),
+        nodes AS (SELECT d, k, min(c) AS c, count(*) AS m, (count(*) - 1) * any_value(n) AS saved FROM p GROUP BY d, k),
+        kids AS (SELECT x.d, x.k, count(y.k) AS kids FROM nodes x LEFT JOIN nodes y ON y.d = x.d + 1 AND starts_with(y.k, x.k) GROUP BY 1, 2),
+        sums AS (SELECT x.d, x.k, sum(y.saved) AS saved, count(*) FILTER (WHERE z.kids = 0) AS leaves FROM nodes x JOIN nodes y ON y.d >= x.d AND starts_with(y.k, x.k) JOIN kids z ON z.d = y.d AND z.k = y.k GROUP BY 1, 2)
+        SELECT x.c AS conv_id, x.d AS depth, y.c AS parent_conv_id, x.m AS n_convs, kids AS n_children, leaves AS n_leaves, sums.saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM nodes x JOIN kids USING (d, k) JOIN sums USING (d, k) LEFT JOIN nodes y ON y.d = x.d - 1 AND y.k = left(x.k, (64 * (x.d - 1))::BIGINT) LEFT JOIN e ON e.d = x.d AND e.k = x.k""",
+    "op13_collocations": """
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        pieces AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS ws FROM d),
+        g AS (SELECT lang, k, array_to_string(ws[i:i + k - 1], ' ') AS p, count(*) AS f FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM pieces, range(1, 4) r(k)) GROUP BY 1, 2, 3),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang),
+        c AS (SELECT *, string_split(p, ' ') AS ws FROM g WHERE k > 1 AND f >= 10),
+        cuts AS (SELECT c.lang, c.k, c.p, c.ws, c.f AS a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f // (x.f::HUGEINT * y.f))::BIGINT AS score
+            FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c JOIN g x ON x.lang = c.lang AND x.k = j AND x.p = array_to_string(ws[1:j], ' ') JOIN g y ON y.lang = c.lang AND y.k = c.k - j AND y.p = array_to_string(ws[j + 1:], ' ')),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, j) = 1),
+        inside AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS p, f FROM c WHERE k = 3),
+        longest AS (SELECT lang, p, max(f) AS f FROM inside GROUP BY 1, 2)
+        SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.p) AS rank, b.p AS phrase, a, l, r, n.n, score
+        FROM best b JOIN n USING (lang) LEFT JOIN longest x ON b.k = 2 AND x.lang = b.lang AND x.p = b.p WHERE x.f IS NULL OR 100 * x.f < 50 * a
+        QUALIFY rank <= 2000""",
 }
