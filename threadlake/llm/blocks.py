@@ -33,20 +33,20 @@ _SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("payload", p
 
 
 def pack(*arrays: np.ndarray, meta=None) -> bytes:
-    """Arrays of numbers from 0 up in the narrowest type that holds them, compressed; ``meta`` is any small object."""
+    """Arrays of numbers from 0 up in the narrowest type that holds them, each byte's places together, compressed; ``meta`` is any small object."""
     out = []
     for a in arrays:
         top = int(a.max()) if len(a) else 0
-        kind = next(k for k in ("u1", "u2", "u4", "u8") if top <= np.iinfo(k).max)
-        raw = a.astype(kind).tobytes()
-        out.append((kind, len(raw), pa.compress(raw, "zstd", asbytes=True)))
+        width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+        planes = a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T
+        out.append((width, len(a), pa.compress(np.ascontiguousarray(planes).data, "zstd", asbytes=True)))
     return pickle.dumps((meta, out))
 
 
 def unpack(payload: bytes) -> tuple[object, list[np.ndarray]]:
     """What ``pack`` was given, the arrays as 64-bit numbers."""
     meta, out = pickle.loads(payload)
-    return meta, [np.frombuffer(pa.decompress(raw, size, "zstd", asbytes=True), kind).astype(np.int64) for kind, size, raw in out]
+    return meta, [np.ascontiguousarray(np.frombuffer(pa.decompress(raw, n * width, "zstd"), np.uint8).reshape(width, n).T).view(f"<u{width}").reshape(-1).astype(np.int64) for width, n, raw in out]
 
 
 def gaps(a: np.ndarray) -> np.ndarray:
@@ -54,6 +54,43 @@ def gaps(a: np.ndarray) -> np.ndarray:
     return np.diff(a, prepend=0)
 
 
+def gaps_within(a: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Differences of numbers that ascend while ``by`` stays the same; the first of each run as it is."""
+    out = a.copy()
+    same = np.flatnonzero(by[1:] == by[:-1]) + 1
+    out[same] -= a[same - 1]
+    return out
+
+
+def summed_within(gap: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """What ``gaps_within`` was given."""
+    total = np.cumsum(gap)
+    first = np.flatnonzero(np.diff(by, prepend=-1))
+    before = (total[first] - gap[first]) if len(first) else total
+    return total - np.repeat(before, np.diff(np.append(first, len(gap))))
+
+
+def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct key, ascending; which of them each row is). Rows that come as sorted runs are merged, not sorted anew."""
+    tops = [int(k.max()) + 1 if len(k) else 1 for k in keys]
+    whole = 1
+    for top in tops:
+        whole *= top
+    if whole < 1 << 62:
+        key = keys[0]
+        for k, top in zip(keys[1:], tops[1:], strict=True):
+            key = key * top + k
+        order = np.argsort(key, kind="stable")
+    else:
+        order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new |= np.diff(k[order], prepend=-1) != 0
+    which = np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 def mixed(*keys: np.ndarray) -> np.ndarray:
     """A 63-bit hash of rows of integers."""
     h = np.full(len(keys[0]), 0x243F6A8885A308D3, np.uint64)
@@ -80,9 +117,9 @@ class Block:
     def __init__(self, uri: str):
         self.uri = uri
         self.docs, tokens, lengths, blob = read(uri)
-        self.tokens, self.lengths = unpack(tokens)[1][0], unpack(lengths)[1][0]
+        self.tokens, self.lengths = unpack(tokens)[1][0].astype(np.int32), unpack(lengths)[1][0]
         self.words: list[bytes] = pickle.loads(pa.decompress(blob[1], blob[0], "zstd", asbytes=True))
-        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
 
     def keep(self, name: str, *arrays: np.ndarray) -> None:
         """What a round has learned, for the rounds behind it."""
@@ -93,8 +130,13 @@ class Block:
 
 
 def save_block(uri: str, docs: pa.RecordBatch, tokens: list[np.ndarray], words: list[bytes]) -> int:
-    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-    raw = pickle.dumps(words)
+    flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
+    # frequent words get small numbers, whose upper bytes then say little
+    by = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+    rank = np.empty(len(by), np.int32)
+    rank[by] = np.arange(len(by))
+    flat = rank[flat] if len(flat) else flat
+    raw = pickle.dumps([words[i] for i in by])
     write(uri, (docs, pack(flat), pack(np.array([len(t) for t in tokens], np.int64)), (len(raw), pa.compress(raw, "zstd", asbytes=True))))
     return len(flat)
 
@@ -199,9 +241,19 @@ def word_keys(words: list[bytes]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) >> 1 for w in words), np.int64, len(words))
 
 
+def lean(run):
+    """A group's function that gives its memory back when it ends."""
+
+    def whole(key, table):
+        return next(tidy(lambda: iter([run(key, table)]))())
+
+    return whole
+
+
 def by_shard(sent: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterator[tuple[int | None, bytes]]]) -> DataFrame:
     """Each shard's rows to ``answer(shard, blocks, payloads)``, which yields rows for blocks and, with no block, rows about the shard."""
 
+    @lean
     def run(key, table):
         shard = key[0].as_py()
         blocks = table.column("block").to_pylist()
@@ -220,6 +272,7 @@ def by_block(came: DataFrame, of: Blocks, step: Callable[[int, str, list[bytes]]
     """Each block's answers, by ascending shard, to ``step(block, uri, payloads)``."""
     folder = of.folder
 
+    @lean
     def run(key, table):
         order = np.argsort(table.column("shard").to_numpy(), kind="stable").tolist()
         payloads = table.column("payload")

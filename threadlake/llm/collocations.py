@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import Block, answered, asks, gaps, mixed, pack, unpack, word_keys
+from .blocks import Block, answered, asks, distinct, gaps, gaps_within, mixed, pack, summed_within, unpack, word_keys
 from .common import written
 from .decontaminate import suffix_array
 
@@ -100,7 +100,7 @@ class Pieces:
         stop = self.number == 0
         n = len(stop)
         ends = int(stop.sum())
-        self.t = np.where(stop, np.cumsum(stop) - 1, b.tokens + ends)  # marks first, each its own
+        self.t = np.where(stop, np.cumsum(stop) - 1, b.tokens.astype(np.int64) + ends)  # marks first, each its own
         after = np.where(stop, np.arange(n), n)
         self.room = np.minimum.accumulate(after[::-1])[::-1] - np.arange(n)
         self.order = suffix_array(self.t)
@@ -121,7 +121,7 @@ class Pieces:
         """n-grams at these positions: their words' numbers, counts, languages, and the f of the parts of each cut."""
         keys = self.keys(at, n)
         names, lang = self.langs(at)
-        payload = lambda i: pack(gaps(keys[0][i]), *[k[i] for k in keys[1:]], times[i], lang[i], *[p[i] for p in parts], meta=names)
+        payload = lambda i: pack(gaps(keys[0][i]), gaps_within(keys[1][i], keys[0][i]), *[k[i] for k in keys[2:]], times[i], lang[i], *[p[i] for p in parts], meta=names)
         return asks(mixed(*keys), number, shards, payload, tuple(keys))
 
     def answers(self, n: int, at: np.ndarray, shards: int, payloads: list[bytes]) -> np.ndarray:
@@ -152,18 +152,13 @@ def answer_grams(n: int, least: int):
         for p in payloads:
             own, arrays = unpack(p)
             arrays[0] = np.cumsum(arrays[0])
+            arrays[1] = summed_within(arrays[1], arrays[0])
             arrays[n + 1] = np.array([names.setdefault(x, len(names)) for x in own], np.int64)[arrays[n + 1]]
             parts.append(arrays)
         if not parts:
             return
         cols = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
-        order = np.lexsort(cols[:n][::-1])
-        new = np.zeros(len(order), bool)
-        for k in range(n):
-            new |= np.diff(cols[k][order], prepend=-1) != 0
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        first = order[new]
+        first, which = distinct(*cols[:n])
         total = np.bincount(which, weights=cols[n]).astype(np.int64)
         total[total < least] = 0
         cut = np.cumsum([0, *(len(p[0]) for p in parts)])

@@ -29,7 +29,6 @@ empty result; other columns are not read. A document is never split, so a block
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 import numpy as np
@@ -38,13 +37,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import Block, answered, asks, gaps, mixed, pack, unpack, word_keys
+from .blocks import Block, answered, asks, distinct, gaps, gaps_within, mixed, pack, summed_within, unpack, word_keys
 from .common import fs_of, put_file, shared_dir, written
 
 ORDER = 3
-MU = {2: 40.0, 3: 8.0}
+MU = {2: 500.0, 3: 20.0}
 MIN_CONTEXT = 8
-STEP = 4096
+STEP = 512
 #: Occurrences of a context in one shard, about.
 SPLIT = 500_000
 #: The end of a text: no word has this byte.
@@ -217,81 +216,93 @@ def answer_words(shards: int):
 
 
 class Text:
-    """A block between the rounds: for each position the logarithm so far, its context's number and count, its own number."""
+    """A block between the rounds: for each position the logarithm so far, its word, its context's number and count."""
 
-    def __init__(self, b: Block, total: int, distinct: int, mu: dict[int, float], min_context: int):
+    def __init__(self, b: Block, total: int, distinct_words: int, mu: dict[int, float], min_context: int):
         self.b, self.mu, self.min_context = b, mu, min_context
         number, count = b.kept("1")
-        self.word, self.count = number[b.tokens], count[b.tokens]
-        self.log = np.log10((self.count + 1) / (total + distinct + 1))
-        self.base = self.log.copy()
-        # of the word before: how often it occurs and its number in the block, as the context of what follows
-        inner = np.append(False, b.doc[1:] == b.doc[:-1])[: len(b.tokens)]
-        before = lambda a, none: np.where(inner, np.roll(a, 1), none)
-        self.before = before
-        self.seen, self.context, self.local = before(self.count, 0), before(self.word, 0), before(b.tokens, 0)
-
-    def grams(self, k: int) -> tuple[np.ndarray, ...]:
-        """(distinct n-grams to ask for as positions, which of them each open position has, the open positions)."""
-        at = np.flatnonzero((self.seen >= (self.min_context if k > 2 else 1)) & (self.count > 0))
-        key = self.local[at] * (len(self.b.words) + 1) + self.b.tokens[at]
-        _, first, which = np.unique(key, return_index=True, return_inverse=True)
-        return at[first], which, at
-
-    def shard_keys(self, at: np.ndarray) -> np.ndarray:
-        salts = -(-self.seen[at] // SPLIT)
-        return mixed(self.context[at], mixed(self.word[at]) % np.maximum(salts, 1))
+        self.number, self.known = number, count[b.tokens] > 0
+        log = np.log10((count + 1) / (total + distinct_words + 1))
+        self.base, self.log = np.bincount(b.doc, weights=log[b.tokens], minlength=len(b.lengths)), log[b.tokens].astype(np.float32)
+        # the word before is the context of what follows: how often it occurs, its number, and its number in the block
+        self.inner = np.append(False, b.doc[1:] == b.doc[:-1])[: len(b.tokens)]
+        self.seen, self.context, self.local = self.before(count[b.tokens]), self.before(number[b.tokens]), self.before(b.tokens)
+        self.held = None
+
+    def before(self, a: np.ndarray) -> np.ndarray:
+        out = np.where(self.inner, np.roll(a, 1), 0)
+        return out.astype(np.int64)
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(positions of the distinct n-grams to ask for, which of them each open position has, the open positions)."""
+        if self.held is None:
+            every = np.flatnonzero((self.seen >= (self.min_context if k > 2 else 1)) & self.known)
+            first, which = distinct(self.local[every], self.b.tokens[every].astype(np.int64))
+            self.held = every[first], which.astype(np.int32), every.astype(np.int32)
+        return self.held
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(context, word, hash) of the n-grams at these positions; a common context is dealt out by word."""
+        context, word = self.context[at], self.number[self.b.tokens[at]]
+        salts = np.maximum(-(-self.seen[at] // SPLIT), 1)
+        return context, word, mixed(context, mixed(word) % salts)
 
     def ask(self, k: int, number: int, shards: int):
         at, which, every = self.grams(k)
         learned = np.bincount(which, weights=learns(self.b)[self.b.doc[every]], minlength=len(at)).astype(np.int64)
-        lower = np.minimum(np.rint(-self.log * STEP), 65534).astype(np.int64)[at]
-        context, word, seen = self.context[at], self.word[at], self.seen[at]
-        payload = lambda i: pack(gaps(context[i]), word[i], learned[i], seen[i], lower[i])
-        return asks(self.shard_keys(at), number, shards, payload, (context, word))
+        lower, seen = code_of(10.0 ** self.log[at].astype(np.float64)), self.seen[at]
+        context, word, key = self.entries(at)
+        payload = lambda i: pack(gaps(context[i]), gaps_within(word[i], context[i]), learned[i], seen[i], lower[i])
+        return asks(key, number, shards, payload, (context, word))
 
-    def sorted_answers(self, k: int, shards: int, payloads: list[bytes]) -> tuple[np.ndarray, ...]:
-        at, _, _ = self.grams(k)
-        return tuple(answered(self.shard_keys(at), shards, payloads, 3, (self.context[at], self.word[at])))
+    def answers(self, k: int, shards: int, payloads: list[bytes]) -> list[np.ndarray]:
+        context, word, key = self.entries(self.grams(k)[0])
+        return answered(key, shards, payloads, 3, (context, word))
 
     def take(self, k: int, code: np.ndarray, times: np.ndarray, node: np.ndarray) -> None:
         """The answers of level k become each position's probability and the contexts of the next level."""
         at, which, every = self.grams(k)
-        has = self.seen >= (self.min_context if k > 2 else 1)
-        log = np.where(has, self.log + np.log10(self.mu[k] / (self.seen + self.mu[k])), self.log)
-        found = every[code[which] > 0]
-        log[found] = -(code[which][code[which] > 0] - 1) / STEP
-        self.log = log
-        count, number, local = np.zeros(len(log), np.int64), np.zeros(len(log), np.int64), np.zeros(len(log), np.int64)
-        count[every], number[every], local[every] = times[which], node[which], which + 1
-        self.seen, self.context, self.local = self.before(count, 0), self.before(number, 0), self.before(local, 0)
+        has = np.flatnonzero(self.seen >= (self.min_context if k > 2 else 1))
+        self.log[has] += np.log10(self.mu[k] / (self.seen[has] + self.mu[k]))  # of words that training does not have
+        self.log[every] = -(code / STEP)[which]
+        spread = np.zeros(len(self.log), np.int64)
+        for name, a in (("seen", times[which]), ("context", node[which]), ("local", which + 1)):
+            spread[every] = a
+            setattr(self, name, self.before(spread))
+        self.held = None
 
 
 def answer_grams(k: int, shards: int, folder: str, mu: float, min_context: int):
-    """Codes (from 1, 0: not in training), counts, and the numbers of n-grams that are contexts of the next level."""
+    """Codes of probabilities, whether training has the n-gram or not; counts and numbers of n-grams that are contexts of the next level."""
 
     def answer(shard: int, ids: list[int], payloads: list[bytes]):
+        if not ids:
+            return
         parts = [unpack(p)[1] for p in payloads]
-        context, word = np.concatenate([np.cumsum(p[0]) for p in parts] or [np.zeros(0, np.int64)]), np.concatenate([p[1] for p in parts] or [np.zeros(0, np.int64)])
-        learned, seen, lower = (np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]) for i in (2, 3, 4))
-        contexts, c = np.unique(context, return_inverse=True)
-        words, w = np.unique(word, return_inverse=True)
-        key, first, which = np.unique(c * max(len(words), 1) + w, return_index=True, return_inverse=True)
-        times = np.bincount(which, weights=learned, minlength=len(key)).astype(np.int64)
+        for p in parts:
+            p[0] = np.cumsum(p[0])
+            p[1] = summed_within(p[1], p[0])
+        cut = np.cumsum([0, *(len(p[0]) for p in parts)])
+        context, word, learned, seen, lower = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        del parts
+        first, which = distinct(context, word)
+        times = np.bincount(which, weights=learned, minlength=len(first)).astype(np.int64)
+        context, word, seen, lower = context[first], word[first], seen[first], lower[first]
         some = np.flatnonzero(times)
-        at = first[some]
-        p = (times[some] + mu * 10.0 ** (-lower[at] / STEP)) / (seen[at] + mu)
+        p = (times[some] + mu * 10.0 ** (-lower[some] / STEP)) / (seen[some] + mu)
         uri = f"{folder}/{k}/{shard:06d}.level"
-        data = Level.build(context[at], word[at], code_of(np.minimum(p, 1.0)))
+        data = Level.build(context[some], word[some], code_of(np.minimum(p, 1.0)))
         put_file(uri, lambda out: out.write(data))
-        level, counts = mapped(uri), times[some]
-        cut = np.cumsum([0, *(len(p[0]) for p in parts)])
-        for i, (lo, hi) in zip(ids, zip(cut[:-1], cut[1:], strict=True), strict=True):
-            node = level.find(context[lo:hi], word[lo:hi])
-            has = node >= 0
-            code = np.where(has, level.codes[np.maximum(node, 0)].astype(np.int64) + 1, 0) if len(some) else np.zeros(len(node), np.int64)
-            times_ = np.where(has, counts[np.maximum(node, 0)], 0) if len(some) else np.zeros(len(node), np.int64)
-            yield i, pack(code, times_, np.where(times_ >= min_context, node * shards + shard + 1, 0))
+        level = mapped(uri)
+        node = level.find(context, word)
+        has = node >= 0
+        code = code_of(np.minimum(mu * 10.0 ** (-lower / STEP) / (seen + mu), 1.0))
+        code[has] = level.codes[node[has]]
+        wide = times >= min_context
+        times, number = np.where(wide, times, 0), np.where(wide, node * shards + shard + 1, 0)
+        for i, lo, hi in zip(ids, cut[:-1], cut[1:], strict=True):
+            own = which[lo:hi]
+            yield i, pack(code[own], times[own], number[own])
 
     return answer
 
@@ -303,10 +314,10 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     of = blocks.blocks_of(rows, lambda text, batch, i: [*text.lower().split(), END], "lm-blocks")
     shards, folder = of.shards, shared_dir(spark, "lm-trie")
     came = written(spark, blocks.by_shard(blocks.first_asks(of, ask_words(shards)), answer_words(shards)), "lm-words")
-    total, distinct = (sum(x) for x in zip((0, 0), *(unpack(r[0])[1][0].tolist() for r in came.where("block is null").select("payload").toLocalIterator()), strict=True))
+    total, vocabulary = (sum(x) for x in zip((0, 0), *(unpack(r[0])[1][0].tolist() for r in came.where("block is null").select("payload").toLocalIterator()), strict=True))
 
     def replayed(uri: str, k: int) -> Text:
-        text = Text(Block(uri), total, distinct, mu, min_context)
+        text = Text(Block(uri), total, vocabulary, mu, min_context)
         for j in range(2, k):
             text.take(j, *text.b.kept(str(j)))
         return text
@@ -314,12 +325,13 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     def learned_words(number: int, uri: str, payloads: list[bytes]) -> Text:
         b = Block(uri)
         b.keep("1", *answered(word_keys(b.words), shards, payloads, 2))
-        return Text(b, total, distinct, mu, min_context)
+        return Text(b, total, vocabulary, mu, min_context)
 
     def received(k: int, uri: str, payloads: list[bytes]) -> Text:
         text = replayed(uri, k)
-        got = text.sorted_answers(k, shards, payloads)
-        text.b.keep(str(k), *got)
+        got = text.answers(k, shards, payloads)
+        if k < order:
+            text.b.keep(str(k), *got)
         text.take(k, *got)
         return text
 
@@ -331,16 +343,16 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
         return run
 
     for k in range(2, order + 1):
-        asked = blocks.by_block(came, of, step(k), blocks.ROW)
-        came = written(spark, blocks.by_shard(asked, answer_grams(k, shards, folder, mu[k], min_context)), f"lm-answers-{k}")
+        # one job to the end: shuffles keep what a lost executor had, tables between would only be further copies
+        came = blocks.by_shard(blocks.by_block(came, of, step(k), blocks.ROW), answer_grams(k, shards, folder, mu[k], min_context))
 
     kind = rows.schema["id"].dataType.simpleString()
 
     def last(number: int, uri: str, payloads: list[bytes]) -> pa.Table:
         text = learned_words(number, uri, payloads) if order == 1 else received(order, uri, payloads)
         b, n = text.b, len(text.b.lengths)
-        sums = [np.bincount(b.doc, weights=x, minlength=n) for x in (text.base, text.log)]
-        known = np.bincount(b.doc, weights=text.count > 0, minlength=n).astype(np.int64)
+        sums = [text.base, np.bincount(b.doc, weights=text.log, minlength=n)]
+        known = np.bincount(b.doc, weights=text.known, minlength=n).astype(np.int64)
         return pa.Table.from_arrays(
             [b.docs.column(0), pa.array(b.lengths), pa.array(known), pa.array(np.full(n, total)), pa.array(sums[0]), pa.array(sums[1])],
             names=[id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score"],
