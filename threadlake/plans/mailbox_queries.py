@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import mailbox as M
 from ..operators import markup as K
+from ..operators import postings as P
 from ..operators import views as V
 from .registry import load, query
-from .search_queries import TOKS, docs
+from .search_queries import TOKS
 
 FIELDED = (
     f"WITH d AS (SELECT doc_id, {TOKS} AS toks, {TOKS.replace('coalesce(text', 'coalesce(source')} AS sender FROM documents), "
@@ -22,21 +23,27 @@ FIELDED = (
 )
 
 
+FIELDS = {"subject": 4.0, "sender": 2.5, "body": 1.0}
+
+
 def fielded(spark, sf):
-    rows = docs(spark, sf).select("doc_id", F.slice("toks", 1, 8).alias("subject"), X.tokens(F.col("source")).alias("sender"), F.expr("slice(toks, 9, greatest(size(toks), 1))").alias("body"))
-    return rows, M.fielded_bm25(rows, "doc_id", {"subject": 4.0, "sender": 2.5, "body": 1.0}, ["was", "thing"]).withColumn("score", F.round("score", 6))
+    """The index of documents as mail: the opening words are the subject, the source the sender."""
+    toks = X.tokens(F.col("text"))
+    fields = {"subject": F.slice(toks, 1, 8), "sender": X.tokens(F.col("source")), "body": F.slice(toks, F.lit(9), F.greatest(F.size(toks), F.lit(1)))}
+    return P.opened(load(spark, sf, "documents"), "doc_id", fields, "mail")
 
 
 @query(FIELDED + "SELECT doc_id, score FROM h")
 def search_fielded(spark, sf):
-    """The opening words are the subject, the source the sender."""
-    return fielded(spark, sf)[1]
+    return fielded(spark, sf).bm25(["was", "thing"], FIELDS).withColumn("score", F.round("score", 6))
 
 
 @query(FIELDED + "SELECT doc_id, round(score + CASE WHEN list_contains(subject, 'was') THEN 0.1 ELSE 0 END + CASE WHEN list_contains(subject, 'thing') THEN 0.05 ELSE 0 END, 6) AS score FROM (SELECT * FROM h ORDER BY score DESC, doc_id LIMIT 200)")
 def search_reranked(spark, sf):
-    rows, hits = fielded(spark, sf)
-    top = M.reranked(hits.join(rows.select("doc_id", "subject"), "doc_id"), "doc_id", [(X.has_word(F.col("subject"), "was"), 0.1), (X.has_word(F.col("subject"), "thing"), 0.05)])
+    mail = fielded(spark, sf)
+    hits = mail.bm25(["was", "thing"], FIELDS).withColumn("score", F.round("score", 6))
+    subjects = mail.frequencies(["was", "thing"], {"subject": 1.0}).select(F.col("id").alias("doc_id"), "tf0", "tf1")
+    top = M.reranked(hits.join(subjects, "doc_id", "left"), "doc_id", [(F.col("tf0") > 0, 0.1), (F.col("tf1") > 0, 0.05)])
     return top.select("doc_id", F.round("score", 6).alias("score"))
 
 

@@ -12,7 +12,7 @@ from ..operators import threads as T
 from ..operators import vectors as V
 from .content_queries import ME, vectors
 from .registry import load, query
-from .search_queries import DOCS, WORDS, bm25_sql, docs
+from .search_queries import bm25_sql, DOCS, docs, index, WORDS
 
 NOW = "timestamp_ntz'2024-01-31'"
 
@@ -94,7 +94,7 @@ def snippets(spark, sf):
 @query(bm25_sql(WORDS, ", a AS (SELECT doc_id, score / (SELECT max(score) FROM h) AS s, doc_id % 365 AS age FROM h), b AS (SELECT doc_id, round(s + 0.3 * exp(-power(greatest(30 - age, age - 60, 0), 2) / (2 * 15.0 * 15.0)), 6) AS score FROM a) SELECT * FROM b ORDER BY score DESC, doc_id LIMIT 20"))
 def search_soft_date(spark, sf):
     """A date in the query that need not hold: ages of 30 to 60 days fit fully."""
-    hits = S.bm25(docs(spark, sf), WORDS).select("doc_id", "score")
+    hits = index(spark, sf).bm25(WORDS)
     best = hits.agg(F.max("score")).first()[0] or 1.0
     fit = S.soft_date_fit((F.col("doc_id") % 365).cast("double"), 30, 60)
     return hits.select("doc_id", F.round(F.col("score") / best + fit, 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)

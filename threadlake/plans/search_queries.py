@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import postings as P
 from ..operators import search as S
 from ..operators import threads as T
 from .registry import load, query
@@ -18,18 +19,35 @@ def docs(spark, sf):
     return S.corpus(load(spark, sf, "documents"), "text", X.tokens)
 
 
+def index(spark, sf):
+    """The documents' inverted index."""
+    return P.opened(load(spark, sf, "documents"), "doc_id", {"text": X.tokens(F.col("text"))}, "documents")
+
+
+def described(spark, sf, hits, *cols):
+    """Hits with columns of their documents; the texts are not read."""
+    return hits.join(load(spark, sf, "documents").select("doc_id", *cols), "doc_id")
+
+
 def ids(df):
     return df.select("doc_id", "lang")
 
 
+@query(DOCS + ", t AS (SELECT unnest(toks) AS t, doc_id FROM d) SELECT 'text' AS field, count(DISTINCT t) AS terms, count(DISTINCT (t, doc_id)) AS postings, count(*) AS tokens FROM t")
+def search_index(spark, sf):
+    """What the inverted index holds; it is built if these files have none yet."""
+    return P.index_report(index(spark, sf))
+
+
 @query(DOCS + "SELECT doc_id, lang FROM d WHERE list_contains(toks, 'the') AND list_contains(toks, 'was')")
 def search_and(spark, sf):
-    return ids(docs(spark, sf).where(X.has_word(F.col("toks"), "the") & X.has_word(F.col("toks"), "was")))
+    both = index(spark, sf).frequencies(["the", "was"]).where("tf0 > 0 and tf1 > 0").select(F.col("id").alias("doc_id"))
+    return ids(described(spark, sf, both, "lang"))
 
 
 @query(DOCS + "SELECT doc_id, lang FROM d WHERE list_contains(toks, 'thing') OR list_contains(toks, 'oui')")
 def search_or(spark, sf):
-    return ids(docs(spark, sf).where(X.has_word(F.col("toks"), "thing") | X.has_word(F.col("toks"), "oui")))
+    return ids(described(spark, sf, index(spark, sf).matching(["thing", "oui"]), "lang"))
 
 
 @query(DOCS + "SELECT doc_id, lang FROM d WHERE list_contains(toks, 'the') AND NOT list_contains(toks, 'was')")
@@ -79,8 +97,7 @@ WORDS = ["thing", "reand", "than"]
 
 @query(bm25_sql(WORDS, "SELECT doc_id, round(score, 6) AS score FROM h ORDER BY round(score, 6) DESC, doc_id LIMIT 20"))
 def search_bm25_topk(spark, sf):
-    hits = S.bm25(docs(spark, sf), WORDS).select("doc_id", F.round("score", 6).alias("score"))
-    return hits.orderBy(F.desc("score"), "doc_id").limit(20)
+    return index(spark, sf).top(WORDS, 20)
 
 
 AGE = "(doc_id % 365)"
@@ -89,14 +106,14 @@ AGE = "(doc_id % 365)"
 @query(bm25_sql(WORDS, f", r AS (SELECT doc_id, round(score / (SELECT max(score) FROM h) + 0.35 / (1 + {AGE} / 90.0), 6) AS score FROM h) SELECT * FROM r ORDER BY score DESC, doc_id LIMIT 20"))
 def search_bm25_recency(spark, sf):
     """No table has dates for documents: a document's age stands in as doc_id mod 365 days."""
-    hits = S.bm25(docs(spark, sf), WORDS).select("doc_id", "score")
+    hits = index(spark, sf).bm25(WORDS)
     best = hits.agg(F.max("score")).first()[0] or 1.0
     return hits.select("doc_id", F.round(F.col("score") / best + S.recency(F.col("doc_id") % 365), 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
 @query(bm25_sql(WORDS, "SELECT source, arg_max(doc_id, (round(score, 6), doc_id)) AS doc_id, round(max(round(score, 6)) + 0.03 * ln(count(*)), 5) AS score, count(*) AS matches FROM h GROUP BY source"))
 def search_group_best(spark, sf):
-    hits = S.bm25(docs(spark, sf), WORDS).withColumn("score", F.round("score", 6))
+    hits = described(spark, sf, index(spark, sf).bm25(WORDS).withColumn("score", F.round("score", 6)), "source")
     return S.group_best(hits, "source", "doc_id").withColumn("score", F.round("score", 5))
 
 
@@ -107,7 +124,7 @@ def search_count_capped(spark, sf):
 
 @query(DOCS + "SELECT count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'fr') AS fr, count(*) FILTER (n_chars > 5000) AS long, count(*) FILTER (source = 'src0') AS src0 FROM d WHERE list_contains(toks, 'de') OR list_contains(toks, 'the')")
 def search_facets(spark, sf):
-    hits = docs(spark, sf).where(X.has_word(F.col("toks"), "de") | X.has_word(F.col("toks"), "the"))
+    hits = described(spark, sf, index(spark, sf).matching(["de", "the"]), "lang", "source", "n_chars")
     return S.facets(hits, {"en": F.col("lang") == "en", "fr": F.col("lang") == "fr", "long": F.col("n_chars") > 5000, "src0": F.col("source") == "src0"})
 
 
@@ -119,8 +136,8 @@ def search_facets(spark, sf):
 )
 def search_variants_weighted(spark, sf):
     """The word itself at full weight, a variant of it at 0.8; the better counts."""
-    d = docs(spark, sf)
-    exact, variant = S.bm25(d, ["than"]).select("doc_id", "score"), S.bm25(d, ["thans"]).select("doc_id", (F.col("score") * 0.8).alias("score"))
+    d = index(spark, sf)
+    exact, variant = d.bm25(["than"]), d.bm25(["thans"]).select("doc_id", (F.col("score") * 0.8).alias("score"))
     return exact.unionByName(variant).groupBy("doc_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 

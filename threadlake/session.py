@@ -41,8 +41,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", partitions: int | No
     )
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+def shared_base(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
     Only where the session has no such setting and runs on one machine (tests) a folder of this machine is
     taken and set as the checkpoint folder.
@@ -53,7 +53,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return base.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
