@@ -250,7 +250,16 @@ def lean(run):
     return whole
 
 
-def by_shard(sent: DataFrame, answer: Callable[[int, list[int], list[bytes]], Iterator[tuple[int | None, bytes]]]) -> DataFrame:
+#: Tasks of a round at most; more blocks or shards share them.
+TASKS = 8192
+
+
+def dealt(rows: DataFrame, key: str, many: int) -> DataFrame:
+    """Rows by key in a number of tasks that follows the work, not the packed bytes, which are few."""
+    return rows.repartition(min(max(many, 1), TASKS), F.col(key))
+
+
+def by_shard(sent: DataFrame, of: Blocks, answer: Callable[[int, list[int], list[bytes]], Iterator[tuple[int | None, bytes]]]) -> DataFrame:
     """Each shard's rows to ``answer(shard, blocks, payloads)``, which yields rows for blocks and, with no block, rows about the shard."""
 
     @lean
@@ -265,7 +274,7 @@ def by_shard(sent: DataFrame, answer: Callable[[int, list[int], list[bytes]], It
         rows = [(b, shard, b"") for b in empty] + [(b, shard, p) for b, p in answer(shard, [b for b, _ in full], [p for _, p in full])]
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], _SCHEMA.types[i]) for i in range(3)], schema=_SCHEMA)
 
-    return sent.groupBy("shard").applyInArrow(run, ROW)
+    return dealt(sent, "shard", of.shards).groupBy("shard").applyInArrow(run, ROW)
 
 
 def by_block(came: DataFrame, of: Blocks, step: Callable[[int, str, list[bytes]], pa.Table], schema: str) -> DataFrame:
@@ -278,7 +287,7 @@ def by_block(came: DataFrame, of: Blocks, step: Callable[[int, str, list[bytes]]
         payloads = table.column("payload")
         return step(key[0].as_py(), uri_of(folder, key[0].as_py()), [payloads[i].as_py() for i in order])
 
-    return came.where("block is not null").groupBy("block").applyInArrow(run, schema)
+    return dealt(came.where("block is not null"), "block", of.count).groupBy("block").applyInArrow(run, schema)
 
 
 def sent(rows: Iterator[tuple[int, int, bytes]]) -> pa.Table:
@@ -296,5 +305,4 @@ def first_asks(of: Blocks, ask: Callable[[Block, int], Iterator[tuple[int, int,
             for number in batch.column(0).to_pylist():
                 yield from sent(ask(Block(uri_of(folder, number)), number)).to_batches()
 
-    # a number, so that the few small rows of the manifest are not put into one task
-    return of.manifest.select("block").repartition(min(max(of.count, 1), 8192), F.col("block")).mapInArrow(run, ROW)
+    return dealt(of.manifest.select("block"), "block", of.count).mapInArrow(run, ROW)

@@ -29,6 +29,8 @@ from .common import written
 from .decontaminate import suffix_array
 
 LEAST, MOST, PERCENT, TOP = 10, 3, 50, 2000
+#: Parts of a language that are ranked by themselves first.
+PARTS = 64
 #: The bytes at which a text is cut into pieces, besides line ends: fixed by the rule.
 SEPARATORS = b".,;:!?\x0a\x0b\x0c\x0d"
 _TO_LINES = bytes(10 if b in SEPARATORS else b for b in range(256))
@@ -219,7 +221,7 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     of = blocks.blocks_of(rows, tokens_of, "phrase-blocks")
     shards = of.shards
-    words = written(spark, blocks.by_shard(blocks.first_asks(of, ask_words(shards)), answer_words(shards, least)), "phrase-words")
+    words = written(spark, blocks.by_shard(blocks.first_asks(of, ask_words(shards)), of, answer_words(shards, least)), "phrase-words")
 
     def pairs(number: int, uri: str, payloads: list[bytes]) -> pa.Table:
         b = Block(uri)
@@ -236,8 +238,8 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
         at, times = at[some], times[some]
         return blocks.sent(p.ask(3, at, times, [p.count[at], pair[at + 1], pair[at], p.count[at + 2]], number, shards))
 
-    twos = written(spark, blocks.by_shard(blocks.by_block(words, of, pairs, blocks.ROW), answer_grams(2, least)), "phrase-pairs")
-    threes = written(spark, blocks.by_shard(blocks.by_block(twos, of, triples, blocks.ROW), answer_grams(3, least)), "phrase-triples")
+    twos = written(spark, blocks.by_shard(blocks.by_block(words, of, pairs, blocks.ROW), of, answer_grams(2, least)), "phrase-pairs")
+    threes = written(spark, blocks.by_shard(blocks.by_block(twos, of, triples, blocks.ROW), of, answer_grams(3, least)), "phrase-triples")
     two, three = candidates(twos, 2), written(spark, candidates(threes, 3), "phrase-candidates")
     inside = three.select(F.explode(F.array(F.slice("ids", 1, 2), F.slice("ids", 2, 2))).alias("ids"), F.col("a").alias("longer")).groupBy("ids").agg(F.max("longer").alias("longer"))
     alone = two.join(inside, "ids", "left").where(F.coalesce(100 * F.col("longer") < percent * F.col("a"), F.lit(True)))
@@ -249,9 +251,10 @@ def phrases(docs: DataFrame, top: int | None = TOP, lang_col: str = "lang", text
     spark = docs.sparkSession
     found, words, n = mined(docs, lang_col, text_col, least, percent)
     if top:
-        # by number first: ties at the last place stay until their words are known
-        by = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-        found = found.withColumn("near", F.rank().over(by)).where(F.col("near") <= top).drop("near")
+        # by number first: ties at the last place stay until their words are known. A language is dealt out before its first are put together
+        order = F.desc("score"), F.desc("a")
+        for part in ([F.col("lang"), F.pmod(F.xxhash64("ids"), F.lit(PARTS))], [F.col("lang")]):
+            found = found.withColumn("near", F.rank().over(Window.partitionBy(*part).orderBy(*order))).where(F.col("near") <= top).drop("near")
     found = written(spark, found, "phrase-ranked")
     spelled = found.select("ids", F.posexplode("ids").alias("at", "id")).join(words, "id").groupBy("ids").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     named = found.join(spelled, "ids").join(n, "lang")

@@ -313,7 +313,7 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
     of = blocks.blocks_of(rows, lambda text, batch, i: [*text.lower().split(), END], "lm-blocks")
     shards, folder = of.shards, shared_dir(spark, "lm-trie")
-    came = written(spark, blocks.by_shard(blocks.first_asks(of, ask_words(shards)), answer_words(shards)), "lm-words")
+    came = written(spark, blocks.by_shard(blocks.first_asks(of, ask_words(shards)), of, answer_words(shards)), "lm-words")
     total, vocabulary = (sum(x) for x in zip((0, 0), *(unpack(r[0])[1][0].tolist() for r in came.where("block is null").select("payload").toLocalIterator()), strict=True))
 
     def replayed(uri: str, k: int) -> Text:
@@ -344,7 +344,7 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     for k in range(2, order + 1):
         # one job to the end: shuffles keep what a lost executor had, tables between would only be further copies
-        came = blocks.by_shard(blocks.by_block(came, of, step(k), blocks.ROW), answer_grams(k, shards, folder, mu[k], min_context))
+        came = blocks.by_shard(blocks.by_block(came, of, step(k), blocks.ROW), of, answer_grams(k, shards, folder, mu[k], min_context))
 
     kind = rows.schema["id"].dataType.simpleString()
 
