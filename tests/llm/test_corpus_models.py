@@ -49,13 +49,13 @@ def test_level(tmp_path_factory, nodes, others):
     rows = sorted(nodes)
     c, w = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
     path = tmp_path_factory.mktemp("level") / "l"
-    path.write_bytes(ngram_trie.Level.build(c, w, np.arange(len(rows)) % 65536))
+    path.write_bytes(ngram_trie.Level.build(c, w, np.arange(len(rows), dtype=np.int64) % 1000))
     level = ngram_trie.mapped(f"file://{path}")
     asked = rows + others
     place = {r: i for i, r in enumerate(rows)}
     found = level.find(np.array([a[0] for a in asked], np.int64), np.array([a[1] for a in asked], np.int64))
     assert found.tolist() == [place.get(tuple(a), -1) for a in asked]
-    assert level.codes[: len(rows)].tolist() == [i % 65536 for i in range(len(rows))]
+    assert level.codes(np.arange(len(rows))).tolist() == [i % 1000 for i in range(len(rows))]
 
 
 @settings(max_examples=50, deadline=None)
@@ -115,7 +115,7 @@ def test_scores_equal_brute_force(spark, sizes):
         r = got[i]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
         assert abs(r["base_score"] - base) < 1e-6 * max(1, abs(base))
-        assert abs(r["score"] - score) <= 0.002 * n + 1e-6
+        assert abs(r["score"] - score) <= 0.01 * n + 1e-6  # half a step, of the shorter context's too
 
 
 def test_held_out_texts_score_better_than_by_words_alone(spark):

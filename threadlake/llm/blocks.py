@@ -70,19 +70,24 @@ def summed_within(gap: np.ndarray, by: np.ndarray) -> np.ndarray:
     return total - np.repeat(before, np.diff(np.append(first, len(gap))))
 
 
-def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a row of each distinct key, ascending; which of them each row is). Rows that come as sorted runs are merged, not sorted anew."""
+def ordered(*keys: np.ndarray) -> np.ndarray:
+    """The order of rows by these keys, numbers from 0 up; by one number where all keys fit into it. Equal rows come in any order."""
     tops = [int(k.max()) + 1 if len(k) else 1 for k in keys]
     whole = 1
     for top in tops:
         whole *= top
-    if whole < 1 << 62:
-        key = keys[0]
-        for k, top in zip(keys[1:], tops[1:], strict=True):
-            key = key * top + k
-        order = np.argsort(key, kind="stable")
-    else:
-        order = np.lexsort(keys[::-1])
+    if whole >= 1 << 62:
+        return np.lexsort(keys[::-1])
+    key = keys[0].astype(np.int64)
+    for k, top in zip(keys[1:], tops[1:], strict=True):
+        key *= top
+        key += k
+    return np.argsort(key)
+
+
+def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a row of each distinct key, ascending; which of them each row is)"""
+    order = ordered(*keys)
     new = np.zeros(len(order), bool)
     for k in keys:
         new |= np.diff(k[order], prepend=-1) != 0
@@ -118,7 +123,7 @@ class Block:
         self.uri = uri
         self.docs, tokens, lengths, blob = read(uri)
         self.tokens, self.lengths = unpack(tokens)[1][0].astype(np.int32), unpack(lengths)[1][0]
-        self.words: list[bytes] = pickle.loads(pa.decompress(blob[1], blob[0], "zstd", asbytes=True))
+        self.words: list[bytes] = pa.decompress(blob[1], blob[0], "zstd", asbytes=True).split(b" ")
         self.doc = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
 
     def keep(self, name: str, *arrays: np.ndarray) -> None:
@@ -136,22 +141,20 @@ def save_block(uri: str, docs: pa.RecordBatch, tokens: list[np.ndarray], words:
     rank = np.empty(len(by), np.int32)
     rank[by] = np.arange(len(by))
     flat = rank[flat] if len(flat) else flat
-    raw = pickle.dumps([words[i] for i in by])
+    raw = b" ".join([words[i] for i in by])  # no word has a space
     write(uri, (docs, pack(flat), pack(np.array([len(t) for t in tokens], np.int64)), (len(raw), pa.compress(raw, "zstd", asbytes=True))))
     return len(flat)
 
 
-class Table:
+class Table(dict):
     """Words numbered as they come."""
 
-    def __init__(self):
-        self.number: dict[bytes, int] = {}
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
-        number = self.number
-        for w in set(words).difference(number):
-            number[w] = len(number)
-        return np.fromiter(map(number.__getitem__, words), np.int32, len(words))
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
 class Blocks:
@@ -179,7 +182,7 @@ def blocks_of(rows: DataFrame, words_of: Callable[[bytes, pa.RecordBatch, int],
         part, made = TaskContext.get().partitionId(), 0
         for docs, tokens, table in filled(batches):
             block = (part << 24) + made
-            n = save_block(uri_of(folder, block), docs, tokens, list(table.number))
+            n = save_block(uri_of(folder, block), docs, tokens, list(table))
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([n], pa.int64())], names=["block", "tokens"])
             made += 1
 
@@ -199,9 +202,7 @@ def blocks_of(rows: DataFrame, words_of: Callable[[bytes, pa.RecordBatch, int],
                     yield whole()
                     held, tokens, table, size = [], [], Table(), 0
                 part = rest.slice(start, n)
-                split = [words_of(t or b"", part, i) for i, t in enumerate(some)]
-                flat = table.numbers([w for ws in split for w in ws])
-                tokens += np.split(flat, np.cumsum([len(ws) for ws in split])[:-1])
+                tokens += [table.numbers(words_of(t or b"", part, i)) for i, t in enumerate(some)]
                 held.append(part)
                 size += more
         if held:
@@ -222,7 +223,7 @@ def asks(key: np.ndarray, block: int, shards: int, payload: Callable[[np.ndarray
 
 def arranged(key: np.ndarray, shards: int, order: tuple[np.ndarray, ...] = ()) -> np.ndarray:
     """In which order a block's entries go to the shards, and so come back."""
-    return np.lexsort((*order[::-1], key % shards))
+    return ordered(key % shards, *order) if order else np.argsort(key % shards, kind="stable")
 
 
 def answered(key: np.ndarray, shards: int, payloads: list[bytes], many: int, order: tuple[np.ndarray, ...] = ()) -> list[np.ndarray]:

@@ -15,7 +15,7 @@ A level of the trie holds, for each context (a node of the level above), its suc
 * pointers: an Elias-Fano sequence of where each context's successors begin;
 * successors: word numbers made strictly ascending over the whole level by adding the last value of the context before
   (one Elias-Fano sequence); a query searches the successor of that base plus its word;
-* probabilities: smoothed, in 1/``STEP`` of a decade, 16 bits.
+* probabilities: smoothed, in steps of 1/``STEP`` of a decade, in as many bits as the least needs.
 
 Levels are cut into shards by context (a context of more than ``SPLIT`` occurrences also by successor). Each is one file in the
 shared folder that is memory-mapped and searched (copied to the executor's own disk first where the folder is not a local file
@@ -43,13 +43,37 @@ from .common import fs_of, put_file, shared_dir, written
 ORDER = 3
 MU = {2: 500.0, 3: 20.0}
 MIN_CONTEXT = 8
-STEP = 512
+STEP = 64
 #: Occurrences of a context in one shard, about.
 SPLIT = 500_000
 #: The end of a text: no word has this byte.
 END = b"\xff"
 
 
+def packed(values: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers of ``bits`` bits, one after another in 64-bit words; one word more, so that two can always be read."""
+    out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
+    if bits and len(values):
+        at = np.arange(len(values), dtype=np.int64) * bits
+        part, shift = values.astype(np.uint64) & np.uint64((1 << bits) - 1), (at & 63).astype(np.uint64)
+        word = at >> 6
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+        over = np.flatnonzero((at & 63) + bits > 64)
+        out[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
+    return out
+
+
+def unpacked(words: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
+    """The i-th numbers of ``packed`` ones."""
+    if not bits:
+        return np.zeros(len(i), np.int64)
+    at = i * bits
+    shift = (at & 63).astype(np.uint64)
+    spill = (words[(at >> 6) + 1] << np.uint64(1)) << (np.uint64(63) - shift)
+    return (((words[at >> 6] >> shift) | spill) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+
 class EliasFano:
     """An ascending sequence of numbers: low bits packed, high bits in unary with a directory of ones before each 64-bit word."""
 
@@ -65,60 +89,54 @@ class EliasFano:
         n, v = len(values), values.astype(np.uint64)
         universe = int(v[-1]) + 1 if n else 1
         bits = max(0, (universe // max(n, 1)).bit_length() - 1)
-        low = np.zeros(n * bits // 64 + 2, np.uint64)
-        if bits:
-            at = np.arange(n, dtype=np.int64) * bits
-            part, shift = v & np.uint64((1 << bits) - 1), (at & 63).astype(np.uint64)
-            np.bitwise_or.at(low, at >> 6, part << shift)
-            over = np.flatnonzero((at & 63) + bits > 64)
-            np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (np.uint64(64) - shift[over]))
         place = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((int(place[-1]) + 1 if n else 0) // 64 + 2, np.uint64)
-        np.bitwise_or.at(high, place >> 6, np.uint64(1) << (place & 63).astype(np.uint64))
+        if n:
+            word = place >> 6
+            first = np.flatnonzero(np.diff(word, prepend=-1))
+            high[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first)
         ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        return np.concatenate([np.array([n, bits, len(high)], np.uint64), low, high, (ones - np.bitwise_count(high)).view(np.uint64)])
+        return np.concatenate([np.array([n, bits, len(high)], np.uint64), packed(v, bits), high, (ones - np.bitwise_count(high)).view(np.uint64)])
 
     def _select(self, before: np.ndarray, words: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Where the k-th (from 0) set bit is, of bits with ``before`` set ones before each word."""
         at = np.searchsorted(before, k, "right") - 1
-        left, word, place = k - before[at], words(at), np.zeros(len(k), np.int64)
+        left, word, place = k - before[at], words(at), np.zeros(len(k), np.uint64)
         for width in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count((word >> place.astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            ones = np.bitwise_count((word >> place) & np.uint64((1 << width) - 1))
             over = left >= ones
-            left -= np.where(over, ones, 0)
-            place += np.where(over, width, 0)
-        return at * 64 + place
+            left -= ones * over
+            place += over * np.uint64(width)
+        return at * 64 + place.astype(np.int64)
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         high = self._select(self.before, lambda at: self.high[at], i) - i
-        return (high << self.low_bits) | self._low(i)
-
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        if not self.low_bits:
-            return np.zeros(len(i), np.int64)
-        at = i * self.low_bits
-        shift = (at & 63).astype(np.uint64)
-        spill = (self.low[(at >> 6) + 1] << np.uint64(1)) << (np.uint64(63) - shift)
-        return (((self.low[at >> 6] >> shift) | spill) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        return (high << self.low_bits) | unpacked(self.low, self.low_bits, i)
 
-    def successor(self, x: np.ndarray) -> np.ndarray:
-        """The first index whose value is not below x; n if there is none."""
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the first index whose value is not below x, n if there is none; whether it is x)"""
         high = x >> self.low_bits
         zeros = np.arange(len(self.before), dtype=np.int64) * 64 - self.before
         most = len(self.high) * 64 - self.n - 1  # zeros but the last, which ends all buckets
         ends = lambda h: self._select(zeros, lambda at: ~self.high[at], np.minimum(h, most)) - np.minimum(h, most)  # noqa: E731  ones before the h-th zero
         lo, hi = np.where(high > 0, ends(np.maximum(high - 1, 0)), 0), ends(high)
-        want = x & ((1 << self.low_bits) - 1)
         beyond = high > most
-        lo, hi = np.where(beyond, self.n, lo), np.where(beyond, self.n, hi)
+        lo, end = np.where(beyond, self.n, lo), np.where(beyond, self.n, hi)
+        want, hi = x & ((1 << self.low_bits) - 1), end.copy()
         going = np.flatnonzero(lo < hi)
         while len(going):
             mid = (lo[going] + hi[going]) // 2
-            less = self._low(mid) < want[going]
+            less = unpacked(self.low, self.low_bits, mid) < want[going]
             lo[going[less]] = mid[less] + 1
             hi[going[~less]] = mid[~less]
             going = going[lo[going] < hi[going]]
-        return lo
+        some = np.flatnonzero(lo < end)  # still in the bucket of x's high bits: equal if the low bits are
+        same = np.zeros(len(x), bool)
+        same[some] = unpacked(self.low, self.low_bits, lo[some]) == want[some]
+        return lo, same
+
+    def successor(self, x: np.ndarray) -> np.ndarray:
+        return self.search(x)[0]
 
 
 class Level:
@@ -129,7 +147,10 @@ class Level:
         sizes = words[1 : 1 + int(words[0])].astype(np.int64)
         parts = np.split(words[1 + len(sizes) :], np.cumsum(sizes)[:-1])
         self.contexts, self.pointers, self.successors = map(EliasFano, parts[:3])
-        self.codes = parts[3].view(np.uint16)
+        self.code_bits, self.packed_codes = int(parts[3][0]), parts[3][1:]
+
+    def codes(self, nodes: np.ndarray) -> np.ndarray:
+        return unpacked(self.packed_codes, self.code_bits, nodes)
 
     @staticmethod
     def build(contexts: np.ndarray, words: np.ndarray, codes: np.ndarray) -> bytes:
@@ -139,25 +160,26 @@ class Level:
         last = np.append(first[1:], n) - 1 if n else first
         base = np.cumsum(words[last] + 1) - (words[last] + 1)
         values = np.repeat(base, np.diff(np.append(first, n))) + words + 1
-        padded = np.zeros(-(-n // 4) * 4, np.uint16)
-        padded[:n] = codes
-        parts = [EliasFano.build(contexts[first]), EliasFano.build(np.append(first, n)), EliasFano.build(values), padded.view(np.uint64)]
+        bits = int(codes.max()).bit_length() if n else 0
+        own = np.append(np.uint64(bits), packed(codes, bits))
+        parts = [EliasFano.build(contexts[first]), EliasFano.build(np.append(first, n)), EliasFano.build(values), own]
         return b"".join(p.tobytes() for p in [np.array([len(parts), *map(len, parts)], np.uint64), *parts])
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The node of each (context, word), -1 where the level has none."""
+        """The node of each (context, word), -1 where the level has none. Neighbours with one context look it up once."""
         out = np.full(len(contexts), -1, np.int64)
         if not self.contexts.n or not len(contexts):
             return out
-        rank = self.contexts.successor(contexts)
-        some = np.flatnonzero(rank < self.contexts.n)
-        some = some[self.contexts[rank[some]] == contexts[some]]
-        begin, end = self.pointers[rank[some]], self.pointers[rank[some] + 1]
+        first = np.flatnonzero(np.diff(contexts, prepend=-1))
+        rank, there = self.contexts.search(contexts[first])
+        rank = np.where(there, rank, 0)
+        begin, end = self.pointers[rank], self.pointers[rank + 1]
         base = np.where(begin > 0, self.successors[np.maximum(begin - 1, 0)], 0)
-        want = base + words[some] + 1
-        node = self.successors.successor(want)
-        inside = np.flatnonzero(node < end)
-        inside = inside[self.successors[node[inside]] == want[inside]]
+        run = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(contexts))))
+        some = np.flatnonzero(there[run])
+        run = run[some]
+        node, same = self.successors.search(base[run] + words[some] + 1)
+        inside = same & (node < end[run])
         out[some[inside]] = node[inside]
         return out
 
@@ -297,7 +319,7 @@ def answer_grams(k: int, shards: int, folder: str, mu: float, min_context: int):
         node = level.find(context, word)
         has = node >= 0
         code = code_of(np.minimum(mu * 10.0 ** (-lower / STEP) / (seen + mu), 1.0))
-        code[has] = level.codes[node[has]]
+        code[has] = level.codes(node[has])
         wide = times >= min_context
         times, number = np.where(wide, times, 0), np.where(wide, node * shards + shard + 1, 0)
         for i, lo, hi in zip(ids, cut[:-1], cut[1:], strict=True):
