@@ -141,16 +141,6 @@ def test_calendar_and_receipts(spark):
     assert [tuple(r) for r in got] == [("bob@example.org", "<1@x>", "displayed")]
 
 
-def test_upsert_twice_is_once_and_delete(spark):
-    table = Z.Table(spark, "t")
-    rows = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "k string, v long")
-    for _ in range(2):
-        Z.upsert(table, rows, ["k"], [F.desc("v")])
-    assert sorted(map(tuple, table.read().collect())) == [("a", 3), ("b", 2)]
-    Z.delete(table, spark.createDataFrame([("a",)], "k string"), ["k"])
-    assert [tuple(r) for r in table.read().collect()] == [("b", 2)]
-
-
 def test_merge_prefers_terminal_then_generation(spark):
     r = spark.createDataFrame([("k", False, 9, 1, 1, "x"), ("k", True, 1, 1, 1, "sent"), ("m", False, 1, 1, 1, "a"), ("m", False, 2, 0, 0, "b")], "k string, t boolean, gen int, phase int, at int, body string")
     assert {x["k"]: x["body"] for x in Z.merge_records(r, "k", F.col("t")).collect()} == {"k": "sent", "m": "b"}

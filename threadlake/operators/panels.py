@@ -93,11 +93,17 @@ def firsts_after(firsts: DataFrame, messages: DataFrame, added: DataFrame, remov
     return kept.unionByName(anew).unionByName(fresh).groupBy(person).agg(F.min(seq).alias(seq))
 
 
+#: What mail programs put before the subject of a reply and of a forwarded message.
+REPLY_MARKS = ("re", "aw", "sv", "vs", "antw", "odp", "ref", "rif")
+FORWARD_MARKS = ("fw", "fwd", "wg", "tr", "rv", "enc", "doorst")
+
+
 def base_subject(subject: Column) -> tuple[Column, Column]:
     """A subject without reply and forward marks, spaces collapsed, lower-cased; and whether a reply mark was there. Null is empty."""
     x = F.coalesce(subject, F.lit(""))
-    marks = F.regexp_extract(x, r"^((?:\s*(?i:re|aw|sv|antw|fwd?|wg)(?:\[[0-9]+\])?\s*:)*)", 1)
-    return F.lower(F.trim(F.regexp_replace(F.substr(x, F.length(marks) + 1), r"\s+", " "))), marks.rlike(r"(?i)\b(re|aw|sv|antw)\b")
+    reply, both = "|".join(REPLY_MARKS), "|".join(REPLY_MARKS + FORWARD_MARKS)
+    marks = F.regexp_extract(x, rf"^((?:\s*(?i:{both})\s*(?:\[[^\]:]*\])?\s*:)*)", 1)
+    return F.lower(F.trim(F.regexp_replace(F.substr(x, F.length(marks) + 1), r"\s+", " "))), marks.rlike(rf"(?i)\b({reply})\b")
 
 
 def subject_threads(messages: DataFrame, account: str, subject: str, at: str, ident: str, known: Column) -> DataFrame:

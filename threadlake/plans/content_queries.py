@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import search as S
 from ..operators import vectors as V
+from ..session import shared_dir
 from ..streaming import streams as Z
+from ..streaming import threading as R
+from ..streaming import upkeep as U
 from .registry import load, query
 from .search_queries import DOCS
 
@@ -242,7 +247,10 @@ def stream_sliding(spark, sf):
 
 @query("WITH l AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p >= INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM l) SELECT strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS starts, user_id, count(*) AS n FROM g GROUP BY user_id, k")
 def stream_session(spark, sf):
-    return shown(Z.drained(Z.sessions(stream(spark, sf), "ts", "6 hours", ["user_id"], "2 days"), "complete", "session"), "session_window")
+    """Sessions are appended once the watermark has closed them; a last row of nobody closes those that are open at the end."""
+    rows = stream(spark, sf).select("ts", "user_id")
+    end = [(datetime.datetime(9000, 1, 1), None)]
+    return shown(Z.closed(lambda e: Z.sessions(e, "ts", "6 hours", ["user_id"], "2 days"), rows, end, "session"), "session_window")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -278,8 +286,40 @@ def stream_lww(spark, sf):
 
 @query("SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2")
 def stream_upsert(spark, sf):
-    """The last copy of each key, kept in a table that every micro-batch merges into."""
-    table = Z.Table(spark, "upsert")
+    """The last copy of each key, kept in a table of which every micro-batch rewrites the buckets it touches."""
+    table = Z.Table(spark, shared_dir(spark, "upsert"), ["user_id", "event_type"])
     rows = stream(spark, sf).select("user_id", "event_type", "event_id")
-    Z.batches(rows, "upsert", lambda batch, _: Z.upsert(table, batch, ["user_id", "event_type"], [F.desc("event_id")]))
+    Z.batches(rows, "upsert", lambda batch, epoch: Z.upsert(table, batch, [F.desc("event_id")], epoch))
     return table.read()
+
+
+FEED = "SELECT event_id // 3 AS id, arg_max(user_id, event_id) AS thread, arg_max(value > 50, event_id) AS unread, arg_max(ts, event_id) AS moment, arg_max(event_type = 'error', event_id) AS gone FROM events GROUP BY 1"
+
+
+@query(f"SELECT thread, count(*) AS n, count(*) FILTER (unread) AS unread_n, strftime(min(moment), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(moment), '%Y-%m-%d %H:%M:%S') AS last FROM ({FEED}) WHERE NOT gone GROUP BY thread")
+def thread_figures_kept(spark, sf):
+    """Threads' figures kept by a feed of changes: events in threes tell of one message, the later one counts, an error deletes it."""
+    e = load(spark, sf, "events")
+    feed = e.select(F.col("event_id").alias("seq"), F.floor(F.col("event_id") / 3).alias("id"), F.col("user_id").alias("thread"), (F.col("value") > 50).alias("unread"), F.col("ts").alias("at"), (F.col("event_type") == "error").alias("deleted"))
+    box = U.Mailbox(spark, shared_dir(spark, "mailbox"), "id", ["id", "thread", "unread", "at"]).keep("threads", ["thread"], {"unread_n": F.col("unread").cast("long")}, "at")
+    lo, hi = feed.agg(F.min("seq"), F.max("seq")).first()
+    for batch in range(3):
+        box.apply(feed.where(F.floor((F.col("seq") - lo) * 3 / (hi - lo + 1)) == batch), batch)
+    kept = box.figures["threads"][0].read()
+    return kept.select("thread", "n", "unread_n", *[F.date_format(c, STAMP).alias(c) for c in ("first", "last")])
+
+
+@query(
+    "WITH m AS (SELECT user_id, event_type, event_id, epoch_ms(ts) AS ms, event_id::VARCHAR AS id, value > 60 AND value <= 180 AS late FROM events), "
+    "p AS (SELECT *, lag(id) OVER w AS parent, ms - lag(ms) OVER w AS gap FROM m WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ms, id)) SELECT id, parent FROM p WHERE late AND gap <= 7 * 86400000"
+)
+def stream_late_replies(spark, sf):
+    """Headerless replies find their parents by subject, in state with a timer; edges are kept in a keyed table."""
+    m = stream(spark, sf).withColumn("subject", F.concat(F.when(F.col("value") > 60, "Odp: FW:  ").otherwise(""), F.upper("event_type")))
+    table = Z.Table(spark, shared_dir(spark, "edges"), ["account", "id"])
+
+    def put(batch, epoch):
+        Z.upsert(table, batch.withColumn("epoch", F.lit(epoch)), [F.desc("epoch")], epoch)
+
+    Z.batches(R.reply_edges(R.keyed(m, "user_id", "subject", "ts", "event_id", F.col("value") > 180), "60 days"), "late-replies", put)
+    return table.read().where("parent is not null").select("id", "parent")

@@ -6,13 +6,18 @@ keeps its state in a checkpoint below the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import shared_dir
+from ..session import shared_dir, written
 
 
 def stream(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_trigger: int = 4) -> DataFrame:
@@ -50,9 +55,10 @@ def drained(df: DataFrame, mode: str, name: str, keys: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
-def batches(df: DataFrame, name: str, put: Callable[[DataFrame, int], None]) -> None:
-    """Each micro-batch to ``put``, which must give the same result if a batch comes twice."""
-    df.writeStream.foreachBatch(put).option("checkpointLocation", f"{shared_dir(df.sparkSession, name)}/state").trigger(availableNow=True).start().awaitTermination()
+def batches(df: DataFrame, name: str, put: Callable[[DataFrame, int], None], state: str | None = None) -> None:
+    """Each micro-batch to ``put``, which must give the same result if a batch comes twice; with ``state``, a folder, a later call goes on behind the last batch."""
+    state = state or f"{shared_dir(df.sparkSession, name)}/state"
+    df.writeStream.foreachBatch(put).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
 
 
 def tumbling(events: DataFrame, at: str, width: str, by: list[str], late: str, slide: str | None = None) -> DataFrame:
@@ -74,29 +80,80 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
 
 
 class Table:
-    """A Parquet table that is replaced as a whole, version by version; readers see the last version that was finished."""
+    """A keyed table of Parquet files: rows lie in buckets by the hash of their key, and a change rewrites the buckets it touches.
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.version = spark, shared_dir(spark, name), -1
+    Every version is one entry of a log beside the data: which folder holds each bucket, and which batch made it. An entry is written
+    behind its data, so a reader sees whole versions only, and a new ``Table`` at the same place goes on where the last one ended,
+    after a restart, too. A batch number that the log has already is not merged again.
+    """
 
-    def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(f"{self.base}/v={self.version}") if self.version >= 0 else None
+    def __init__(self, spark: SparkSession, path: str, key: list[str], buckets: int = 16):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
-    def replace(self, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.base}/v={self.version + 1}")
-        self.version += 1
+    def entry(self) -> Row | None:
+        """The last entry: version, batch, schema, the folders by bucket."""
+        try:
+            log = self.spark.read.schema("version long, batch long, schema string, folders map<int,string>").parquet(f"{self.path}/log")
+        except AnalysisException:
+            return None
+        return log.orderBy(F.desc("version")).first()
 
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
 
-def upsert(table: Table, rows: DataFrame, key: list[str], order: list[Column]) -> None:
+    def _at(self, entry: Row, buckets: list[int] | None = None) -> DataFrame:
+        folders = [p for b, p in sorted(entry["folders"].items()) if buckets is None or b in buckets]
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame | None:
+        """The last version; None if there is none yet."""
+        entry = self.entry()
+        return None if entry is None else self._at(entry)
+
+    def at_keys(self, keys: DataFrame) -> DataFrame | None:
+        """The rows whose key is in ``keys``; only their buckets are read."""
+        entry = self.entry()
+        if entry is None:
+            return None
+        touched = [r[0] for r in keys.select(self._bucket()).distinct().collect()]  # numbers below self.buckets
+        return self._at(entry, touched).join(keys.select(*self.key).distinct(), self.key, "left_semi")
+
+    def change(self, rows: DataFrame, into: Callable[[DataFrame | None, DataFrame], DataFrame], batch: int | None = None) -> bool:
+        """The buckets that ``rows`` touch become ``into(what they hold, rows)``; False if this batch was merged before.
+
+        ``into`` gets whole buckets and must keep every row in its bucket, that is, not change keys.
+        """
+        entry = self.entry()
+        if entry is not None and batch is not None and entry["batch"] is not None and batch <= entry["batch"]:
+            return False
+        rows = written(rows, "changes")
+        touched = [r[0] for r in rows.select(self._bucket()).distinct().collect()]
+        old = None if entry is None else self._at(entry, touched)
+        version = 0 if entry is None else entry["version"] + 1
+        new = into(old, rows)
+        data = f"{self.path}/data/{version:08d}-{uuid.uuid4().hex}"
+        dealt = new.withColumn("__bucket", self._bucket()).repartition("__bucket", F.pmod(F.xxhash64(*self.key), F.lit(4 * self.buckets)))
+        dealt.write.partitionBy("__bucket").parquet(data)
+        try:
+            made = {r[0] for r in self.spark.read.parquet(data).select("__bucket").distinct().collect()}
+        except AnalysisException:  # nothing is left of these buckets
+            made = set()
+        folders = {} if entry is None else {b: p for b, p in entry["folders"].items() if b not in touched}
+        folders |= {b: f"{data}/__bucket={b}" for b in made}
+        row = [(version, batch if batch is not None else entry and entry["batch"], json.dumps(new.schema.jsonValue()), folders)]
+        self.spark.createDataFrame(row, "version long, batch long, schema string, folders map<int,string>").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        return True
+
+
+def upsert(table: Table, rows: DataFrame, order: list[Column], batch: int | None = None) -> None:
     """Last copy wins; a batch that comes twice changes nothing."""
-    old = table.read()
-    both = rows if old is None else old.unionByName(rows)
-    table.replace(latest(both, key, order))
+    table.change(rows, lambda old, new: latest(new if old is None else old.unionByName(new), table.key, order), batch)
 
 
-def delete(table: Table, keys: DataFrame, on: list[str]) -> None:
-    if (old := table.read()) is not None:
-        table.replace(old.join(keys, on, "left_anti"))
+def delete(table: Table, keys: DataFrame, batch: int | None = None) -> None:
+    """The rows of these keys go."""
+    table.change(keys.select(*table.key), lambda old, gone: gone.limit(0) if old is None else old.join(gone.distinct(), table.key, "left_anti"), batch)
 
 
 def merge_records(records: DataFrame, key: str, terminal: Column) -> DataFrame:
@@ -126,6 +183,56 @@ def breaker(fired: DataFrame, rule: str, at: str, width: str, most: int) -> Data
     return fired.groupBy(rule, F.window(at, width)).agg(F.count(F.lit(1)).alias("n")).withColumn("paused", F.col("n") > most)
 
 
+class EchoState(StatefulProcessor):
+    """When the last event of a key that was let through came."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows)).sort_values("__ms", kind="stable")
+        last = self.last.get()[0] if self.last.exists() else None
+        through = []
+        for ms in every["__ms"].tolist():
+            through.append(last is None or abs(ms - last) > self.ttl_ms)
+            if through[-1] and (last is None or ms > last):
+                last = ms
+        self.last.update((last,))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last + self.ttl_ms, timerValues.getCurrentWatermarkInMs()) + 1)
+        yield every[through].drop(columns="__ms")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def unechoed(events: DataFrame, keys: list[str], at: str, ttl: str = "15 minutes") -> DataFrame:
-    """Without echoes: a repeat of a key within ``ttl`` of its first event is left out, and the state is forgotten with it."""
-    return events.withWatermark(at, ttl).dropDuplicatesWithinWatermark(keys)
+    """Without echoes: an event within ``ttl`` of the last of its keys that was let through is left out, whatever batch it is in. Keys are forgotten once the watermark is that far behind them."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    rows = events.withWatermark(at, ttl).withColumn("__ms", F.unix_millis(at))
+    return rows.groupBy(*keys).transformWithStateInPandas(EchoState(ttl_ms), events.schema, "Append", "EventTime")
+
+
+def closed(df: Callable[[DataFrame], DataFrame], events: DataFrame, end: list[tuple], name: str) -> DataFrame:
+    """What ``df`` appends over ``events`` once everything is closed: a first run to their present end, then one more on the same checkpoint in which
+    the rows ``end``, far in the future, move the watermark past all state."""
+    spark, base = events.sparkSession, shared_dir(events.sparkSession, name)
+    spark.createDataFrame([], events.schema).write.parquet(f"{base}/end")
+    for rows in ([], end):
+        spark.createDataFrame(rows, events.schema).coalesce(1).write.mode("append").parquet(f"{base}/end")
+        made = df(events.unionByName(spark.readStream.schema(events.schema).parquet(f"{base}/end")))
+        made.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{base}/out")
