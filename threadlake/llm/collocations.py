@@ -70,7 +70,7 @@ def answer_words(shards: int, least: int):
             for w, c in zip(words, counts.tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
         total.pop(b"", None)
-        known = sorted(w for w, c in total.items() if c >= least)
+        known = sorted((w for w, c in total.items() if c >= least), key=lambda w: (-total[w], w))  # frequent words have small numbers
         number = {w: i * shards + shard + 1 for i, w in enumerate(known)}
         for i, words in zip(ids, given, strict=True):
             yield i, pack(np.array([number.get(w, 0) for w in words], np.int64), np.array([total[w] if w in number else 0 for w in words], np.int64))

@@ -228,7 +228,7 @@ def answer_words(shards: int):
             given.append(words)
             for w, c in zip(words, counts.tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
-        known = sorted(w for w, c in total.items() if c)
+        known = sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w))  # frequent words have small numbers
         number = {w: i * shards + shard + 1 for i, w in enumerate(known)}
         for i, words in zip(ids, given, strict=True):
             yield i, pack(np.array([number.get(w, 0) for w in words], np.int64), np.array([total[w] for w in words], np.int64))
@@ -274,7 +274,14 @@ class Text:
         learned = np.bincount(which, weights=learns(self.b)[self.b.doc[every]], minlength=len(at)).astype(np.int64)
         lower, seen = code_of(10.0 ** self.log[at].astype(np.float64)), self.seen[at]
         context, word, key = self.entries(at)
-        payload = lambda i: pack(gaps(context[i]), gaps_within(word[i], context[i]), learned[i], seen[i], lower[i])
+
+        def payload(i: np.ndarray) -> bytes:
+            less = lower[i]
+            if k == 2:  # the shorter context of two words is none, so a word has one such probability
+                _, first = np.unique(word[i], return_index=True)
+                less = less[first]
+            return pack(gaps(context[i]), gaps_within(word[i], context[i]), learned[i], seen[i], less)
+
         return asks(key, number, shards, payload, (context, word))
 
     def answers(self, k: int, shards: int, payloads: list[bytes]) -> list[np.ndarray]:
@@ -304,6 +311,8 @@ def answer_grams(k: int, shards: int, folder: str, mu: float, min_context: int):
         for p in parts:
             p[0] = np.cumsum(p[0])
             p[1] = summed_within(p[1], p[0])
+            if k == 2:
+                p[4] = p[4][np.unique(p[1], return_inverse=True)[1]]
         cut = np.cumsum([0, *(len(p[0]) for p in parts)])
         context, word, learned, seen, lower = (np.concatenate([p[i] for p in parts]) for i in range(5))
         del parts
