@@ -1,6 +1,6 @@
-"""Facts stated in messages: orders, parcels, bills, flights, stays and bookings, from JSON-LD first and patterns where there is none.
+"""Facts stated in messages: orders, parcels, bills, flights, stays and bookings, from JSON-LD and microdata first and patterns where there is none.
 
-Everything is built from SQL functions: blocks by pattern, items as JSON strings, fields by path. A fact has kind, name,
+But for the tags of microdata everything is built from SQL functions: blocks by pattern, items as JSON strings, fields by path. A fact has kind, name,
 ref, number, amount, currency, starts, ends and status; what a message does not say is null. Null and empty texts give no
 facts, broken JSON gives none for its block, and unknown types are passed over.
 """
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import microdata
 
 FIELDS = ("kind", "name", "ref", "number", "amount", "currency", "starts", "ends", "status")
 BLOCK = r"(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
@@ -32,14 +33,12 @@ STATES = {"complete": "paid", "automaticallyApplied": "paid", "pastDue": "overdu
 
 
 def blocks(html: Column) -> Column:
-    """Bodies of JSON-LD script elements; a body that some mailer escaped is unescaped."""
-    def plain(b: Column) -> Column:
-        for name, c in (("&quot;", '"'), ("&#34;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&amp;", "&")):
-            b = F.replace(b, F.lit(name), F.lit(c))
-        return b
-
-    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(BLOCK), F.lit(1))
-    return F.transform(found, lambda b: F.trim(F.when(F.get_json_object(b, "$").isNull(), plain(b)).otherwise(b)))
+    """Bodies of JSON-LD script elements; a body that some mailer escaped is unescaped. The page is cut at its script tags once."""
+    parts = F.split(F.coalesce(html, F.lit("")), r"(?i)<script(?![A-Za-z0-9-])")
+    # behind each opening: attributes up to >, then the body up to the first end tag
+    opened = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: F.contains(F.lower(F.substring_index(p, ">", 1)), F.lit("application/ld+json")))
+    closed = F.transform(F.filter(opened, lambda p: F.lower(p).contains("</script")), lambda p: F.get(F.split(F.substr(p, F.instr(p, ">") + 1), r"(?i)</script", 2), F.lit(0)))
+    return F.transform(closed, lambda b: F.trim(F.when(F.try_parse_json(b).isNull(), X.entities(b)).otherwise(b)))
 
 
 def listed(json: Column) -> Column:
@@ -55,12 +54,13 @@ def items(html: Column) -> Column:
 
 
 def said(item: Column, *paths: str) -> Column:
-    """The first path with a text: of a list its first member, of an object its name; blank is null."""
+    """The first path with a text, of a parsed item: of a list its first member, of an object its name; blank is null."""
+    def plain(x: Column) -> Column:
+        return F.when(~x.startswith("{") & ~x.startswith("["), F.nullif(F.trim(x), F.lit("")))
+
     def one(path: str) -> Column:
-        x = F.get_json_object(item, f"$.{path}")
-        x = F.when(x.startswith("["), F.get_json_object(x, "$[0]")).otherwise(x)
-        x = F.when(x.startswith("{"), F.get_json_object(x, "$.name")).otherwise(x)
-        return F.nullif(F.trim(x), F.lit(""))
+        at = lambda rest: plain(F.try_variant_get(item, f"$.{path}{rest}", "string"))
+        return F.coalesce(at("[0].name"), at(".name"), at("[0]"), at(""))
 
     return F.coalesce(*[one(p) for p in paths])
 
@@ -75,15 +75,24 @@ def number(text: Column) -> Column:
 def state(text: Column) -> Column:
     """The last part of a state's address without what it is a state of, from a small letter on."""
     last = F.regexp_replace(F.regexp_extract(text, r"([A-Za-z]+)$", 1), r"^(Order|Reservation|Payment)(?=[A-Z])", "")
-    low = F.concat(F.lower(F.substring(last, 1, 1)), F.substring(last, 2, 100))
+    low = F.concat(F.lower(F.substring(last, 1, 1)), F.substr(last, F.lit(2)))
     mapped = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
     return F.nullif(F.coalesce(F.try_element_at(mapped, low), low), F.lit(""))
 
 
-def fact_of(item: Column) -> Column:
-    """The fact that an item states, or null."""
-    kinds = F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair])
-    kind = F.try_element_at(kinds, F.regexp_extract(said(item, "@type"), r"([A-Za-z]+)$", 1))
+def kind_of(item: Column) -> Column:
+    """The kind of the first of an item's types that is known; case and what stands before the type's name do not count."""
+    kinds = F.create_map(*[F.lit(x) for t, k in TYPES.items() for x in (t.lower(), k)])
+    path = "$['@type']"
+    types = F.coalesce(F.try_variant_get(item, path, "array<string>"), F.array(F.try_variant_get(item, path, "string")))
+    known = F.transform(types, lambda t: F.try_element_at(kinds, F.lower(F.regexp_extract(F.trim(t), r"([A-Za-z]+)$", 1))))
+    return F.get(F.filter(known, lambda k: k.isNotNull()), F.lit(0))
+
+
+def fact_of(text: Column) -> Column:
+    """The fact that an item, a JSON string, states, or null."""
+    item = F.try_parse_json(text)
+    kind = kind_of(item)
     money = number(said(item, "totalPaymentDue.price", "totalPaymentDue", "totalPrice", "price", "minimumPaymentDue.price", "partOfOrder.price"))
     return F.when(
         kind.isNotNull(),
@@ -134,7 +143,7 @@ def patterned(text: Column) -> Column:
 
 def facts(messages: DataFrame, ident: str, html: str, text: str) -> DataFrame:
     """(ident, fact's fields): what the markup says; kinds that it does not mention are taken from the text."""
-    rows = messages.select(F.col(ident), F.filter(F.transform(items(F.col(html)), fact_of), lambda f: f.isNotNull()).alias("stated"), F.col(text).alias("__text"))
+    rows = messages.select(F.col(ident), F.filter(F.transform(F.concat(items(F.col(html)), microdata.items(F.col(html))), fact_of), lambda f: f.isNotNull()).alias("stated"), F.col(text).alias("__text"))
     known = F.transform("stated", lambda f: f["kind"])
     rest = F.filter(patterned(F.col("__text")), lambda f: ~F.array_contains(known, f["kind"]))
     return rows.select(ident, F.inline(F.concat(F.col("stated"), rest)))
