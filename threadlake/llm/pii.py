@@ -112,6 +112,9 @@ _DISGUISED = rf"(?:\s*{_DOT.pattern}|\s+{_DOTS}\s+)"
 _BEHIND = re.compile(rf"[\s,.-]*[0-9]|[\s,.-]+{_WORD}(?![a-z])|{_DISGUISED}(?:[0-9]|{_WORD}(?![a-z]))|\)[\s.-]*(?:[0-9]|{_WORD}(?![a-z]))", re.I)
 _BEFORE = re.compile(rf"(?:[0-9][\s,.-]*|[0-9]\)[\s.-]*|(?<![a-z]){_WORD}\)?[\s,.-]+|(?:[0-9]|(?<![a-z]){_WORD}){_DISGUISED}|\+[\s(.-]*)$", re.I)
 _ENDS = (*{w[-3:] for w in (*DIGITS, *DOT_WORDS)}, *"0123456789)]}>+")
+#: One more letter than the longest word that counts.
+LONGEST = 1 + max(map(len, (*DIGITS, *DOT_WORDS)))
+_WHITE_DIGIT = re.compile(r"(?:\s\s++|[\t\r\n])(?=[0-9])")
 _PLUS = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(PLUS_WORDS)})[\s-]++(?=[\s(]*+(?:[0-9]|{_WORD}(?![a-z])))", re.I)
 _DOT_DIGITS = re.compile(rf"(?<=[0-9])\s+{_DOTS}\s+(?=[0-9])", re.I)
 _SPELLED = re.compile(rf"\s+{_DOTS}\s+", re.I)
@@ -120,6 +123,7 @@ _HOST = re.compile(rf"\s*+((?!(?:{_DOTS}|{_ATS})\s)[A-Za-z0-9-]++(?:(?:\s+{_DOTS
 #: What is written behind the last label with a letter.
 _TAIL = re.compile(r"(?:\.[0-9-]+)+$")
 _CUE = re.compile(r"\b(?:e-?mails?|e-?mailed|mails?|mailto|contact|kontakt|contatto|contacto|correo|courriel|posta|write|reach|inbox|schreib\w*|address|adresse)\b", re.I)
+#: How near a word must be that speaks of mail for bare words to count as an address: a matter of meaning, not of white space.
 NEAR = 40
 #: Last labels of a domain that are enough after bare words; two-letter ones are, too, unless they are English words.
 LABELS = frozenset("com org net edu gov int mil info biz name pro app dev xyz online site shop tech cloud blog museum".split())
@@ -253,11 +257,30 @@ def runs(t: str) -> Rewrite:
     return Rewrite(t, [(m.start(), m.end(), "+" * m.group().lower().startswith(PLUS_WORDS) + "".join(DIGITS[w.lower()] for w in re.findall(_WORD, m.group(), re.I))) for m in (_RUN.finditer(t) if _FEW.search(t.lower()) else ())])
 
 
+def reach(t: str, start: int) -> int:
+    """From where on what stands before a digit word can decide about it: over any run of signs and white space, a word at most, and once more. A run is walked over for two words at most."""
+    for _ in range(2):
+        while start and not t[start - 1].isalnum():
+            start -= 1
+        least = max(start - LONGEST, 0)
+        while start > least and t[start - 1].isalnum():
+            start -= 1
+    return start
+
+
+def white_before(t: str, start: int, least: int) -> int:
+    """How long the white space is that ends at ``start``, not before ``least``."""
+    k = start
+    while k > least and t[k - 1].isspace():
+        k -= 1
+    return start - k
+
+
 def adjoining(t: str) -> Rewrite:
     """Every digit word that adjoins a digit, a digit word or a disguised dot as its digit. Between two of them dots stay as one dot, white space, commas and hyphens go; next to a digit white space becomes one space."""
     words = []
     for m in _DIGIT_WORD.finditer(t):
-        before = t[max(m.start() - NEAR, 0) : m.start()]
+        before = t[reach(t, m.start()) : m.start()]
         if _BEHIND.match(t, m.end()) or before.rstrip(" \t\r\n\f\v,.-(").lower().endswith(_ENDS) and _BEFORE.search(before):
             words.append((m.start(), m.end(), DIGITS[m.group().lower()]))
     edits = [(m.start(), m.end(), "+") for m in _PLUS.finditer(t)]
@@ -266,11 +289,11 @@ def adjoining(t: str) -> Rewrite:
         gap = t[last:start] if last >= 0 else ""
         if gap and not gap.strip(" \t\r\n\f\v,.-"):
             edits.append((last, start, "." if "." in gap else ""))
-        elif (white := re.search(r"(?<=[0-9])\s\s+$|(?<=[0-9])[\t\r\n]$", t[max(start - NEAR, 0, last) : start])) and last < start:
-            edits.append((start - len(white.group()), start, " "))
+        elif last < start and (n := white_before(t, start, max(last, 0))) and start - n > max(last, 0) and t[start - n - 1] in "0123456789" and (n > 1 or t[start - 1] in "\t\r\n"):
+            edits.append((start - n, start, " "))
         edits.append((start, end, digit))
-        if white := re.match(r"(?:\s\s+|[\t\r\n])(?=[0-9])", t[end : end + NEAR]):
-            edits.append((end, end + white.end(), " "))
+        if white := _WHITE_DIGIT.match(t, end):
+            edits.append((end, white.end(), " "))
         last = end
     return Rewrite(t, sorted(edits))
 
