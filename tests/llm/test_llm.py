@@ -6,6 +6,7 @@ import io
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -631,3 +632,24 @@ def test_range_buckets_count_the_cuts_below(spark, n):
     cuts = [10 * i for i in range(1, n + 1)]
     rows = spark.range(0, 10 * n + 20).select("id", bucket_of(F.col("id"), cuts).alias("b")).collect()
     assert all(r["b"] == sum(c < r["id"] for c in cuts) for r in rows)
+
+
+def test_decontamination_takes_no_pairs():
+    """Boilerplate in many items and documents, and one word over and over: each range is looked at once."""
+    passage = [f"w{i}".encode() for i in range(30)]
+    items = [(f"{i:04d}", [*passage, f"i{i}".encode()]) for i in range(800)]
+    docs = [[f"d{i}".encode(), *passage] for i in range(800)]
+    began = time.perf_counter()
+    got = decontaminate.judge_shard(docs, [decontaminate.Tests(items)], 10, False)
+    assert time.perf_counter() - began < 8
+    assert all(m[:3] == (31, 30, [i for i, _ in items]) for m in got)
+    began = time.perf_counter()
+    (m,) = decontaminate.judge_shard([[b"a"] * 400_000], [decontaminate.Tests([("x", [b"a"] * 800), ("y", [b"a"] * 3)])], 10, False)
+    assert time.perf_counter() - began < 20 and m[:3] == (400_000, 400_000, ["x", "y"])
+
+
+def test_pii_white_space_does_not_matter():
+    for n in (1, 30, 45, 700):
+        gap = " " * n
+        assert pii.spans(f"10.20.30{gap}[dot] five.")[1] == [("ip", 0, 18 + n)]
+        assert pii.spans(f"{gap}10.20.30 [dot]{gap}five.")[1] == [("ip", n, 2 * n + 18)]

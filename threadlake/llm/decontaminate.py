@@ -10,6 +10,9 @@ A window is ``window`` consecutive words of an item, or the whole item if it has
 one at least. A document word inside any occurrence of a window is hit. Words are runs of digits,
 letters and all characters beyond ASCII, A-Z lower-cased.
 
+Hits and items take time in proportion to the texts, however often a passage repeats on either side; only the places of matches, if asked for,
+are as many as pairs of repeats.
+
 Null and empty texts have no words, on either side. Repeated documents are judged alike; items with
 equal texts are all reported, one without an identifier as ``null``. Empty tables give an empty result, an empty
 benchmark gives no hits. The benchmark is written to the shared folder in blocks of about ``BLOCK`` bytes, and each shard
@@ -174,40 +177,91 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     return order
 
 
-def judge_shard(docs: list[list[bytes]], blocks: Blocks, window: int) -> list[tuple]:
-    """(n_words, n_hit, items, longest, matches) of each document."""
+def occurrences(shard: Shard, lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which range, place) of all suffixes in these ranges, ``STEP`` at a time, about."""
+    counts = hi - lo
+    cuts = np.searchsorted(np.cumsum(counts), np.arange(STEP, counts.sum() + STEP, STEP)) if len(counts) else []
+    for part in np.split(np.arange(len(lo)), np.unique(np.asarray(cuts, np.int64) + 1)):
+        if len(part):
+            within = np.arange(counts[part].sum()) - np.repeat(np.cumsum(counts[part]) - counts[part], counts[part])
+            yield np.repeat(part, counts[part]), shard.order[np.repeat(lo[part], counts[part]) + within]
+
+
+class Items:
+    """Which items each document has: documents meet ranges, and ranges meet sets of items, of which equal ones are one."""
+
+    def __init__(self, docs: int):
+        self.classes: list[set[int]] = [set() for _ in range(docs)]
+        self.sets: dict[frozenset, int] = {}
+
+    def add(self, tests: Tests, which: np.ndarray, suffixes: np.ndarray, doc: np.ndarray, at: np.ndarray) -> None:
+        """``suffixes`` lie in the ranges ``which``; the documents ``doc`` have the ranges ``at``."""
+        pairs = np.unique(np.stack([which, tests.item[suffixes]], 1), axis=0)
+        cuts = np.flatnonzero(np.diff(pairs[:, 0])) + 1
+        name = [self.sets.setdefault(frozenset(tests.names[k] for k in items.tolist()), len(self.sets)) for items in np.split(pairs[:, 1], cuts)]
+        for d, k in np.unique(np.stack([doc, np.asarray(name)[at]], 1), axis=0).tolist():
+            self.classes[d].add(k)
+
+    def lists(self) -> list[list[str]]:
+        """Each document's items, sorted; documents with the same sets share the work."""
+        sets, made = list(self.sets), {}
+        out = []
+        for c in self.classes:
+            key = frozenset(c)
+            if key not in made:
+                made[key] = sorted(set().union(*(sets[k] for k in key)))
+            out.append(made[key])
+        return out
+
+
+def longest_windows(shard: Shard, tests: Tests, q: np.ndarray, wanted: np.ndarray, suffixes: np.ndarray, lo: np.ndarray, hi: np.ndarray, matches: list[set]) -> None:
+    """Adds to each document's ``matches`` every longest match with its places. These are pairs of places in documents and in items."""
+    t, start = shard.words, tests.at()
+    for which, at in occurrences(shard, lo, hi):
+        j = suffixes[which]
+        reach = wanted[j]
+        # what begins one word earlier, too, is part of a longer match
+        outer = ~((start[j] > 0) & (at > 0) & (t[at - 1] == q[j - 1]))
+        j, at, reach = j[outer], at[outer], reach[outer]
+        going = np.arange(len(j))
+        while len(going := going[tests.left[j[going]] > reach[going]]) and len(going := going[t[at[going] + reach[going]] == q[j[going] + reach[going]]]):
+            reach[going] += 1
+        doc = shard.document(at)
+        for d, k, i, p, n in zip(doc.tolist(), tests.item[j].tolist(), start[j].tolist(), (at - shard.starts[doc]).tolist(), reach.tolist(), strict=True):
+            matches[d].add((tests.names[k], i, p, n))
+
+
+def judge_shard(docs: list[list[bytes]], blocks: Blocks, window: int, places: bool = True) -> list[tuple]:
+    """(n_words, n_hit, items, longest, matches) of each document.
+
+    Windows that are equal have one range of the suffix array, so each range is marked and met by its documents once, however many items have
+    it and however often: that takes time in proportion to the shard and the benchmark. Only ``places`` asks for pairs of places.
+    """
     shard = Shard(docs)
-    t, depth = shard.words, np.zeros(len(shard.words) + 1, np.int64)
-    found: list[set] = [set() for _ in docs]
+    depth = np.zeros(len(shard.words) + 1, np.int64)
+    items = Items(len(docs))
     matches: list[set] = [set() for _ in docs]
     for tests in blocks:
         _, _, q, suffixes, lo, hi = shard.find(tests, window)
-        wanted, start = tests.windows(window), tests.at()
-        counts = hi - lo
-        cuts = np.searchsorted(np.cumsum(counts), np.arange(STEP, counts.sum() + STEP, STEP)) if len(counts) else []
-        for part in np.split(np.arange(len(suffixes)), np.unique(np.asarray(cuts, np.int64) + 1)):
-            if not len(part):
-                continue
-            j = np.repeat(suffixes[part], counts[part])
-            within = np.arange(len(j)) - np.repeat(np.cumsum(counts[part]) - counts[part], counts[part])
-            at = shard.order[np.repeat(lo[part], counts[part]) + within]
-            reach = wanted[j]
+        if not len(suffixes):
+            continue
+        wanted = tests.windows(window)
+        # a range and a length: the whole of a short item can have the range of a longer window
+        ranges, first, which = np.unique(np.stack([lo, hi, wanted[suffixes]], 1), axis=0, return_index=True, return_inverse=True)
+        which = which.reshape(-1)
+        docs_of, at_of = [], []
+        for r, at in occurrences(shard, ranges[:, 0], ranges[:, 1]):
             np.add.at(depth, at, 1)
-            np.add.at(depth, at + reach, -1)
-            # what begins one word earlier, too, is part of a longer match
-            inner = (start[j] > 0) & (at > 0) & (t[at - 1] == q[j - 1])
-            doc = shard.document(at)
-            for d, k in {*zip(doc.tolist(), tests.item[j].tolist(), strict=True)}:
-                found[d].add(tests.names[k])
-            j, at, reach, doc = j[~inner], at[~inner], reach[~inner], doc[~inner]
-            going = np.arange(len(j))
-            while len(going := going[tests.left[j[going]] > reach[going]]) and len(going := going[t[at[going] + reach[going]] == q[j[going] + reach[going]]]):
-                reach[going] += 1
-            for d, k, i, p, n in zip(doc.tolist(), tests.item[j].tolist(), start[j].tolist(), (at - shard.starts[doc]).tolist(), reach.tolist(), strict=True):
-                matches[d].add((tests.names[k], i, p, n))
+            np.add.at(depth, at + ranges[r, 2], -1)
+            met = np.unique(np.stack([shard.document(at), r], 1), axis=0)
+            docs_of.append(met[:, 0])
+            at_of.append(met[:, 1])
+        items.add(tests, which, suffixes, np.concatenate(docs_of), np.concatenate(at_of))
+        if places:
+            longest_windows(shard, tests, q, wanted, suffixes, lo, hi, matches)
     hit = np.concatenate([[0], np.cumsum(np.cumsum(depth)[:-1] > 0)])
-    made = zip(shard.lengths.tolist(), shard.starts.tolist(), found, matches, strict=True)
-    return [(n, int(hit[s + n] - hit[s]), sorted(f), max((x[3] for x in m), default=0), sorted(m, key=lambda x: (x[2], x[0], x[1]))) for n, s, f, m in made]
+    made = zip(shard.lengths.tolist(), shard.starts.tolist(), items.lists(), matches, strict=True)
+    return [(n, int(hit[s + n] - hit[s]), f, max((x[3] for x in m), default=0), sorted(m, key=lambda x: (x[2], x[0], x[1]))) for n, s, f, m in made]
 
 
 def prepare(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[str]:
@@ -230,29 +284,31 @@ def prepare(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
     return sorted(r[0] for r in manifest.collect())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns to keep, n_words, n_hit, items array<string> (sorted as strings), longest (words) and matches, for every row.
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), places: bool = True) -> DataFrame:
+    """``id_col``, the columns to keep, n_words, n_hit, items array<string> (sorted as strings), and with ``places`` longest (words) and matches, for every row.
 
     ``matches`` are the longest verbatim matches of a window or more: item, the word of the item and the word of the
     document where it begins (from 0), and its length in words; by place in the document.
     """
     uris = prepare(benchmark)
     rows = docs.select(F.col(id_col), *[F.col(c) for c in keep], F.col(text_col).alias("__text"))
-    names = [id_col, *keep, "n_words", "n_hit", "items", "longest", "matches"]
+    names = [id_col, *keep, "n_words", "n_hit", "items", *["longest", "matches"] * places]
     place = pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("length", pa.int64())]))
 
     @tidy
     def run(batches):
         blocks = Blocks(uris)
         for whole, words in shards(batches, rows_at):
-            made = judge_shard(words, blocks, window)
-            cols = [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()))]
-            cols.append(pa.array([[dict(zip(("item", "item_at", "at", "length"), x, strict=True)) for x in m[4]] for m in made], place))
+            made = judge_shard(words, blocks, window, places)
+            cols = [pa.array([m[i] for m in made], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.list_(pa.string())))]
+            if places:
+                cols.append(pa.array([m[3] for m in made], pa.int64()))
+                cols.append(pa.array([[dict(zip(("item", "item_at", "at", "length"), x, strict=True)) for x in m[4]] for m in made], place))
             yield pa.RecordBatch.from_arrays([*whole.columns[:-1], *cols], names=names)
 
     rows_at = len(keep) + 1
     kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    return rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>, longest long, matches {MATCHES}")
+    return rows.mapInArrow(run, f"{kinds}, n_words long, n_hit long, items array<string>" + f", longest long, matches {MATCHES}" * places)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +364,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col:
     def run(batches):
         blocks = Blocks(uris)
         for whole, words in shards(batches, at):
-            yield whole.filter(pa.array([m[1] == 0 for m in judge_shard(words, blocks, window)]))
+            yield whole.filter(pa.array([m[1] == 0 for m in judge_shard(words, blocks, window, False)]))
 
     return docs.mapInArrow(run, docs.schema)
 
