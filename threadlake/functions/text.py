@@ -100,15 +100,22 @@ def hrefs(html: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?i)<a\s[^>]*href="([^"]*)"'), F.lit(1))
 
 
-#: Parameters by which advertisers and mailers know a reader again.
-TRACKERS = ("gclid", "fbclid", "msclkid", "dclid", "yclid", "twclid", "ttclid", "igshid", "mc_eid", "_hsenc", "_hsmi", "mkt_tok", "vero_id", "wickedid", "oly_enc_id", "oly_anon_id")
+#: Parameters by which advertisers and mailers know a reader again, as browsers strip them.
+TRACKERS = (
+    "__s", "_hsenc", "fbclid", "mc_eid", "mkt_tok", "oly_anon_id", "oly_enc_id", "vero_id", "__hsfp", "__hssc", "__hstc", "_openstat", "dclid", "gbraid", "gclid", "hsctatracking", "msclkid", "twclid", "wbraid", "wickedid", "yclid", "ysclid",
+    "_branch_match_id", "bsft_clkid", "et_rid", "fb_action_ids", "guce_referrer", "igshid", "irclickid", "ml_subscriber", "ml_subscriber_hash", "rb_clickid", "s_cid", "sfmc_id", "sfmc_activityid", "srsltid", "ss_email_id", "ttclid", "vero_conv", "ymclid",
+)
+#: What a path or query has of pages on which people manage their subscription; such links need their parameters.
+SUBSCRIPTION_WORDS = ("unsub", "optout", "opt-out", "opt_out", "preference", "subscription", "manage", "remove")
 
 
 def without_tracking(url: Column) -> Column:
-    """The url without the parameters that follow people around. Campaign tags say nothing about who reads, and stay; so does ``ref``, which ordinary links need."""
+    """The url without the parameters that follow people around. Campaign tags say nothing about who reads, and stay; so does ``ref``, which ordinary links need, and everything in links that manage a subscription."""
     x = F.regexp_replace(url, rf"(?i)([?&])({'|'.join(TRACKERS)})=[^&#]*", "$1")
     x = F.regexp_replace(x, r"&&+", "&")
-    return F.regexp_replace(F.regexp_replace(x, r"\?&", "?"), r"[?&]+(#|$)", "$1")
+    x = F.regexp_replace(F.regexp_replace(x, r"\?&", "?"), r"[?&]+(#|$)", "$1")
+    place = F.lower(F.regexp_replace(F.regexp_replace(url, r"^[^/]*//[^/?#]*", ""), r"#.*$", ""))
+    return F.when(place.rlike("|".join(SUBSCRIPTION_WORDS)), url).otherwise(x)
 
 
 def sentences(text: Column) -> Column:
@@ -198,13 +205,28 @@ def codes(text: Column) -> Column:
     return F.nullif(near, F.lit(""))
 
 
+#: What stands before the total of a receipt, the most telling first, with its rank; the first that a line has counts.
+TOTAL_LABELS = (
+    ("grand total", 5), ("order total", 5), ("trip total", 5), ("total charged", 5), ("amount charged", 5), ("total paid", 5), ("amount paid", 5), ("you paid", 5), ("refund total", 5), ("refund of", 5), ("refunded", 4), ("total pagado", 5), ("importe total", 4), ("monto total", 4), ("total a pagar", 4),
+    ("total amount", 4), ("payment amount", 4), ("charged to", 4), ("total", 3), ("amount due", 2), ("balance due", 2), ("charged", 2),
+)
+#: Lines that are about no total.
+NO_TOTAL = ("subtotal", "sub-total", "sub total", "total savings", "total discount", "you saved", "total points", "total miles", "total distance", "total time")
+
+
 def receipt_total(text: Column) -> Column:
-    """The amount on the most telling total line: grand total and charged before total before amount due; the later line wins ties. Subtotals do not count."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\n")
-    rank = lambda x: F.when(x.rlike(r"subtotal|sub-total|savings|points"), 0).when(x.rlike(r"grand total|order total|trip total|charged|\bpaid\b"), 5).when(x.rlike(r"refunded|total amount"), 4).when(x.rlike(r"\btotal\b"), 3).when(x.rlike(r"(amount|balance) due"), 2).otherwise(0)
-    found = F.transform(lines, lambda x, i: F.struct(rank(x).alias("rank"), i.alias("line"), F.try_element_at(amounts(x), F.lit(-1)).alias("amount")))
+    """The amount behind the most telling label: the last one of its line, or else of the next line that is not empty; the later line wins ties."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), r"\n"), lambda x: F.trim(x) != "")
+    pairs = F.zip_with(lines, F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x, after: F.struct(F.lower(x).alias("low"), x.alias("line"), after.alias("after")))
+
+    def rank(low: Column) -> Column:
+        ranked = F.coalesce(*[F.when(low.rlike(rf"(?<![\p{{L}}\p{{N}}]){re.escape(k)}(?![\p{{L}}\p{{N}}])"), F.lit(r)) for k, r in TOTAL_LABELS], F.lit(0))
+        return F.when(low.rlike("|".join(re.escape(x) for x in NO_TOTAL)), F.lit(0)).otherwise(ranked)
+
+    last = lambda x: F.try_element_at(amounts(x), F.lit(-1))
+    found = F.transform(pairs, lambda p, i: F.struct(rank(p["low"]).alias("rank"), i.alias("line"), F.coalesce(last(p["line"]), last(p["after"])).alias("amount")))
     fit = F.filter(found, lambda f: (f["rank"] > 0) & f["amount"].isNotNull())
-    return F.when(F.size(fit) > 0, F.array_max(fit)["amount"])
+    return F.array_max(fit)["amount"]
 
 
 def snippet(toks: Column, word: str, size: int = 32) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -43,8 +45,8 @@ def judged(run: DataFrame, judgments: DataFrame, k: int, query: str = "query", d
     return graded(run.where(F.col("rank") <= k), judgments, query, doc).groupBy(query).agg(F.round(F.avg(F.col("grade").isNotNull().cast("double")), 6).alias("judged"))
 
 
-def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
-    """Percentiles as elements: the ceil(n * p)-th smallest, the first at least.
+def elements(df: DataFrame, value: str, want: Callable[[int], dict[str, int]]) -> DataFrame | None:
+    """One row with the k-th smallest values (from 1), by name; ``want`` gives the ks when it knows how many values there are. None if there are none.
 
     Counted values are dealt to ranges; the driver gets a count for each range (a job that runs while the plan is built),
     and a task ranks the values of one range alone.
@@ -56,11 +58,23 @@ def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     for r in sorted(ranges.groupBy("__r").agg(F.sum("c").alias("c")).collect()):  # a row a range
         before[r["__r"]], n = n, n + r["c"]
     if not n:
-        return counts.agg(*[F.min(value).alias(f"p{round(100 * p)}") for p in shares])
+        return None
     start = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("__r"))
     upto = ranges.withColumn("upto", start + F.sum("c").over(Window.partitionBy("__r").orderBy(value)))
-    want = lambda p: max(-(-int(n * p * 10**6) // 10**6), 1)
-    return upto.agg(*[F.min(F.when(F.col("upto") >= want(p), F.col(value))).alias(f"p{round(100 * p)}") for p in shares])
+    return upto.agg(*[F.min(F.when(F.col("upto") >= k, F.col(value))).alias(name) for name, k in want(n).items()])
+
+
+def nearest_rank(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
+    """Percentiles as elements: the ceil(n * p)-th smallest, the first at least; null without values."""
+    name = lambda p: f"p{round(100 * p)}"
+    found = elements(df, value, lambda n: {name(p): max(-(-int(n * p * 10**6) // 10**6), 1) for p in shares})
+    return df.limit(0).agg(*[F.min(value).alias(name(p)) for p in shares]) if found is None else found
+
+
+def upper_median(df: DataFrame, value: str) -> DataFrame:
+    """The element at n/2 in ascending order (from 0); no row without values."""
+    found = elements(df, value, lambda n: {"median": n // 2 + 1})
+    return df.select(F.col(value).alias("median")).limit(0) if found is None else found
 
 
 def run_diff(a: DataFrame, b: DataFrame, query: str = "query", doc: str = "doc") -> DataFrame:

@@ -51,16 +51,6 @@ def waits(messages: DataFrame, thread: str, seq: str, sent: Column, received: Co
     return answered.where("received_at is not null and sent_at > received_at").select(thread, "received_at", "sent_at", (F.col("sent_at") - F.col("received_at")).alias("wait"))
 
 
-def upper_median(df: DataFrame, value: str) -> DataFrame:
-    """The element at n/2 in ascending order. Values are counted first, so what is sorted are distinct values."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
-    total = counts.agg(F.sum("c")).first()[0]
-    if not total:
-        return counts.select(F.col(value).alias("median")).limit(0)
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value)))
-    return upto.where(F.col("upto") > F.lit(total // 2)).agg(F.min(value).alias("median"))
-
-
 def page(threads: DataFrame, before: int, n: int, key: str, ident: str) -> DataFrame:
     """Keyset pagination: the n newest before a position."""
     return threads.where(F.col(key) < before).orderBy(F.desc(key), F.desc(ident)).limit(n)

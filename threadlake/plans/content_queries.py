@@ -122,19 +122,18 @@ def anchors(spark, sf):
     return h.select("page_id", F.size("h").cast("long").alias("n"), F.array_join("h", " ").alias("hrefs"))
 
 
-@query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '(?i)([?&])(" + "|".join(X.TRACKERS) + ")=[^&#]*', '\\1', 'g'), '&&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+(#|$)', '\\1', 'g') AS url FROM pages")
+@query("SELECT page_id, CASE WHEN regexp_matches(lower(regexp_replace(regexp_replace(url, '^[^/]*//[^/?#]*', ''), '#.*$', '')), '" + "|".join(X.SUBSCRIPTION_WORDS) + "') THEN url ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '(?i)([?&])(" + "|".join(X.TRACKERS) + ")=[^&#]*', '\\1', 'g'), '&&+', '&', 'g'), '\\?&', '?', 'g'), '[?&]+(#|$)', '\\1', 'g') END AS url FROM pages")
 def url_strip_tracking(spark, sf):
     return load(spark, sf, "pages").select("page_id", X.without_tracking(F.col("url")).alias("url"))
 
 
-MONEY = [("costs $1,234.50 today", ["1234.50"]), ("€ 12,5 and £7", ["12.5", "7"]), ("$5x no, $6.", ["6"]), ("€1.234.567", ["1234567"]), ("", [])]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{' '.join(a)}')" for t, a in MONEY) + ") AS v(text, amounts)")
+@query("SELECT o_orderkey, printf('%.2f', round(o_totalprice, 2)) || ' ' || (o_orderkey % 1000)::VARCHAR || CASE WHEN o_orderkey % 3 = 0 THEN ' 12.5' ELSE '' END AS amounts FROM orders")
 def amounts_parse(spark, sf):
-    """On literal texts: no table holds amounts of money."""
-    rows = spark.createDataFrame([(t,) for t, _ in MONEY], "text string")
-    return rows.select("text", F.array_join(X.amounts(F.col("text")), " ").alias("amounts"))
+    """Sums in a line about each order: thousands, a decimal comma, a mark with a space; what has a letter behind is none."""
+    o = load(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    line = F.concat(F.lit("Paid $"), F.format_number(F.round("o_totalprice", 2), 2), F.lit(", fee € "), (key % 1000).cast("string"), F.lit(" not $5x"), F.when(key % 3 == 0, F.lit("; tip £12,5")).otherwise(F.lit("")))
+    return o.select("o_orderkey", F.array_join(X.amounts(line), " ").alias("amounts"))
 
 
 @query("WITH n AS (SELECT o_orderkey, lpad((o_orderkey * 7919)::VARCHAR, 12, '0') AS s FROM orders) SELECT o_orderkey, s AS number FROM n WHERE list_sum(list_transform(range(12), lambda i: substr(s, 12 - i, 1)::INT * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END)) % 10 = 0")
@@ -168,23 +167,25 @@ def edit1_candidates(spark, sf):
 RUN = (
     "WITH q AS (SELECT item_id AS query, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS term FROM benchmark), t AS (SELECT doc_id AS doc, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS term FROM documents), "
     "s AS (SELECT query, doc, count(*) AS score FROM q JOIN t USING (term) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM s QUALIFY rank <= 10), "
-    "j AS (SELECT item_id AS query, doc_id AS doc, quality AS grade FROM benchmark, labels WHERE (doc_id + item_id) % 3 = 0) "
+    "j AS (SELECT query, doc, quality AS grade FROM s JOIN labels ON doc_id = doc) "
 )
 
 
-def run(spark, sf):
+def matches(spark, sf):
     """Benchmark items as queries; a document scores by how many of an item's long words it has."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{6,}"), F.lit(0)))
     q = load(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(words("text")).alias("term"))
     t = load(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.explode(words("text")).alias("term"))
-    return S.ranked(q.join(t, "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("score")), "query", "doc", 10)
+    return q.join(t, "term").groupBy("query", "doc").agg(F.count(F.lit(1)).alias("score"))
+
+
+def run(spark, sf):
+    return S.ranked(matches(spark, sf), "query", "doc", 10)
 
 
 def judgments(spark, sf):
-    """A stand-in: labelled documents judge the items of one residue class."""
-    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("query")).withColumn("r", F.pmod(-F.col("query"), F.lit(3)))
-    d = load(spark, sf, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("grade"), (F.col("doc_id") % 3).alias("r"))
-    return q.join(d, "r").drop("r")
+    """A pool: whatever an item matches and labels cover is judged by its quality."""
+    return matches(spark, sf).join(load(spark, sf, "labels").select(F.col("doc_id").alias("doc"), F.col("quality").alias("grade")), "doc").select("query", "doc", "grade")
 
 
 @query(RUN + ", g AS (SELECT query, sum(coalesce(grade, 0) / log2(rank + 1)) AS dcg FROM r LEFT JOIN j USING (query, doc) GROUP BY query), i AS (SELECT query, sum(grade / log2(k + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, doc) AS k FROM j WHERE grade > 0) WHERE k <= 10 GROUP BY query) SELECT query, round(coalesce(dcg / ideal, 0), 6) AS ndcg FROM g LEFT JOIN i USING (query)")

@@ -205,13 +205,19 @@ def check_digit_mod11(spark, sf):
     return n.where(X.fedex12_ok(F.col("number")))
 
 
-RECEIPTS = [("Subtotal $9.00\nTotal $10.50\nAmount due $3", "10.50"), ("Total: €5\nGrand total: €7,25\nTotal $99", "7.25"), ("Total $1\nTotal $2", "2"), ("nothing here", None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else "'" + x.replace("\n", "' || chr(10) || '") + "'" for x in r) + ")" for r in RECEIPTS) + ") AS v(text, total)")
+@query("SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 2 THEN (o_custkey % 90)::VARCHAR ELSE printf('%.2f', round(o_totalprice, 2)) END AS total FROM orders")
 def receipt_totals(spark, sf):
-    """On literal texts: no table holds receipts."""
-    return spark.createDataFrame([(t,) for t, _ in RECEIPTS], "text string").select("text", X.receipt_total(F.col("text")).alias("total"))
+    """A receipt for each order, in four layouts: one line, the sum on the next line, a charged sum that a total outranks, no sum at all."""
+    o = load(spark, sf, "orders")
+    price, small = F.concat(F.lit("$"), F.format_number(F.round("o_totalprice", 2), 2)), F.concat(F.lit("€ "), (F.col("o_custkey") % 90).cast("string"))
+    layout = F.col("o_orderkey") % 4
+    text = (
+        F.when(layout == 0, F.concat(F.lit("Subtotal $9.00\nGrand total: "), price, F.lit("\nTotal $7\nAmount due $3")))
+        .when(layout == 1, F.concat(F.lit("Items 3\nOrder Total\n\n  "), price, F.lit("\nYou saved $4")))
+        .when(layout == 2, F.concat(F.lit("Charged "), price, F.lit("\nTotal savings $8\nTotal "), small))
+        .otherwise(F.lit("Total time 3 h\nthank you"))
+    )
+    return o.select("o_orderkey", X.receipt_total(text).alias("total"))
 
 
 SENT = "WITH s AS (SELECT doc_id, unnest(string_split_regex(text, '\\n+')) AS line FROM documents), w AS (SELECT doc_id, trim(line) AS line, regexp_extract_all(lower(line), '[a-z]+') AS ws FROM s WHERE trim(line) <> '') "

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import evaluation as E
 from ..operators import postings as P
 from ..operators import search as S
 from ..operators import threads as T
@@ -199,7 +200,7 @@ def reply_waits(spark, sf):
 
 @query(WAITS + ", r AS (SELECT sent_at - received_at AS wait, row_number() OVER (ORDER BY sent_at - received_at) AS k, count(*) OVER () AS n FROM w WHERE sent_at > received_at) SELECT wait AS median FROM r WHERE k = n // 2 + 1")
 def reply_wait_median(spark, sf):
-    return T.upper_median(reply_waits(spark, sf), "wait")
+    return E.upper_median(reply_waits(spark, sf), "wait")
 
 
 @query("WITH t AS (SELECT conv_id, count(*) AS messages, max(turn) AS last_seq FROM conversations GROUP BY conv_id) SELECT * FROM t WHERE last_seq < 6 ORDER BY last_seq DESC, conv_id DESC LIMIT 25")
