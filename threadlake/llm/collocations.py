@@ -78,7 +78,7 @@ def answer_words(shards: int, least: int):
         for w, c in total.items():
             lang = w.split(blocks.PART, 1)[0].decode()
             sums[lang] = sums.get(lang, 0) + c
-        yield None, pack(np.array(list(number.values()), np.int64), meta=(sums, known))
+        yield None, pack(np.array(list(number.values()), np.int64), np.array([total[w] for w in known], np.int64), meta=(sums, known))
 
     return answer
 
@@ -119,11 +119,11 @@ class Pieces:
     def keys(self, at: np.ndarray, n: int) -> list[np.ndarray]:
         return [self.number[at + k] for k in range(n)]
 
-    def ask(self, n: int, at: np.ndarray, times: np.ndarray, parts: list[np.ndarray], number: int, shards: int):
-        """n-grams at these positions: their words' numbers, counts, languages, and the f of the parts of each cut."""
+    def ask(self, n: int, at: np.ndarray, times: np.ndarray, number: int, shards: int):
+        """n-grams at these positions: their words' numbers, counts and languages."""
         keys = self.keys(at, n)
         names, lang = self.langs(at)
-        payload = lambda i: pack(gaps(keys[0][i]), gaps_within(keys[1][i], keys[0][i]), *[k[i] for k in keys[2:]], times[i], lang[i], *[p[i] for p in parts], meta=names)
+        payload = lambda i: pack(gaps(keys[0][i]), gaps_within(keys[1][i], keys[0][i]), *[k[i] for k in keys[2:]], times[i], lang[i], meta=names)
         return asks(mixed(*keys), number, shards, payload, tuple(keys))
 
     def answers(self, n: int, at: np.ndarray, shards: int, payloads: list[bytes]) -> np.ndarray:
@@ -167,14 +167,13 @@ def answer_grams(n: int, least: int):
         for i, lo, hi in zip(ids, cut[:-1], cut[1:], strict=True):
             yield i, pack(total[which[lo:hi]])
         at = first[total > 0]
-        yield None, pack(*[c[at] for c in cols[:n]], total[total > 0], *[c[at] for c in cols[n + 1 :]], meta=list(names))
+        yield None, pack(*[c[at] for c in cols[:n]], total[total > 0], cols[n + 1][at], meta=list(names))
 
     return answer
 
 
 def candidates(came: DataFrame, n: int) -> DataFrame:
-    """The shards' candidates of n words as rows."""
-    schema = pa.schema([("lang", pa.string()), ("ids", pa.list_(pa.int64())), *((c, pa.int64()) for c in ("a", "l", "r", "score"))])
+    """(lang, ids, a): the shards' candidates of n words as rows."""
 
     def run(batches):
         for batch in batches:
@@ -182,25 +181,35 @@ def candidates(came: DataFrame, n: int) -> DataFrame:
                 names, cols = unpack(p)
                 for start in range(0, len(cols[0]), 1 << 16):
                     part = [c[start : start + (1 << 16)] for c in cols]
-                    a = part[n].tolist()
-                    made = [cut_scores(x, [(c[2 * k], c[2 * k + 1]) for k in range(n - 1)]) for x, c in zip(a, zip(*(c.tolist() for c in part[n + 2 :]), strict=True), strict=True)]
-                    ids = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(a) + 1, n), pa.int32()), pa.array(np.stack(part[:n], 1).reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in part[n + 1]], pa.string()), ids, pa.array(a, pa.int64()), *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2, 0))], schema=schema)
+                    m = len(part[0])
+                    ids = pa.ListArray.from_arrays(pa.array(np.arange(0, n * m + 1, n), pa.int32()), pa.array(np.stack(part[:n], 1).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in part[n + 1]], pa.string()), ids, pa.array(part[n])], names=["lang", "ids", "a"])
 
-    return came.where("block is null").select("payload").mapInArrow(run, PHRASE)
+    return came.where("block is null").select("payload").mapInArrow(run, "lang string, ids array<long>, a long")
+
+
+def scored(found: DataFrame) -> DataFrame:
+    """``PHRASE`` of candidates with ``parts``, the f of both parts of each cut; Python's integers keep the products exact."""
+
+    def run(batches):
+        for batch in batches:
+            made = [cut_scores(a, list(zip(p[::2], p[1::2], strict=True))) for a, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([m[i] for m in made], pa.int64()) for i in (1, 2, 0))], names=["lang", "ids", "a", "l", "r", "score"])
+
+    return found.select("lang", "ids", "a", "parts").mapInArrow(run, PHRASE)
 
 
 def frequent_words(came: DataFrame) -> DataFrame:
-    """(id, word) of the words that are not rare."""
+    """(id, word, f) of the words that are not rare."""
 
     def run(batches):
         for batch in batches:
             for p in batch.column(0).to_pylist():
-                (_, known), (ids,) = unpack(p)
+                (_, known), (ids, counts) = unpack(p)
                 words = [w.split(blocks.PART, 1)[1] for w in known]
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(words, pa.binary()).cast(pa.string())], names=["id", "word"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counts)], names=["id", "word", "f"])
 
-    return came.where("block is null").select("payload").mapInArrow(run, "id long, word string")
+    return came.where("block is null").select("payload").mapInArrow(run, "id long, word string, f long")
 
 
 def occurrences(came: DataFrame) -> DataFrame:
@@ -228,7 +237,7 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
         b.keep("1", *answered(word_keys(b.words), shards, payloads, 2))
         p = Pieces(b)
         at, times = p.grams(2)
-        return blocks.sent(p.ask(2, at, times, [p.count[at], p.count[at + 1]], number, shards))
+        return blocks.sent(p.ask(2, at, times, number, shards))
 
     def triples(number: int, uri: str, payloads: list[bytes]) -> pa.Table:
         p = Pieces(Block(uri))
@@ -236,14 +245,28 @@ def mined(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least
         at, times = p.grams(3)
         some = (pair[at] > 0) & (pair[at + 1] > 0)
         at, times = at[some], times[some]
-        return blocks.sent(p.ask(3, at, times, [p.count[at], pair[at + 1], pair[at], p.count[at + 2]], number, shards))
+        return blocks.sent(p.ask(3, at, times, number, shards))
 
     twos = written(spark, blocks.by_shard(blocks.by_block(words, of, pairs, blocks.ROW), of, answer_grams(2, least)), "phrase-pairs")
     threes = written(spark, blocks.by_shard(blocks.by_block(twos, of, triples, blocks.ROW), of, answer_grams(3, least)), "phrase-triples")
-    two, three = candidates(twos, 2), written(spark, candidates(threes, 3), "phrase-candidates")
+    two, three = written(spark, candidates(twos, 2), "phrase-candidates"), written(spark, candidates(threes, 3), "phrase-candidates")
+    vocabulary = written(spark, frequent_words(words), "phrase-vocabulary")
     inside = three.select(F.explode(F.array(F.slice("ids", 1, 2), F.slice("ids", 2, 2))).alias("ids"), F.col("a").alias("longer")).groupBy("ids").agg(F.max("longer").alias("longer"))
     alone = two.join(inside, "ids", "left").where(F.coalesce(100 * F.col("longer") < percent * F.col("a"), F.lit(True)))
-    return alone.select(three.columns).unionByName(three), frequent_words(words), occurrences(words)
+
+    def word(i: int) -> DataFrame:
+        return vocabulary.select(F.col("id").alias(f"w{i}"), F.col("f").alias(f"f{i}"))
+
+    def pair(name: str) -> DataFrame:
+        return two.select(F.col("ids").alias(name), F.col("a").alias(f"f_{name}"))
+
+    at = lambda i: F.get("ids", F.lit(i)).alias(f"w{i}")
+    alone = alone.select("lang", "ids", "a", at(0), at(1)).join(word(0), "w0").join(word(1), "w1").withColumn("parts", F.array("f0", "f1"))
+    # all parts of a candidate are frequent, too, so every join finds its row
+    longer = three.select("lang", "ids", "a", at(0), at(2), F.slice("ids", 1, 2).alias("head"), F.slice("ids", 2, 2).alias("tail"))
+    longer = longer.join(pair("head"), "head").join(pair("tail"), "tail").join(word(0), "w0").join(word(2), "w2").withColumn("parts", F.array("f0", "f_tail", "f_head", "f2"))
+    columns = ["lang", "ids", "a", "parts"]
+    return scored(alone.select(columns).unionByName(longer.select(columns))), vocabulary.select("id", "word"), occurrences(words)
 
 
 def phrases(docs: DataFrame, top: int | None = TOP, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, percent: int = PERCENT) -> DataFrame:
