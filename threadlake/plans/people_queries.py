@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..operators import intervals as I
 from ..operators import people as P
 from ..operators import threads as T
+from ..operators import recurrence as RR
 from .registry import load, query
 
 E = "WITH e AS (SELECT *, event_type IN ('purchase', 'signup') AS sent FROM events) "
@@ -172,3 +173,20 @@ def components(spark, sf):
     linked = o.withColumns({"p": I.previous("o_custkey", order, "o_orderkey"), "pd": I.previous("o_custkey", order, "o_orderdate")})
     edges = linked.where(F.datediff("o_orderdate", "pd") <= 60).select(F.col("p").alias("a"), F.col("o_orderkey").alias("b"))
     return I.components(edges)
+
+
+MEETING_RULES = {"click": "FREQ=DAILY;INTERVAL=3;COUNT=5", "view": "FREQ=WEEKLY;BYDAY=MO,TH;COUNT=6", "purchase": "FREQ=MONTHLY;BYDAY=-1FR", "signup": "FREQ=MONTHLY;BYMONTHDAY=-1,15;UNTIL=20240415T235959"}
+
+
+@query(
+    "WITH d AS (SELECT event_id, event_type, ts, unnest(generate_series(ts::DATE, DATE '2024-06-30', INTERVAL 1 DAY))::DATE AS day FROM events), "
+    "o AS (SELECT *, day + (ts - ts::DATE::TIMESTAMP) AS occurs FROM d WHERE CASE event_type WHEN 'click' THEN (day - ts::DATE) % 3 = 0 WHEN 'view' THEN isodow(day) IN (1, 4) WHEN 'purchase' THEN isodow(day) = 5 AND month(day + 7) <> month(day) "
+    "WHEN 'signup' THEN (day(day) = 15 OR day = last_day(day)) AND day <= DATE '2024-04-15' ELSE day = ts::DATE END), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY occurs) AS k FROM o) "
+    "SELECT event_id, count(*) AS n, strftime(max(occurs), '%Y-%m-%d %H:%M:%S') AS last FROM k WHERE k <= CASE event_type WHEN 'click' THEN 5 WHEN 'view' THEN 6 ELSE 1000 END GROUP BY event_id"
+)
+def meetings_repeated(spark, sf):
+    """Events as meetings that repeat by a rule of their type up to the middle of the year: how often, and when last."""
+    e = load(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("start"), F.try_element_at(F.create_map(*[F.lit(x) for pair in MEETING_RULES.items() for x in pair]), F.col("event_type")).alias("rule"))
+    every = RR.occurrences(e, "start", "rule", F.lit("2024-07-01").cast("timestamp"))
+    return every.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("occurs"), "yyyy-MM-dd HH:mm:ss").alias("last"))

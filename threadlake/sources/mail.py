@@ -59,12 +59,27 @@ def mime_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def calendar_events(rows: DataFrame, column: str = "ics") -> DataFrame:
-    """uid, summary, start and end of each VEVENT of an iCalendar text; folded lines are unfolded first."""
+    """uid, summary, start, end, zone, rule, exceptions and attendees of each VEVENT of an iCalendar text; folded lines are unfolded first.
+
+    Start, end and exceptions are local times of the zone (null: UTC, or a time of no zone); ``operators.recurrence`` expands them.
+    """
     unfolded = F.regexp_replace(F.coalesce(column, F.lit("")), r"\r?\n[ \t]", "")
-    events = rows.select(F.explode(F.regexp_extract_all(unfolded, F.lit(r"(?s)BEGIN:VEVENT(.*?)END:VEVENT"), F.lit(1))).alias("v"))
-    field = lambda name: F.nullif(F.trim(F.regexp_extract("v", rf"(?m)^{name}(?:;[^:\r\n]*)?:([^\r\n]*)", 1)), F.lit(""))
-    moment = lambda name: F.coalesce(F.try_to_timestamp(F.regexp_replace(field(name), "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(field(name), F.lit("yyyyMMdd")))
-    return events.select(field("UID").alias("uid"), field("SUMMARY").alias("summary"), moment("DTSTART").alias("start"), moment("DTEND").alias("end"))
+    pieces = F.filter(F.split(unfolded, "BEGIN:VEVENT"), lambda p: p.contains("END:VEVENT"))
+    events = rows.select(F.explode(F.transform(pieces, lambda p: F.substring_index(p, "END:VEVENT", 1))).alias("v"))
+    value = lambda name: rf"(?m)^{name}(?:;(?:\"[^\"\r\n]*\"|[^:\"\r\n])*)?:([^\r\n]*)"
+    field = lambda name: F.nullif(F.trim(F.regexp_extract("v", value(name), 1)), F.lit(""))
+    time = lambda x: F.coalesce(F.try_to_timestamp(F.regexp_replace(x, "Z$", ""), F.lit("yyyyMMdd'T'HHmmss")), F.try_to_timestamp(x, F.lit("yyyyMMdd")))
+    left_out = F.flatten(F.transform(F.regexp_extract_all("v", F.lit(value("EXDATE")), F.lit(1)), lambda x: F.split(x, ",")))
+    return events.select(
+        field("UID").alias("uid"),
+        field("SUMMARY").alias("summary"),
+        time(field("DTSTART")).alias("start"),
+        time(field("DTEND")).alias("end"),
+        F.nullif(F.regexp_extract("v", r"(?m)^DTSTART[^:\r\n]*;TZID=\"?([^;:\"\r\n]+)", 1), F.lit("")).alias("zone"),
+        field("RRULE").alias("rule"),
+        F.filter(F.transform(left_out, lambda x: time(F.trim(x))), lambda t: t.isNotNull()).alias("exceptions"),
+        F.transform(F.regexp_extract_all("v", F.lit(value("ATTENDEE")), F.lit(1)), lambda a: F.lower(F.regexp_replace(F.trim(a), r"(?i)^mailto:", ""))).alias("attendees"),
+    )
 
 
 def read_receipts(rows: DataFrame, column: str = "text") -> DataFrame:
