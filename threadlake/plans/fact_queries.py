@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ask as A
+from ..operators import dates as DT
 from ..operators import threads as T
 from ..operators import views as V
 from .registry import load, query
@@ -233,3 +234,18 @@ def due_order_nulls_last(spark, sf):
 def group_concat(spark, sf):
     rows = load(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber"))).alias("x"))
     return rows.select("l_suppkey", F.array_join(F.transform("x", lambda r: r["l_orderkey"].cast("string")), ",").alias("orders"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate + CASE WHEN o_orderkey % 4 = 3 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END, '%Y-%m-%d') AS day, CASE WHEN o_orderkey % 4 = 3 THEN '7:30 pm' END AS clock FROM orders")
+def date_mentions(spark, sf):
+    """A line about each order, written on its day: the day as a number, in English, in Spanish without a year, or as tomorrow with a time."""
+    o = load(spark, sf, "orders")
+    day, layout = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 4
+    month = F.element_at(F.array(*[F.lit(m) for m in DT.MESES]), F.month(day))
+    line = (
+        F.when(layout == 0, F.concat(F.lit("Shipped "), F.date_format(day, "yyyy-MM-dd"), F.lit(".")))
+        .when(layout == 1, F.concat(F.lit("You ordered on "), F.date_format(day, "EEEE, MMMM d, yyyy")))
+        .when(layout == 2, F.concat(F.lit("Pedido del "), F.dayofmonth(day).cast("string"), F.lit(" de "), month))
+        .otherwise(F.lit("Pick-up tomorrow at 7:30 pm"))
+    )
+    return o.select("o_orderkey", F.inline(DT.mentions(line, day))).select("o_orderkey", F.date_format("day", "yyyy-MM-dd").alias("day"), "clock")
