@@ -226,9 +226,9 @@ def arranged(key: np.ndarray, shards: int, order: tuple[np.ndarray, ...] = ()) -
     return ordered(key % shards, *order) if order else np.argsort(key % shards, kind="stable")
 
 
-def answered(key: np.ndarray, shards: int, payloads: list[bytes], many: int, order: tuple[np.ndarray, ...] = ()) -> list[np.ndarray]:
-    """The shards' ``many`` arrays of answers, which come by ascending shard, in the order of the entries."""
-    parts = [unpack(p)[1] for p in payloads if p]
+def answered(key: np.ndarray, shards: int, payloads: list[bytes], many: int, order: tuple[np.ndarray, ...] = (), plain: Callable[[object, list[np.ndarray]], list[np.ndarray]] = lambda meta, arrays: arrays) -> list[np.ndarray]:
+    """The shards' ``many`` arrays of answers, which come by ascending shard, in the order of the entries. ``plain`` makes such arrays of what a shard packed."""
+    parts = [plain(*unpack(p)) for p in payloads if p]
     out = []
     for i in range(many):
         a = np.zeros(len(key), np.int64)

@@ -284,16 +284,27 @@ class Text:
 
         return asks(key, number, shards, payload, (context, word))
 
-    def answers(self, k: int, shards: int, payloads: list[bytes]) -> list[np.ndarray]:
+    def answers(self, k: int, shards: int, payloads: list[bytes], last: bool) -> list[np.ndarray]:
         context, word, key = self.entries(self.grams(k)[0])
-        return answered(key, shards, payloads, 3, (context, word))
+        if last:
+            return answered(key, shards, payloads, 1, (context, word))
 
-    def take(self, k: int, code: np.ndarray, times: np.ndarray, node: np.ndarray) -> None:
-        """The answers of level k become each position's probability and the contexts of the next level."""
+        def plain(shard: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
+            code, over, nodes = arrays
+            number = np.zeros(len(code), np.int64)
+            number[over > 0] = np.cumsum(nodes) * shards + shard + 1
+            return [code, np.where(over > 0, over + self.min_context - 1, 0), number]
+
+        return answered(key, shards, payloads, 3, (context, word), plain)
+
+    def take(self, k: int, code: np.ndarray, times: np.ndarray | None = None, node: np.ndarray | None = None) -> None:
+        """The answers of level k become each position's probability, and but for the last level the contexts of the next."""
         at, which, every = self.grams(k)
         has = np.flatnonzero(self.seen >= (self.min_context if k > 2 else 1))
         self.log[has] += np.log10(self.mu[k] / (self.seen[has] + self.mu[k]))  # of words that training does not have
         self.log[every] = -(code / STEP)[which]
+        if times is None:
+            return
         spread = np.zeros(len(self.log), np.int64)
         for name, a in (("seen", times[which]), ("context", node[which]), ("local", which + 1)):
             spread[every] = a
@@ -301,8 +312,8 @@ class Text:
         self.held = None
 
 
-def answer_grams(k: int, shards: int, folder: str, mu: float, min_context: int):
-    """Codes of probabilities, whether training has the n-gram or not; counts and numbers of n-grams that are contexts of the next level."""
+def answer_grams(k: int, shards: int, folder: str, mu: float, min_context: int, last: bool):
+    """Codes of probabilities, whether training has the n-gram or not; but for the last level how far n-grams that are contexts of the next are over the least, and their nodes, which ascend."""
 
     def answer(shard: int, ids: list[int], payloads: list[bytes]):
         if not ids:
@@ -329,11 +340,13 @@ def answer_grams(k: int, shards: int, folder: str, mu: float, min_context: int):
         has = node >= 0
         code = code_of(np.minimum(mu * 10.0 ** (-lower / STEP) / (seen + mu), 1.0))
         code[has] = level.codes(node[has])
-        wide = times >= min_context
-        times, number = np.where(wide, times, 0), np.where(wide, node * shards + shard + 1, 0)
+        over = np.maximum(times - min_context + 1, 0)
         for i, lo, hi in zip(ids, cut[:-1], cut[1:], strict=True):
             own = which[lo:hi]
-            yield i, pack(code[own], times[own], number[own])
+            if last:
+                yield i, pack(code[own])
+            else:
+                yield i, pack(code[own], over[own], gaps(node[own][over[own] > 0]), meta=shard)
 
     return answer
 
@@ -360,7 +373,7 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     def received(k: int, uri: str, payloads: list[bytes]) -> Text:
         text = replayed(uri, k)
-        got = text.answers(k, shards, payloads)
+        got = text.answers(k, shards, payloads, k == order)
         if k < order:
             text.b.keep(str(k), *got)
         text.take(k, *got)
@@ -375,7 +388,7 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
 
     for k in range(2, order + 1):
         # one job to the end: shuffles keep what a lost executor had, tables between would only be further copies
-        came = blocks.by_shard(blocks.by_block(came, of, step(k), blocks.ROW), of, answer_grams(k, shards, folder, mu[k], min_context))
+        came = blocks.by_shard(blocks.by_block(came, of, step(k), blocks.ROW), of, answer_grams(k, shards, folder, mu[k], min_context, k == order))
 
     kind = rows.schema["id"].dataType.simpleString()
 
