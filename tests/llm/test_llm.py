@@ -653,3 +653,21 @@ def test_pii_white_space_does_not_matter():
         gap = " " * n
         assert pii.spans(f"10.20.30{gap}[dot] five.")[1] == [("ip", 0, 18 + n)]
         assert pii.spans(f"{gap}10.20.30 [dot]{gap}five.")[1] == [("ip", n, 2 * n + 18)]
+
+
+def test_pipeline_of_edge_and_empty_tables(spark, edge, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, clashing and further columns, and tables without rows."""
+    import corpus_pipeline
+
+    empty_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(None, None), (1, ""), (2, "same text here")], "item_id long, text string")
+    cases = {"edge": (edge.withColumns({"kept": F.lit("x"), "n_hit": F.lit(1), "component_id": F.lit(2), "id": F.lit(3)}), bench), "none": (edge.limit(0), bench), "plain": (edge, bench.limit(0))}
+    for name, (docs, items) in cases.items():
+        for table, rows in (("documents", docs), ("labels", empty_labels), ("benchmark", items)):
+            rows.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+    got = {name: corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect() for name in cases}
+    assert got["none"] == [] and set(got["edge"][0].asDict()) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"}
+    ids = lambda name: sorted((r["doc_id"] for r in got[name]), key=str)
+    assert 6 not in ids("edge") and 7 not in ids("edge")  # the benchmark's text
+    assert 6 in ids("plain") and 7 not in ids("plain") and ids("plain").count(6) == 1  # a repeat, and its copy
+    assert None in ids("edge") and 0 in ids("edge") and 1 in ids("edge")

@@ -1,4 +1,10 @@
-"""The stages of the corpus pipeline. Each takes what its predecessor kept, all columns of it."""
+"""The stages of the corpus pipeline. Each takes what its predecessor kept, all columns of it.
+
+What holds for all of them: a null text counts as the empty text. Rows without an identifier go through the classifier, the decontamination and the
+rewriting like any other and are nobody's duplicate; rows that repeat an identifier are one document for the deduplication, which keeps one of them. Very long texts are
+read whole, one at a time. Columns beyond those of ``documents`` stay as they are, but for the last stage, which returns its own columns.
+An empty table gives an empty one; without labels the classifier scores all texts alike, 0.5, and keeps them; without a benchmark nothing is contaminated.
+"""
 
 from __future__ import annotations
 
