@@ -641,11 +641,11 @@ def test_decontamination_takes_no_pairs():
     docs = [[f"d{i}".encode(), *passage] for i in range(800)]
     began = time.perf_counter()
     got = decontaminate.judge_shard(docs, [decontaminate.Tests(items)], 10, False)
-    assert time.perf_counter() - began < 8
+    assert time.perf_counter() - began < 30
     assert all(m[:3] == (31, 30, [i for i, _ in items]) for m in got)
     began = time.perf_counter()
     (m,) = decontaminate.judge_shard([[b"a"] * 400_000], [decontaminate.Tests([("x", [b"a"] * 800), ("y", [b"a"] * 3)])], 10, False)
-    assert time.perf_counter() - began < 20 and m[:3] == (400_000, 400_000, ["x", "y"])
+    assert time.perf_counter() - began < 60 and m[:3] == (400_000, 400_000, ["x", "y"])
 
 
 def test_pii_white_space_does_not_matter():
