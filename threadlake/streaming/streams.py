@@ -194,10 +194,10 @@ class EchoState(StatefulProcessor):
         self.last = handle.getValueState("last", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        every = pd.concat(list(rows)).sort_values("__ms", kind="stable")
+        every = pd.concat(list(rows)).sort_values("echo_ms", kind="stable")
         last = self.last.get()[0] if self.last.exists() else None
         through = []
-        for ms in every["__ms"].tolist():
+        for ms in every["echo_ms"].tolist():
             through.append(last is None or abs(ms - last) > self.ttl_ms)
             if through[-1] and (last is None or ms > last):
                 last = ms
@@ -205,7 +205,7 @@ class EchoState(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(last + self.ttl_ms, timerValues.getCurrentWatermarkInMs()) + 1)
-        yield every[through].drop(columns="__ms")
+        yield every[through].drop(columns="echo_ms")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -222,7 +222,7 @@ def unechoed(events: DataFrame, keys: list[str], at: str, ttl: str = "15 minutes
     """Without echoes: an event within ``ttl`` of the last of its keys that was let through is left out, whatever batch it is in. Keys are forgotten once the watermark is that far behind them."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
-    rows = events.withWatermark(at, ttl).withColumn("__ms", F.unix_millis(at))
+    rows = events.withWatermark(at, ttl).withColumn("echo_ms", F.unix_millis(at))
     return rows.groupBy(*keys).transformWithStateInPandas(EchoState(ttl_ms), events.schema, "Append", "EventTime")
 
 
