@@ -69,3 +69,10 @@ def test_calendar_with_rules_zones_and_attendees(spark):
     assert set(rows) == {"u1", "u2"} and rows["u1"]["attendees"] == ["ann@example.org", "bo@example.org"] and rows["u2"]["rule"] is None and rows["u2"]["zone"] is None
     got = R.occurrences(events, "start", "rule", F.lit(END), "exceptions").select("uid", R.to_utc(F.col("occurs"), F.col("zone")).alias("utc")).collect()
     assert sorted(map(tuple, got)) == [("u1", dt.datetime(2026, 3, 27, 8)), ("u1", dt.datetime(2026, 3, 29, 7)), ("u2", dt.datetime(2026, 1, 1, 10))]
+
+
+def test_the_second_of_until_is_within_it(spark):
+    rows = [(1, dt.datetime(2026, 1, 30, 23, 59, 59, 500000), "FREQ=DAILY;UNTIL=20260201T235959"), (2, dt.datetime(2026, 1, 30, 23, 59, 59, 999999), "FREQ=DAILY;UNTIL=20260201"), (3, dt.datetime(2026, 1, 30, 12, 0, 1), "FREQ=DAILY;UNTIL=20260201T120000")]
+    df = spark.createDataFrame(rows, "id int, start timestamp, rule string")
+    got = R.occurrences(df, "start", "rule", F.lit("2027-01-01").cast("timestamp")).groupBy("id").count()
+    assert {r["id"]: r["count"] for r in got.collect()} == {1: 3, 2: 3, 3: 2}

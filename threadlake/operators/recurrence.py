@@ -6,7 +6,8 @@ start's own time of day is that of every date, in its own zone, so an event keep
 
 What a rule does not fix is taken from the start: weekday, day of month, month. A rule without COUNT and UNTIL goes on to the end asked for. No rule: the event
 happens once. A null start, an unknown frequency or a broken number gives no dates; an unknown zone is an error of Spark's. Parts that are not listed above (BYSETPOS,
-BYHOUR and so on) are not supported: such a rule gives no dates rather than wrong ones. Exceptions do not make up for COUNT.
+BYHOUR and so on) are not supported: such a rule gives no dates rather than wrong ones. Exceptions do not make up for COUNT. UNTIL names a second, and
+all of that second is within it.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def occurrences(events: DataFrame, start: str, rule: str, end: Column, exception
     hour = F.col("__rest")
     rows = rows.withColumn("__rest", F.unix_micros(at) - F.unix_micros(first.cast("timestamp")))
     fit = F.filter(days, lambda d: happens(d, first, r))
-    times = F.filter(F.transform(fit, lambda d: F.timestamp_micros(F.unix_micros(d.cast("timestamp")) + hour)), lambda t: F.coalesce(t <= r["until"], F.lit(True)))
+    times = F.filter(F.transform(fit, lambda d: F.timestamp_micros(F.unix_micros(d.cast("timestamp")) + hour)), lambda t: F.coalesce(F.date_trunc("second", t) <= r["until"], F.lit(True)))
     counted = F.when(r["count"].isNull(), times).when(r["count"] < 1, F.slice(times, 1, 0)).otherwise(F.slice(times, F.lit(1), F.greatest(r["count"], F.lit(1))))
     every = F.when(F.col("__none") & at.isNotNull(), F.array(at)).otherwise(counted)
     if exceptions:
