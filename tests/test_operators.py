@@ -1,6 +1,7 @@
 """Operators on literals: what no table of the driver holds, and edge cases."""
 
 import datetime
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +209,13 @@ def test_receipt_totals(spark, text, total):
 def test_tracking_parameters(spark):
     for url, want in (("https://a.example/p?GCLID=1&x=2#f", "https://a.example/p?x=2#f"), ("https://a.example/p?utm_source=n&__s=4", "https://a.example/p?utm_source=n"), ("https://a.example/unsubscribe?mkt_tok=9", "https://a.example/unsubscribe?mkt_tok=9"), ("https://remove.example/p?mkt_tok=9", "https://remove.example/p"), (None, None)):
         assert one(spark, X.without_tracking, url) == want
+
+
+def test_judgments_without_a_query_hold_for_every_query(spark):
+    run = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 3, 1)], "query string, doc int, rank int")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (9, 1), (8, 1)], "doc int, grade int")  # 8 and 9 are in no run
+    pairs = run.select("query").distinct().crossJoin(labels)
+    for measure in (E.ndcg, E.judged):
+        assert sorted(map(tuple, measure(run, labels, 2).collect())) == sorted(map(tuple, measure(run, pairs, 2).collect()))
+    assert {r["query"]: r["ndcg"] for r in E.ndcg(run, labels, 2).collect()} == {"a": round(1 / (1 + 1 / math.log2(3)), 6), "b": 0.0}
+    assert {r["ndcg"] for r in E.ndcg(run, labels.where("grade > 1"), 2).collect()} == {0.0}
