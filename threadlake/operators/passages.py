@@ -46,13 +46,16 @@ def best_window(text: str, weights: dict[str, float], size: int = SIZE) -> tuple
 
 
 def passages(texts: Column, weights: dict[str, float], size: int = SIZE) -> Column:
-    """(start, score, passage) of each text, null where no word occurs; ``weights`` are those of the query's words."""
+    """(start, score, passage) of each text, null where no word occurs; ``weights`` are those of the query's words.
+
+    It is called non-deterministic, so that a condition on its result is not moved in front of a join and it sees the joined rows alone.
+    """
 
     @F.pandas_udf(PASSAGE)
     def run(column: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([best_window(t, weights, size) or (None, None, None) if t else (None, None, None) for t in column], columns=["start", "score", "passage"], dtype=object)
 
-    return run(texts)
+    return run.asNondeterministic()(texts)
 
 
 def best_passages(hits: DataFrame, texts: DataFrame, ident: str, text: str, weights: dict[str, float], size: int = SIZE) -> DataFrame:
