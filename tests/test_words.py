@@ -91,3 +91,21 @@ def test_passages_of_nulls_and_long_texts(spark):
     got = {r["id"]: r for r in G.best_passages(df.select("id"), df, "id", "text", {"needle": 2.0, "hay": 1.0}, 40).collect()}
     assert set(got) == {1, 5} and got[5]["passage"] == "Needle in hay" and got[5]["start"] == 0
     assert got[1]["start"] == 100_000 and got[1]["passage"].startswith("needle hay y")
+
+
+def test_company_of_equal_questions_is_looked_for_once(spark, tmp_path):
+    rng = random.Random(5)
+    words = [a + b for a in ("ba", "be", "go") for b in "abcdefg"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 9)) + rng.choices(["x", "y", "z"], k=1))) for i in range(120)]
+    path = f"file://{tmp_path}/i"
+    P.built(spark.createDataFrame(rows, "id long, t string"), "id", {"t": X.tokens(F.col("t"))}, path)
+    ix = P.Index(spark, path, "id")
+    v = W.vocabulary(ix).where("length(word) = 3").withColumn("stem", F.left("word", F.lit(2)))
+    q = v.select(F.col("word").alias("query"), "stem")
+    o = q.where("query <> 'baa'").select("query", F.explode(F.when(F.col("query") > "bed", F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("z")))).alias("word"))
+    assert W.companies(o, "query", "word").select("company").distinct().count() == 2
+    pairs = v.join(q, "stem").where("word <> query").select("query", "word", "df")
+    want = W.respelled_by_company(ix, pairs, o, "query", "word")
+    got = W.respelled_alike(ix, v, q, o, "query", "word", "stem")
+    cols = ["query", "word", "df", "together"]
+    assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect())) and got.count() == len(words)

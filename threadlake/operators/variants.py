@@ -9,10 +9,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..session import written
 from .mailbox import respelled
 from .postings import Index
 
@@ -83,13 +84,44 @@ def together(index: Index, candidates: DataFrame, queries: DataFrame, query: str
 
     Only the postings of these words are read; texts meet by identifier, and a text counts once for each candidate however many of the other words it has.
     """
-    wanted = candidates.select(word).unionByName(queries.select(word)).distinct()
-    rows = index.blocks.join(wanted.withColumnRenamed(word, "term"), "term").select("term", F.explode("postings.id").alias("id"))
-    mine = candidates.select(query, word).distinct().join(rows.withColumnRenamed("term", word), word)
-    others = queries.select(query, F.col(word).alias("term")).distinct().join(rows, "term").select(query, "id").distinct()
-    return mine.join(others, [query, "id"], "left_semi").groupBy(query, word).agg(F.count_distinct("id").alias("together"))
+    asked = companies(queries, query, word)
+    pairs = candidates.select(query, word).distinct().join(asked.select(query, "company"), query)
+    return pairs.join(company_counts(index, pairs.select("company", word), asked, word), ["company", word]).select(query, word, "together")
+
+
+def companies(queries: DataFrame, query: str, word: str) -> DataFrame:
+    """(query, company, words): queries with the same other words have one company, so its texts are looked for once, however many ask."""
+    asked = queries.groupBy(query).agg(F.array_sort(F.collect_set(word)).alias("words"))
+    numbered = written(asked.select("words").distinct().withColumn("company", F.monotonically_increasing_id()), "companies")
+    return written(asked.join(numbered, "words").select(query, "company", "words"), "asked")
+
+
+def company_counts(index: Index, pairs: DataFrame, asked: DataFrame, word: str) -> DataFrame:
+    """(company, word, together) of ``pairs`` (company, word); every posting of a word is read once for each company that it is paired with."""
+    pairs = pairs.distinct()
+    mine = index.blocks.join(pairs.select("company", F.col(word).alias("term")), "term").select("company", "term", F.explode("postings.id").alias("id"))
+    members = asked.select("company", "words").distinct().select("company", F.explode("words").alias("term"))
+    others = index.blocks.join(members, "term").select("company", F.explode("postings.id").alias("id")).distinct()
+    return mine.join(others, ["company", "id"], "left_semi").groupBy("company", F.col("term").alias(word)).agg(F.count_distinct("id").alias("together"))
 
 
 def respelled_by_company(index: Index, candidates: DataFrame, queries: DataFrame, query: str, word: str) -> DataFrame:
     """The candidate of each query that most texts share with its other words (``mailbox.respelled``), counted over the index."""
     return respelled(candidates, together(index, candidates, queries, query, word), query, word)
+
+
+def respelled_alike(index: Index, words: DataFrame, queries: DataFrame, others: DataFrame, query: str, word: str, alike: str) -> DataFrame:
+    """``respelled_by_company`` where the candidates of a query are all ``words`` (word, df, alike) that are like it (``queries``: query, alike), but not itself.
+
+    The pairs of queries and candidates are not listed: of those that are alike the first two in each company are enough, because a query is at most one of them.
+    """
+    asked = companies(others, query, word)
+    q = queries.join(asked.select(query, "company"), query, "left").withColumn("company", F.coalesce("company", F.lit(-1)))
+    members = words.join(q.select("company", alike).distinct(), alike)
+    counts = company_counts(index, members.select("company", word), asked, word)
+    both = members.join(counts, ["company", word], "left").withColumn("together", F.coalesce("together", F.lit(0)))
+    w = Window.partitionBy("company", alike).orderBy(F.desc("together"), F.desc("df"), F.asc(word))
+    first = both.withColumn("__n", F.row_number().over(w)).where("__n <= 2")
+    found = q.join(first, ["company", alike]).where(F.col(word) != F.col(query))
+    best = found.groupBy(query).agg(F.min_by(F.struct(word, "df", "together"), "__n").alias("b"))
+    return best.select(query, "b.*")

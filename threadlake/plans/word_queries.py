@@ -53,9 +53,9 @@ def respelled_by_company(spark, sf):
     ix = index(spark, sf)
     v = W.vocabulary(ix)
     q = v.where((F.col("df") >= 40) & (F.length("word") >= 4)).select(F.col("word").alias("query"), F.left("word", F.lit(4)).alias("stem"))
-    c = v.where("df >= 3").withColumn("stem", F.left("word", F.lit(4))).join(q, "stem").where("word <> query").select("query", "word", "df")
+    c = v.where("df >= 3").withColumn("stem", F.left("word", F.lit(4)))
     others = q.select("query", F.explode(F.array(*[F.lit(w) for w in ("the", "der", "les")])).alias("word"))
-    return W.respelled_by_company(ix, c, others, "query", "word").select("query", "word", "df", "together")
+    return W.respelled_alike(ix, c, q, others, "query", "word", "stem").select("query", "word", "df", "together")
 
 
 @query()
