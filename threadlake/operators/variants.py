@@ -42,6 +42,19 @@ def pieces(words: DataFrame, known: DataFrame, word: str = "word", shortest: int
     return parts.join(known.select(F.col("word").alias("piece"), "df"), "piece").select(word, "at", "piece", "df")
 
 
+def coverable(words: DataFrame, known: DataFrame, word: str = "word", shortest: int = PIECE) -> DataFrame:
+    """The words that some known word begins and some known word ends; no other can be made of pieces. Beginnings and ends are as many as letters, so the
+    squares of ``pieces`` are spent on few words."""
+    n, whole = F.length(word), words.where(F.length(word) >= 2 * shortest).select(word)
+    sizes = F.sequence(F.lit(shortest), n - shortest)
+    sides = F.concat(
+        F.transform(sizes, lambda k: F.struct(F.lit(0).alias("side"), F.substr(F.col(word), F.lit(1), k).alias("piece"))),
+        F.transform(sizes, lambda k: F.struct(F.lit(1).alias("side"), F.substr(F.col(word), n - k + 1, k).alias("piece"))),
+    )
+    ends = whole.select(word, F.explode(sides).alias("s")).select(word, "s.*").join(known.select(F.col("word").alias("piece")), "piece", "left_semi")
+    return ends.groupBy(word).agg(F.count_distinct("side").alias("__sides")).where("__sides = 2").select(word)
+
+
 def best_path(word: str, parts: list[tuple[int, str, int]], total: int) -> str | None:
     """The pieces that make up the whole word with the largest product of their shares of ``total``; of equals the first by letters. Null if none do."""
     best: dict[int, tuple[float, str]] = {0: (0.0, "")}
@@ -62,7 +75,7 @@ def segmented(words: DataFrame, known: DataFrame, total: int, word: str = "word"
     def path(whole: pd.Series, parts: pd.Series) -> pd.Series:
         return pd.Series([best_path(w, [(p["at"], p["piece"], p["df"]) for p in ps], total) for w, ps in zip(whole, parts, strict=True)], dtype=object)
 
-    parts = pieces(words, known, word, shortest).groupBy(word).agg(F.collect_list(F.struct("at", "piece", "df")).alias("parts"))
+    parts = pieces(coverable(words, known, word, shortest), known, word, shortest).groupBy(word).agg(F.collect_list(F.struct("at", "piece", "df")).alias("parts"))
     # a word that no piece begins or ends cannot be made of pieces, so it need not be tried
     can = F.exists("parts", lambda p: p["at"] == 0) & F.exists("parts", lambda p: p["at"] + F.length(p["piece"]) == F.length(word))
     return parts.where(can).select(word, path(word, "parts").alias("split")).where("split is not null")
