@@ -74,3 +74,16 @@ def test_odd_json(spark):
     assert [(f["kind"], f["ref"], f["name"], f["amount"]) for f in facts(spark, many)] == [("order", "5", None, None), ("order", None, "A", 7.0)]
     escaped = '<SCRIPT type="application/ld+json">{&quot;@type&quot;:&quot;Order&quot;,&quot;orderNumber&quot;:&quot;9&quot;}</SCRIPT >'
     assert facts(spark, escaped)[0]["ref"] == "9"
+
+
+def test_facts_are_worked_out_once(spark):
+    """No condition in front repeats the work, and a field that is used twice is looked up once."""
+    page = '<script type="application/ld+json">{"@type":"Order","orderNumber":"R-1","merchant":[{"name":" Shop "}],"price":"1.234,50","priceCurrency":"EUR","orderStatus":"http://schema.org/OrderPastDue","seller":null}</script>'
+    df = spark.createDataFrame([(1, page, "")], "id long, html string, text string")
+    made = markup.facts(df, "id", "html", "text")
+    assert made.drop("number", "starts", "ends").collect() == [(1, "order", "Shop", "R-1", 1234.5, "EUR", "overdue")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Filter" not in plan
+    shown = lambda c: spark.range(1).select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("try_variant_get")
+    one = markup.said(F.try_parse_json(F.lit('{"a":"x"}')), "a")
+    assert shown(markup.state(one)) == shown(markup.number(one)) == shown(one) == 5

@@ -7,6 +7,8 @@ facts, broken JSON gives none for its block, and unknown types are passed over.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,9 +34,17 @@ TYPES = {
 STATES = {"complete": "paid", "automaticallyApplied": "paid", "pastDue": "overdue", "paymentDue": "due", "problem": "exception", "pickupAvailable": "delivered"}
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used; Spark repeats an expression inside a lambda at each place where it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def blocks(html: Column) -> Column:
     """Bodies of JSON-LD script elements; a body that some mailer escaped is unescaped. The page is cut at its script tags once."""
-    parts = F.split(F.coalesce(html, F.lit("")), r"(?i)<script(?![A-Za-z0-9-])")
+    return bound(F.split(F.coalesce(html, F.lit("")), r"(?i)<script(?![A-Za-z0-9-])"), bodies)
+
+
+def bodies(parts: Column) -> Column:
     # behind each opening: attributes up to >, then the body up to the first end tag
     opened = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), lambda p: F.contains(F.lower(F.substring_index(p, ">", 1)), F.lit("application/ld+json")))
     closed = F.transform(F.filter(opened, lambda p: F.lower(p).contains("</script")), lambda p: F.get(F.split(F.substr(p, F.instr(p, ">") + 1), r"(?i)</script", 2), F.lit(0)))
@@ -43,7 +53,7 @@ def blocks(html: Column) -> Column:
 
 def listed(json: Column) -> Column:
     """A JSON array's elements, or the one value, as JSON strings."""
-    return F.from_json(F.when(json.startswith("["), json).otherwise(F.concat(F.lit("["), json, F.lit("]"))), "array<string>")
+    return bound(json, lambda j: F.from_json(F.when(j.startswith("["), j).otherwise(F.concat(F.lit("["), j, F.lit("]"))), "array<string>"))
 
 
 def items(html: Column) -> Column:
@@ -56,28 +66,33 @@ def items(html: Column) -> Column:
 def said(item: Column, *paths: str) -> Column:
     """The first path with a text, of a parsed item: of a list its first member, of an object its name; blank is null."""
     def plain(x: Column) -> Column:
-        return F.when(~x.startswith("{") & ~x.startswith("["), F.nullif(F.trim(x), F.lit("")))
+        return bound(x, lambda v: F.when(~v.startswith("{") & ~v.startswith("[") & (F.trim(v) != ""), F.trim(v)))
+
+    def text(value: Column) -> Column:
+        at = lambda rest: plain(F.try_variant_get(value, f"${rest}", "string"))
+        return F.when(value.isNotNull(), F.coalesce(at("[0].name"), at(".name"), at("[0]"), at("")))
 
     def one(path: str) -> Column:
-        at = lambda rest: plain(F.try_variant_get(item, f"$.{path}{rest}", "string"))
-        return F.coalesce(at("[0].name"), at(".name"), at("[0]"), at(""))
+        return bound(F.try_variant_get(item, f"$.{path}", "variant"), text)
 
     return F.coalesce(*[one(p) for p in paths])
 
 
 def number(text: Column) -> Column:
     """A written number: the last separator is decimal if one or two digits follow."""
-    digits = F.regexp_extract(text, r"[0-9][0-9.,]*", 0)
-    whole = F.regexp_replace(F.regexp_replace(digits, r"[.,][0-9]{1,2}$", ""), r"[.,]", "")
-    return F.concat(whole, F.when(digits.rlike(r"[.,][0-9]{1,2}$"), F.concat(F.lit("."), F.regexp_extract(digits, r"[.,]([0-9]{1,2})$", 1))).otherwise(F.lit(""))).try_cast("double")
+    def read(digits: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_replace(digits, r"[.,][0-9]{1,2}$", ""), r"[.,]", "")
+        return F.concat(whole, F.when(digits.rlike(r"[.,][0-9]{1,2}$"), F.concat(F.lit("."), F.regexp_extract(digits, r"[.,]([0-9]{1,2})$", 1))).otherwise(F.lit(""))).try_cast("double")
+
+    return bound(F.regexp_extract(text, r"[0-9][0-9.,]*", 0), read)
 
 
 def state(text: Column) -> Column:
     """The last part of a state's address without what it is a state of, from a small letter on."""
     last = F.regexp_replace(F.regexp_extract(text, r"([A-Za-z]+)$", 1), r"^(Order|Reservation|Payment)(?=[A-Z])", "")
-    low = F.concat(F.lower(F.substring(last, 1, 1)), F.substr(last, F.lit(2)))
     mapped = F.create_map(*[F.lit(x) for pair in STATES.items() for x in pair])
-    return F.nullif(F.coalesce(F.try_element_at(mapped, low), low), F.lit(""))
+    low = bound(last, lambda x: F.concat(F.lower(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
+    return bound(low, lambda x: F.when(x != "", F.coalesce(F.try_element_at(mapped, x), x)))
 
 
 def kind_of(item: Column) -> Column:
@@ -90,10 +105,15 @@ def kind_of(item: Column) -> Column:
 
 
 def fact_of(text: Column) -> Column:
-    """The fact that an item, a JSON string, states, or null."""
-    item = F.try_parse_json(text)
-    kind = kind_of(item)
-    money = number(said(item, "totalPaymentDue.price", "totalPaymentDue", "totalPrice", "price", "minimumPaymentDue.price", "partOfOrder.price"))
+    """The fact that an item, a JSON string, states, or null; it is parsed once, and each of its fields looked up once."""
+    return bound(F.try_parse_json(text), lambda item: bound(F.struct(kind_of(item).alias("kind"), money_of(item).alias("money")), lambda known: stated(item, known["kind"], known["money"])))
+
+
+def money_of(item: Column) -> Column:
+    return number(said(item, "totalPaymentDue.price", "totalPaymentDue", "totalPrice", "price", "minimumPaymentDue.price", "partOfOrder.price"))
+
+
+def stated(item: Column, kind: Column, money: Column) -> Column:
     return F.when(
         kind.isNotNull(),
         F.struct(
@@ -146,4 +166,5 @@ def facts(messages: DataFrame, ident: str, html: str, text: str) -> DataFrame:
     rows = messages.select(F.col(ident), F.filter(F.transform(F.concat(items(F.col(html)), microdata.items(F.col(html))), fact_of), lambda f: f.isNotNull()).alias("stated"), F.col(text).alias("__text"))
     known = F.transform("stated", lambda f: f["kind"])
     rest = F.filter(patterned(F.col("__text")), lambda f: ~F.array_contains(known, f["kind"]))
+    # the generator's input is no column by itself: of a column Spark would infer a condition that works everything out a second time
     return rows.select(ident, F.inline(F.concat(F.col("stated"), rest)))
