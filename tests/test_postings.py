@@ -89,3 +89,14 @@ def test_index_is_found_again_and_made_anew_for_other_files(spark, tmp_path):
     spark.createDataFrame([(2, "a")], "id long, text string").write.mode("append").parquet(folder)
     other = P.opened(spark.read.parquet(folder), "id", fields, "again")
     assert other.path != first.path and sorted(r[0] for r in other.matching(["a"]).collect()) == [1, 2]
+
+
+def test_identifiers_that_repeat_meet_in_their_slab(spark, tmp_path):
+    """Blocks say how many tokens they hold, so the mean length needs no second look at the texts."""
+    rows = spark.createDataFrame([(i % 50, "a b a c" if i % 3 else "b d") for i in range(100)], "id long, text string")
+    rows.write.parquet(f"{tmp_path}/t")
+    P.built(spark.read.parquet(f"{tmp_path}/t"), "id", {"text": X.tokens(F.col("text"))}, f"file://{tmp_path}/i")
+    index = P.Index(spark, f"file://{tmp_path}/i", "id")
+    assert index.n == 50
+    assert sum(r["tf0"] for r in index.frequencies(["a"]).collect()) == 2 * 66
+    assert index.blocks.select("tokens").agg(F.sum("tokens")).first()[0] == 66 * 4 + 34 * 2

@@ -2,7 +2,7 @@
 
 Layout below the index's folder:
 
-* ``postings/bucket=<b>/``: rows (field, term, slab, n, max_tf, min_dl, best_tf, best_dl, postings). A bucket is a hash of the
+* ``postings/bucket=<b>/``: rows (field, term, slab, n, tokens, max_tf, min_dl, best_tf, best_dl, postings). A bucket is a hash of the
   term, so a query's buckets are known when it is planned (partition pruning), and inside a bucket rows are sorted by term, so the
   statistics of row groups leave out the rest (pushed filter). A slab is a hash of the document's identifier; a row holds one
   term's postings of one slab, some thousands at most, however frequent the term is.
@@ -34,31 +34,42 @@ BUCKETS = 32
 SLAB = 4096
 #: Slabs of a bucket that one task writes.
 SLABS_A_TASK = 64
+#: A length of texts by which the posting of a block is chosen that ``best_tf`` and ``best_dl`` tell of; any posting would be right.
+NOMINAL = 256
 
 
 def built(rows: DataFrame, ident: str, fields: dict[str, Column], path: str, buckets: int = BUCKETS) -> None:
     """Writes the index of ``rows``; ``fields`` are columns of tokens. The length of a row is that of all its fields."""
     spark = rows.sparkSession
     plain = {f: F.coalesce(c, F.array().cast("array<string>")) for f, c in fields.items()}
-    narrow = rows.where(F.col(ident).isNotNull()).select(F.col(ident).alias("id"), F.array(*[F.struct(F.lit(f).alias("field"), c.alias("toks")) for f, c in plain.items()]).alias("fields"))
+    known = rows.where(F.col(ident).isNotNull())
+    n, copies = known.agg(F.count_distinct(ident), F.count(F.lit(1))).first()
+    slabs = max(1, -(-copies // SLAB))
+    # texts are dealt by slab once; words are counted and postings gathered where they are, and only whole blocks move again
+    slab = F.pmod(F.xxhash64(F.col(ident)), F.lit(slabs)).cast("int")
+    dealt = known.withColumn("__slab", slab).repartition(slabs, "__slab")
+    narrow = dealt.select(F.col("__slab").alias("slab"), F.col(ident).alias("id"), F.array(*[F.struct(F.lit(f).alias("field"), c.alias("toks")) for f, c in plain.items()]).alias("fields"))
     narrow = narrow.withColumn("dl", F.aggregate("fields", F.lit(0), lambda a, x: a + F.size(x["toks"])))
-    n, tokens = narrow.agg(F.count_distinct("id"), F.sum("dl")).first()
-    slabs = max(1, -(-n // SLAB))
-    counted = narrow.select("id", "dl", F.explode("fields").alias("f")).select("id", "dl", "f.field", F.explode("f.toks").alias("term"))
-    counted = counted.groupBy("id", "field", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
+    counted = narrow.select("slab", "id", "dl", F.explode("fields").alias("f")).select("slab", "id", "dl", "f.field", F.explode("f.toks").alias("term"))
+    counted = counted.groupBy("slab", "id", "field", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").alias("dl"))
     posting = F.struct("id", "tf", "dl")
-    fit = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(max(tokens or 1, 1) / max(n, 1))))
-    blocks = counted.withColumn("slab", F.pmod(F.xxhash64("id"), F.lit(slabs)).cast("int")).groupBy("field", "term", "slab")
-    blocks = blocks.agg(
+    fit = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(NOMINAL))))
+    blocks = counted.groupBy("slab", "field", "term").agg(
         F.count(F.lit(1)).cast("int").alias("n"),
+        F.sum("tf").alias("tokens"),
         F.max("tf").alias("max_tf"),
         F.min("dl").alias("min_dl"),
         F.max_by(F.struct("tf", "dl"), fit).alias("best"),
         F.array_sort(F.collect_list(posting)).alias("postings"),
     )
-    blocks = blocks.select("field", "term", "slab", "n", "max_tf", "min_dl", F.col("best.tf").alias("best_tf"), F.col("best.dl").alias("best_dl"), "postings", bucket_of(F.col("term"), buckets).alias("bucket"))
-    dealt = blocks.repartition("bucket", F.floor(F.col("slab") / SLABS_A_TASK)).sortWithinPartitions("bucket", "term", "field", "slab")
-    dealt.write.partitionBy("bucket").parquet(f"{path}/postings")
+    blocks = blocks.select("field", "term", "slab", "n", "tokens", "max_tf", "min_dl", F.col("best.tf").alias("best_tf"), F.col("best.dl").alias("best_dl"), "postings", bucket_of(F.col("term"), buckets).alias("bucket"))
+    # numbers travel as three plain arrays, which are less than half of an array of structs
+    flat = blocks.select("*", F.col("postings.id").alias("ids"), F.col("postings.tf").alias("tfs"), F.col("postings.dl").alias("dls")).drop("postings")
+    moved = flat.repartition("bucket", F.floor(F.col("slab") / SLABS_A_TASK)).sortWithinPartitions("bucket", "term", "field", "slab")
+    zipped = F.transform(F.arrays_zip("ids", "tfs", "dls"), lambda z: F.struct(z["ids"].alias("id"), z["tfs"].alias("tf"), z["dls"].alias("dl")))
+    moved = moved.withColumn("postings", zipped).drop("ids", "tfs", "dls")
+    moved.write.partitionBy("bucket").parquet(f"{path}/postings")
+    tokens = spark.read.schema("tokens long").parquet(f"{path}/postings").agg(F.sum("tokens")).first()[0]
     spark.createDataFrame([(n, int(tokens or 0), buckets)], "n long, tokens long, buckets int").coalesce(1).write.parquet(f"{path}/stats")
 
 
@@ -108,7 +119,7 @@ class Index:
     def of(self, words: list[str], fields: list[str] | None = None) -> DataFrame:
         """The blocks of these words."""
         if self.blocks is None:
-            kind = "field string, term string, slab int, n int, max_tf int, min_dl int, best_tf int, best_dl int, postings array<struct<id:bigint,tf:int,dl:int>>, bucket int"
+            kind = "field string, term string, slab int, n int, tokens long, max_tf int, min_dl int, best_tf int, best_dl int, postings array<struct<id:bigint,tf:int,dl:int>>, bucket int"
             return self.spark.createDataFrame([], kind)
         of_word = reduce(lambda a, b: a | b, [(F.col("bucket") == bucket_of(F.lit(w), self.buckets)) & (F.col("term") == w) for w in words])
         # said apart, so that each can be pushed down by itself
@@ -182,5 +193,5 @@ def index_report(index: Index) -> DataFrame:
     """What an index holds: rows, tokens, distinct terms and postings by field."""
     if index.blocks is None:
         return index.spark.createDataFrame([], "field string, terms long, postings long, tokens long")
-    each = index.blocks.select("field", "term", "n", F.aggregate("postings", F.lit(0).cast("long"), lambda a, p: a + p["tf"]).alias("t"))
+    each = index.blocks.select("field", "term", "n", F.col("tokens").alias("t"))
     return written(each.groupBy("field", "term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "terms").groupBy("field").agg(F.count(F.lit(1)).alias("terms"), F.sum("n").alias("postings"), F.sum("t").alias("tokens"))
