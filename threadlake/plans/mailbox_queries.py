@@ -151,7 +151,7 @@ def facts_markup(spark, sf):
     parcel = F.to_json(F.struct(F.array(F.struct(typed("ParcelDelivery"), F.concat(F.lit("94 "), "o_orderkey").alias("trackingNumber"), part.alias("partOfOrder"), day.alias("expectedArrivalUntil"), F.lit("OrderInTransit").alias("deliveryStatus"))).alias("@graph")))
     body = F.when(F.col("o_orderstatus") == "F", order).when(F.col("o_orderstatus") == "O", bill).otherwise(parcel)
     html = F.concat(F.lit('<p>Hello</p><script type="application/ld+json">'), body, F.lit("</script>"))
-    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate").repartition("o_orderkey")  # rows are few bytes and much work, files are one task each
+    orders = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate").repartition(2 * spark.sparkContext.defaultParallelism, "o_orderkey")  # rows are few bytes and much work, files are one task each
     mail = orders.select(F.col("o_orderkey").alias("id"), html.alias("html"), F.lit(None).cast("string").alias("text"))
     return K.facts(mail, "id", "html", "text").drop("ends")
 

@@ -187,7 +187,7 @@ MEETING_RULES = {"click": "FREQ=DAILY;INTERVAL=3;COUNT=5", "view": "FREQ=WEEKLY;
 )
 def meetings_repeated(spark, sf):
     """Events as meetings that repeat by a rule of their type up to the middle of the year: how often, and when last."""
-    e = load(spark, sf, "events").select("event_id", "ts", "event_type").repartition("event_id")
+    e = load(spark, sf, "events").select("event_id", "ts", "event_type").repartition(2 * spark.sparkContext.defaultParallelism, "event_id")
     e = e.select("event_id", F.col("ts").cast("timestamp").alias("start"), F.try_element_at(F.create_map(*[F.lit(x) for pair in MEETING_RULES.items() for x in pair]), F.col("event_type")).alias("rule"))
     every = RR.occurrences(e, "start", "rule", F.lit("2024-07-01").cast("timestamp"))
     return every.groupBy("event_id").agg(F.count(F.lit(1)).alias("n"), F.date_format(F.max("occurs"), "yyyy-MM-dd HH:mm:ss").alias("last"))
