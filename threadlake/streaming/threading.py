@@ -43,7 +43,7 @@ class SubjectState(StatefulProcessor):
         self.seen = handle.getListState("seen", "at long, id string, late_reply boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = [tuple(x) for x in self.seen.get()] if self.seen.exists() else []
+        old = [tuple(x) for x in self.seen.get()]
         held = {x[1] for x in old}
         now = list(old)
         for pdf in rows:
@@ -57,14 +57,16 @@ class SubjectState(StatefulProcessor):
         least = timerValues.getCurrentWatermarkInMs() - WINDOW_MS
         kept = [x for k, x in enumerate(now) if x[0] >= least or k == len(now) - 1]
         self.seen.put(kept)
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
+        if old:  # a subject that is new has no timer yet
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
         self.handle.registerTimer(max(kept[-1][0] + WINDOW_MS, timerValues.getCurrentWatermarkInMs()) + 1)
-        yield pd.DataFrame({"account": key[0], "subject": key[1], "id": [c[0] for c in changed], "parent": [c[1] for c in changed]}, dtype=object)
+        if changed:
+            yield pd.DataFrame({"account": key[0], "subject": key[1], "id": [c[0] for c in changed], "parent": [c[1] for c in changed]}, dtype=object)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.seen.clear()
-        yield pd.DataFrame({"account": [], "subject": [], "id": [], "parent": []}, dtype=object)
+        return iter([])
 
     def close(self) -> None:
         pass
