@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from threadlake.llm import blocks, collocations, ngram_trie, prefix_trie, queries
+from threadlake.session import shared_base
 
 SF = "/root/testdata/sf0.001"
 TEXTS = ["", None, "a", "a b a b a b", "b a b, a b. a b", "A B a b " * 30, "x" * 5000, "\x0b a\x0cb\r\n", "日本 語 日本 語", "a b c a b c a b d", "same text here", "same text here", "y z " * 2000]
@@ -69,6 +71,16 @@ def test_packing(rows):
     assert [rows[i] for i in first] == sorted(set(rows)) and [sorted(set(rows))[i] for i in which] == rows
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**50), max_size=200), st.integers(0, 2))
+def test_numbers_by_length_and_by_exception(values, usual):
+    a = np.array([*values, 0, 1, usual, 2, 2**50][: len(values) + 3], np.int64)
+    _, (lengths, digits) = blocks.unpack(blocks.pack(*ngram_trie.by_length(a)))
+    assert (ngram_trie.of_lengths(lengths, digits) == a).all()
+    _, (gap, others) = blocks.unpack(blocks.pack(*ngram_trie.unusual(a, usual)))
+    assert (ngram_trie.usually(len(a), usual, gap, others) == a).all()
+
+
 # --- language model ---
 
 
@@ -126,6 +138,16 @@ def test_held_out_texts_score_better_than_by_words_alone(spark):
     assert all(r["held_out"] == (crc(r["doc_id"]) % 7 == 2) for r in rows)
 
 
+def test_blocks_keep_little_of_what_shards_answer(spark, monkeypatch):
+    """Answers are what a block cannot know: under 0.7 bytes a token where they were 2.1."""
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 400_000)
+    base = Path(shared_base(spark).removeprefix("file://"))
+    old = set(base.glob("lm-*")) if base.exists() else set()
+    tokens = sum(r["n_tokens"] for r in queries.op11_ngram_trie(spark, "/root/testdata/sf0.01").select("n_tokens").collect())
+    kept = [p for folder in set(base.glob("lm-blocks-*")) - old for p in folder.glob("*.block.*")]
+    assert kept and sum(p.stat().st_size for p in kept) < 0.7 * tokens
+
+
 def test_language_model_edges(spark, edge):
     got = ngram_trie.scored(edge, F.col("doc_id") != 2).collect()
     assert len(got) == len(TEXTS) + 2

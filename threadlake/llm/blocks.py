@@ -170,9 +170,9 @@ def uri_of(folder: str, block: int) -> str:
     return f"{folder}/{block:012x}.block"
 
 
-def blocks_of(rows: DataFrame, words_of: Callable[[bytes, pa.RecordBatch, int], list[bytes]], name: str) -> Blocks:
-    """The blocks of ``rows``, whose last column is the text. ``words_of(text, batch, row)`` gives a document's tokens."""
-    folder = shared_dir(rows.sparkSession, name)
+def blocks_of(rows: DataFrame, words_of: Callable[[bytes, pa.RecordBatch, int], list[bytes]], name: str, times: int = 1) -> Blocks:
+    """The blocks of ``rows``, whose last column is the text, of ``times`` the usual size. ``words_of(text, batch, row)`` gives a document's tokens."""
+    folder, most = shared_dir(rows.sparkSession, name), times * BLOCK_BYTES
     at = len(rows.columns) - 1
 
     @tidy
@@ -198,7 +198,7 @@ def blocks_of(rows: DataFrame, words_of: Callable[[bytes, pa.RecordBatch, int],
             for start, n in spells(texts, 256, 1 << 20):
                 some = texts.slice(start, n).cast(pa.binary()).to_pylist()
                 more = sum(len(t or b"") for t in some)
-                if held and size + more > BLOCK_BYTES:
+                if held and size + more > most:
                     yield whole()
                     held, tokens, table, size = [], [], Table(), 0
                 part = rest.slice(start, n)

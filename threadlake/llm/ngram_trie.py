@@ -15,12 +15,18 @@ A level of the trie holds, for each context (a node of the level above), its suc
 * pointers: an Elias-Fano sequence of where each context's successors begin;
 * successors: word numbers made strictly ascending over the whole level by adding the last value of the context before
   (one Elias-Fano sequence); a query searches the successor of that base plus its word;
-* probabilities: smoothed, in steps of 1/``STEP`` of a decade, in as many bits as the least needs.
+* counts: an Elias-Fano sequence of their running sums, so a count takes about two bits more than the mean one.
+
+Probabilities follow from counts, are smoothed and kept in steps of 1/``STEP`` of a decade.
 
 Levels are cut into shards by context (a context of more than ``SPLIT`` occurrences also by successor). Each is one file in the
 shared folder that is memory-mapped and searched (copied to the executor's own disk first where the folder is not a local file
-system). Documents meet the shards in rounds (``blocks``): a block sends its distinct n-grams, the shard builds its level from
-those of training documents and answers for all. Nothing is broadcast and no task sees the whole model.
+system). Documents meet the shards in rounds (``blocks``): a block sends its distinct n-grams with its own counts, the shard builds
+its level from those of training documents and answers for all. Nothing is broadcast and no task sees the whole model.
+
+What travels and what blocks keep between rounds is what the other side cannot know: shards answer how often *other* blocks have
+an n-gram, mostly not at all, and blocks find the probability themselves. Words are numbered by the length of their count, then by the
+first block that has them, so the rare words of a block have numbers close together, however large the vocabulary is.
 
 Null and empty texts have the end alone. Repeated rows count as often as they occur. Rows of unknown training status
 (a null flag) are not learned from. With nothing to learn from, every word is unknown: N = V = 0. An empty table gives an
@@ -30,14 +36,16 @@ empty result; other columns are not read. A document is never split, so a block
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import Block, answered, asks, distinct, gaps, gaps_within, mixed, pack, summed_within, unpack, word_keys
+from .blocks import Block, arranged, asks, distinct, gaps, gaps_within, mixed, pack, summed_within, unpack, word_keys
 from .common import fs_of, put_file, shared_dir, written
 
 ORDER = 3
@@ -46,16 +54,20 @@ MIN_CONTEXT = 8
 STEP = 64
 #: Occurrences of a context in one shard, about.
 SPLIT = 500_000
+#: A block in usual ones: larger blocks have fewer distinct n-grams a token and send fewer rows, and need more memory.
+BLOCK = 2
 #: The end of a text: no word has this byte.
 END = b"\xff"
 
 
-def packed(values: np.ndarray, bits: int) -> np.ndarray:
-    """Numbers of ``bits`` bits, one after another in 64-bit words; one word more, so that two can always be read."""
-    out = np.zeros(len(values) * bits // 64 + 2, np.uint64)
-    if bits and len(values):
-        at = np.arange(len(values), dtype=np.int64) * bits
-        part, shift = values.astype(np.uint64) & np.uint64((1 << bits) - 1), (at & 63).astype(np.uint64)
+def packed(values: np.ndarray, bits: int | np.ndarray) -> np.ndarray:
+    """Numbers of ``bits`` bits (one for all or one each), one after another in 64-bit words; one word more, so that two can always be read."""
+    bits = np.broadcast_to(np.int64(bits), len(values))
+    ends = np.cumsum(bits)
+    out = np.zeros((int(ends[-1]) if len(ends) else 0) // 64 + 2, np.uint64)
+    if len(values):
+        at = ends - bits
+        part, shift = values.astype(np.uint64) & ((np.uint64(1) << bits.astype(np.uint64)) - np.uint64(1)), (at & 63).astype(np.uint64)
         word = at >> 6
         first = np.flatnonzero(np.diff(word, prepend=-1))
         out[word[first]] = np.bitwise_or.reduceat(part << shift, first)
@@ -64,14 +76,53 @@ def packed(values: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def unpacked(words: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
+def unpacked(words: np.ndarray, bits: int | np.ndarray, i: np.ndarray) -> np.ndarray:
     """The i-th numbers of ``packed`` ones."""
-    if not bits:
-        return np.zeros(len(i), np.int64)
-    at = i * bits
+    return taken(words, bits, i * bits)
+
+
+def taken(words: np.ndarray, bits: int | np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The numbers of ``bits`` bits (one for all or one each) that begin with these bits of the words."""
+    if np.isscalar(bits) and not bits:
+        return np.zeros(len(at), np.int64)
+    bits = np.asarray(bits, np.uint64)
     shift = (at & 63).astype(np.uint64)
     spill = (words[(at >> 6) + 1] << np.uint64(1)) << (np.uint64(63) - shift)
-    return (((words[at >> 6] >> shift) | spill) & np.uint64((1 << bits) - 1)).astype(np.int64)
+    return (((words[at >> 6] >> shift) | spill) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+
+
+def lengths_of(numbers: np.ndarray) -> np.ndarray:
+    """Binary digits of numbers below 2**53."""
+    return np.frexp(numbers.astype(np.float64))[1].astype(np.int64)
+
+
+def by_length(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers as their lengths, which compress, and the bytes of all digits behind the first, which do not. A word's digits are as good as even once its length is known."""
+    lengths = lengths_of(a)
+    bits = np.maximum(lengths - 1, 0)
+    return lengths, packed(a, bits).view(np.uint8)[: -(-int(bits.sum()) // 8)]
+
+
+def of_lengths(lengths: np.ndarray, digits: np.ndarray) -> np.ndarray:
+    """What ``by_length`` was given."""
+    bits = np.maximum(lengths - 1, 0)
+    ends = np.cumsum(bits)
+    words = np.zeros((int(ends[-1]) if len(ends) else 0) // 64 + 2, np.uint64)
+    words.view(np.uint8)[: len(digits)] = digits
+    return np.where(lengths > 0, taken(words, bits, ends - bits) | (np.int64(1) << bits), 0)
+
+
+def unusual(a: np.ndarray, usual: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gaps of the places of numbers that are not ``usual``, and these numbers."""
+    at = np.flatnonzero(a != usual)
+    return gaps(at), a[at]
+
+
+def usually(n: int, usual: int, gap: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """The n numbers that ``unusual`` was given."""
+    out = np.full(n, usual, np.int64)
+    out[np.cumsum(gap)] = others
+    return out
 
 
 class EliasFano:
@@ -146,23 +197,24 @@ class Level:
         words = np.memmap(path, np.uint64, "r")
         sizes = words[1 : 1 + int(words[0])].astype(np.int64)
         parts = np.split(words[1 + len(sizes) :], np.cumsum(sizes)[:-1])
-        self.contexts, self.pointers, self.successors = map(EliasFano, parts[:3])
-        self.code_bits, self.packed_codes = int(parts[3][0]), parts[3][1:]
+        self.contexts, self.pointers, self.successors, self.sums = map(EliasFano, parts)
 
     def codes(self, nodes: np.ndarray) -> np.ndarray:
-        return unpacked(self.packed_codes, self.code_bits, nodes)
+        """The numbers that nodes were built with."""
+        return self.sums[nodes + 1] - self.sums[nodes]
+
+    def all_codes(self) -> np.ndarray:
+        return np.diff(self.sums[np.arange(self.sums.n)])
 
     @staticmethod
     def build(contexts: np.ndarray, words: np.ndarray, codes: np.ndarray) -> bytes:
-        """Rows by ascending (context, word)."""
+        """Rows by ascending (context, word), each with a number from 0 up."""
         n = len(contexts)
         first = np.flatnonzero(np.diff(contexts, prepend=-1))
         last = np.append(first[1:], n) - 1 if n else first
         base = np.cumsum(words[last] + 1) - (words[last] + 1)
         values = np.repeat(base, np.diff(np.append(first, n))) + words + 1
-        bits = int(codes.max()).bit_length() if n else 0
-        own = np.append(np.uint64(bits), packed(codes, bits))
-        parts = [EliasFano.build(contexts[first]), EliasFano.build(np.append(first, n)), EliasFano.build(values), own]
+        parts = [EliasFano.build(contexts[first]), EliasFano.build(np.append(first, n)), EliasFano.build(values), EliasFano.build(np.cumsum(np.append(0, codes)))]
         return b"".join(p.tobytes() for p in [np.array([len(parts), *map(len, parts)], np.uint64), *parts])
 
     def find(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -201,13 +253,27 @@ def code_of(p: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(-np.log10(p) * STEP), 65534).astype(np.int64)
 
 
+def learned_words(b: Block) -> np.ndarray:
+    """How often the block's training documents have each word."""
+    return np.bincount(b.tokens, weights=np.repeat(learns(b), b.lengths), minlength=len(b.words)).astype(np.int64)
+
+
+def alphabetic(words: list[bytes]) -> np.ndarray:
+    """Each word's place in order: lists of words in order are short when compressed."""
+    return pc.rank(pa.array(words, pa.large_binary())).to_numpy().astype(np.int64)
+
+
 def ask_words(shards: int):
     """A block's words with how often its training documents have them."""
 
     def ask(b: Block, number: int):
-        learned = np.bincount(b.tokens, weights=np.repeat(learns(b), b.lengths), minlength=len(b.words)).astype(np.int64)
-        key = word_keys(b.words)
-        return asks(key, number, shards, lambda at: pack(learned[at], meta=blocks.NEXT.join(b.words[i] if b.words[i] != END else b"" for i in at)))
+        learned = learned_words(b)
+
+        def payload(i: np.ndarray) -> bytes:
+            raw = blocks.NEXT.join([b.words[j] if b.words[j] != END else b"" for j in i])
+            return pack(*unusual(learned[i], 1), meta=(len(raw), pa.compress(raw, "zstd", asbytes=True)))
+
+        return asks(word_keys(b.words), number, shards, payload, (alphabetic(b.words),))
 
     return ask
 
@@ -217,32 +283,67 @@ def learns(b: Block) -> np.ndarray:
 
 
 def answer_words(shards: int):
-    """Numbers (from 1, 0: not in training) and counts; about the shard: occurrences and distinct words in training."""
+    """How often other blocks have a word in training, the first block that has it, and gaps of the numbers (of words that training has) in ascending order; about the shard: occurrences and distinct words in training."""
 
     def answer(shard: int, ids: list[int], payloads: list[bytes]):
         total: dict[bytes, int] = {}
+        home: dict[bytes, int] = {}
         given = []
-        for p in payloads:
-            meta, (counts,) = unpack(p)
-            words = meta.split(blocks.NEXT)
-            given.append(words)
+        for at, p in enumerate(payloads):
+            (size, raw), counts = unpack(p)
+            words = pa.decompress(raw, size, "zstd", asbytes=True).split(blocks.NEXT)
+            counts = usually(len(words), 1, *counts)
+            given.append((words, counts))
             for w, c in zip(words, counts.tolist(), strict=True):
                 total[w] = total.get(w, 0) + c
-        known = sorted((w for w, c in total.items() if c), key=lambda w: (-total[w], w))  # frequent words have small numbers
-        number = {w: i * shards + shard + 1 for i, w in enumerate(known)}
-        for i, words in zip(ids, given, strict=True):
-            yield i, pack(np.array([number.get(w, 0) for w in words], np.int64), np.array([total[w] for w in words], np.int64))
+                home.setdefault(w, at)
+        # words of large counts first; words come by home and then in order, and stay so where counts are as long
+        known = sorted((w for w, c in total.items() if c), key=lambda w: -total[w].bit_length())
+        number = {w: i for i, w in enumerate(known)}
+        for i, (words, counts) in zip(ids, given, strict=True):
+            numbers = np.array([number[w] for w in words if w in number], np.int64)
+            others = np.array([total[w] for w in words], np.int64) - counts
+            yield i, pack(*unusual(others, 0), np.array([home[w] for w in words], np.int64), gaps(np.sort(numbers)), meta=(shard, len(words)))
         yield None, pack(np.array([sum(total.values()), len(known)], np.int64))
 
     return answer
 
 
+def answers(by: np.ndarray, own: np.ndarray, payloads: list[bytes], many: int, plain: Callable[..., list[np.ndarray]]) -> list[np.ndarray]:
+    """The ``many`` arrays that ``plain(shard, counts, arrays...)`` makes of each shard's answer, in the order of a block's entries.
+
+    ``by`` is the order in which the entries went to the shards, ``own`` the block's counts of them, to which the shards' are added.
+    """
+    parts, begin = [], 0
+    for p in payloads:
+        if p:
+            (shard, n), (gap, others, *rest) = unpack(p)
+            parts.append(plain(shard, own[by[begin : begin + n]] + usually(n, 0, gap, others), *rest))
+            begin += n
+    out = [np.zeros(len(by), np.int64) for _ in range(many)]
+    for a, some in zip(out, zip(*parts), strict=False):
+        a[by] = np.concatenate(some)
+    return out
+
+
+def word_answers(b: Block, shards: int, payloads: list[bytes]) -> list[np.ndarray]:
+    """Numbers (from 1, 0: not in training) and counts of the block's words."""
+
+    def plain(shard: int, count: np.ndarray, home: np.ndarray, gap: np.ndarray) -> list[np.ndarray]:
+        some = np.flatnonzero(count)
+        number = np.zeros(len(count), np.int64)
+        number[some[np.lexsort((home[some], -lengths_of(count[some])))]] = np.cumsum(gap) * shards + shard + 1
+        return [number, count]
+
+    return answers(arranged(word_keys(b.words), shards, (alphabetic(b.words),)), learned_words(b), payloads, 2, plain)
+
+
 class Text:
     """A block between the rounds: for each position the logarithm so far, its word, its context's number and count."""
 
-    def __init__(self, b: Block, total: int, distinct_words: int, mu: dict[int, float], min_context: int):
+    def __init__(self, b: Block, shards: int, payloads: list[bytes], total: int, distinct_words: int, mu: dict[int, float], min_context: int):
         self.b, self.mu, self.min_context = b, mu, min_context
-        number, count = b.kept("1")
+        number, count = word_answers(b, shards, payloads)
         self.number, self.known = number, count[b.tokens] > 0
         log = np.log10((count + 1) / (total + distinct_words + 1))
         self.base, self.log = np.bincount(b.doc, weights=log[b.tokens], minlength=len(b.lengths)), log[b.tokens].astype(np.float32)
@@ -269,84 +370,73 @@ class Text:
         salts = np.maximum(-(-self.seen[at] // SPLIT), 1)
         return context, word, mixed(context, mixed(word) % salts)
 
-    def ask(self, k: int, number: int, shards: int):
+    def learned(self, k: int) -> np.ndarray:
+        """How often the block's training documents have each n-gram."""
         at, which, every = self.grams(k)
-        learned = np.bincount(which, weights=learns(self.b)[self.b.doc[every]], minlength=len(at)).astype(np.int64)
-        lower, seen = code_of(10.0 ** self.log[at].astype(np.float64)), self.seen[at]
-        context, word, key = self.entries(at)
-
-        def payload(i: np.ndarray) -> bytes:
-            less = lower[i]
-            if k == 2:  # the shorter context of two words is none, so a word has one such probability
-                _, first = np.unique(word[i], return_index=True)
-                less = less[first]
-            return pack(gaps(context[i]), gaps_within(word[i], context[i]), learned[i], seen[i], less)
+        return np.bincount(which, weights=learns(self.b)[self.b.doc[every]], minlength=len(at)).astype(np.int64)
 
-        return asks(key, number, shards, payload, (context, word))
-
-    def answers(self, k: int, shards: int, payloads: list[bytes], last: bool) -> list[np.ndarray]:
+    def ask(self, k: int, number: int, shards: int):
         context, word, key = self.entries(self.grams(k)[0])
-        if last:
-            return answered(key, shards, payloads, 1, (context, word))
+        learned = self.learned(k)
+        return asks(key, number, shards, lambda i: pack(gaps(context[i]), *by_length(gaps_within(word[i], context[i])), *unusual(learned[i], 1)), (context, word))
 
-        def plain(shard: int, arrays: list[np.ndarray]) -> list[np.ndarray]:
-            code, over, nodes = arrays
-            number = np.zeros(len(code), np.int64)
-            number[over > 0] = np.cumsum(nodes) * shards + shard + 1
-            return [code, np.where(over > 0, over + self.min_context - 1, 0), number]
-
-        return answered(key, shards, payloads, 3, (context, word), plain)
-
-    def take(self, k: int, code: np.ndarray, times: np.ndarray | None = None, node: np.ndarray | None = None) -> None:
+    def take(self, k: int, shards: int, payloads: list[bytes], last: bool) -> None:
         """The answers of level k become each position's probability, and but for the last level the contexts of the next."""
         at, which, every = self.grams(k)
+        context, word, key = self.entries(at)
+
+        def plain(shard: int, times: np.ndarray, gap: np.ndarray | None = None) -> list[np.ndarray]:
+            if last:
+                return [times]
+            number = np.zeros(len(times), np.int64)
+            number[times >= self.min_context] = np.cumsum(gap) * shards + shard + 1
+            return [times, number]
+
+        times, *node = answers(arranged(key, shards, (context, word)), self.learned(k), payloads, 1 if last else 2, plain)
+        lower, seen = code_of(10.0 ** self.log[at].astype(np.float64)), self.seen[at]
+        code = code_of(np.minimum((times + self.mu[k] * 10.0 ** (-lower / STEP)) / (seen + self.mu[k]), 1.0))
         has = np.flatnonzero(self.seen >= (self.min_context if k > 2 else 1))
         self.log[has] += np.log10(self.mu[k] / (self.seen[has] + self.mu[k]))  # of words that training does not have
         self.log[every] = -(code / STEP)[which]
-        if times is None:
+        if last:
             return
         spread = np.zeros(len(self.log), np.int64)
-        for name, a in (("seen", times[which]), ("context", node[which]), ("local", which + 1)):
+        for name, a in (("seen", np.where(times >= self.min_context, times, 0)[which]), ("context", node[0][which]), ("local", which + 1)):
             spread[every] = a
             setattr(self, name, self.before(spread))
         self.held = None
 
 
-def answer_grams(k: int, shards: int, folder: str, mu: float, min_context: int, last: bool):
-    """Codes of probabilities, whether training has the n-gram or not; but for the last level how far n-grams that are contexts of the next are over the least, and their nodes, which ascend."""
+def answer_grams(k: int, shards: int, folder: str, min_context: int, last: bool):
+    """How often other blocks have the n-grams in training; but for the last level also gaps of the numbers of those that are contexts of the next, which ascend."""
 
     def answer(shard: int, ids: list[int], payloads: list[bytes]):
         if not ids:
             return
-        parts = [unpack(p)[1] for p in payloads]
-        for p in parts:
-            p[0] = np.cumsum(p[0])
-            p[1] = summed_within(p[1], p[0])
-            if k == 2:
-                p[4] = p[4][np.unique(p[1], return_inverse=True)[1]]
+        parts = []
+        for p in payloads:
+            gap, lengths, digits, *counts = unpack(p)[1]
+            context = np.cumsum(gap)
+            parts.append((context, summed_within(of_lengths(lengths, digits), context), usually(len(context), 1, *counts)))
         cut = np.cumsum([0, *(len(p[0]) for p in parts)])
-        context, word, learned, seen, lower = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        context, word, learned = (np.concatenate([p[i] for p in parts]) for i in range(3))
         del parts
         first, which = distinct(context, word)
         times = np.bincount(which, weights=learned, minlength=len(first)).astype(np.int64)
-        context, word, seen, lower = context[first], word[first], seen[first], lower[first]
+        context, word = context[first], word[first]
         some = np.flatnonzero(times)
-        p = (times[some] + mu * 10.0 ** (-lower[some] / STEP)) / (seen[some] + mu)
         uri = f"{folder}/{k}/{shard:06d}.level"
-        data = Level.build(context[some], word[some], code_of(np.minimum(p, 1.0)))
+        data = Level.build(context[some], word[some], times[some])
         put_file(uri, lambda out: out.write(data))
         level = mapped(uri)
         node = level.find(context, word)
-        has = node >= 0
-        code = code_of(np.minimum(mu * 10.0 ** (-lower / STEP) / (seen + mu), 1.0))
-        code[has] = level.codes(node[has])
-        over = np.maximum(times - min_context + 1, 0)
+        counts = level.all_codes()
+        times = np.where(node >= 0, np.append(counts, 0)[node], 0)
+        number = np.append(np.cumsum(counts >= min_context) - 1, 0)[node]  # contexts of the next level are numbered among themselves
         for i, lo, hi in zip(ids, cut[:-1], cut[1:], strict=True):
             own = which[lo:hi]
-            if last:
-                yield i, pack(code[own])
-            else:
-                yield i, pack(code[own], over[own], gaps(node[own][over[own] > 0]), meta=shard)
+            others, meta = unusual(times[own] - learned[lo:hi], 0), (shard, int(hi - lo))
+            yield i, pack(*others, meta=meta) if last else pack(*others, gaps(number[own][times[own] >= min_context]), meta=meta)
 
     return answer
 
@@ -355,45 +445,35 @@ def scored(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     """``id_col``, n_tokens, n_known (tokens that training has), train_tokens, base_score (the words alone), score, for every row; learned from rows where ``learn`` holds."""
     spark, mu = docs.sparkSession, mu or MU
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
-    of = blocks.blocks_of(rows, lambda text, batch, i: [*text.lower().split(), END], "lm-blocks")
+    of = blocks.blocks_of(rows, lambda text, batch, i: [*text.lower().split(), END], "lm-blocks", BLOCK)
     shards, folder = of.shards, shared_dir(spark, "lm-trie")
     came = written(spark, blocks.by_shard(blocks.first_asks(of, ask_words(shards)), of, answer_words(shards)), "lm-words")
     total, vocabulary = (sum(x) for x in zip((0, 0), *(unpack(r[0])[1][0].tolist() for r in came.where("block is null").select("payload").toLocalIterator()), strict=True))
 
-    def replayed(uri: str, k: int) -> Text:
-        text = Text(Block(uri), total, vocabulary, mu, min_context)
-        for j in range(2, k):
-            text.take(j, *text.b.kept(str(j)))
-        return text
-
-    def learned_words(number: int, uri: str, payloads: list[bytes]) -> Text:
-        b = Block(uri)
-        b.keep("1", *answered(word_keys(b.words), shards, payloads, 2))
-        return Text(b, total, vocabulary, mu, min_context)
-
     def received(k: int, uri: str, payloads: list[bytes]) -> Text:
-        text = replayed(uri, k)
-        got = text.answers(k, shards, payloads, k == order)
+        """A block after the answers of level k, which it keeps as they came for the rounds behind."""
         if k < order:
-            text.b.keep(str(k), *got)
-        text.take(k, *got)
+            blocks.write(f"{uri}.{k}", payloads)
+        told = lambda j: payloads if j == k else blocks.read(f"{uri}.{j}")
+        text = Text(Block(uri), shards, told(1), total, vocabulary, mu, min_context)
+        for j in range(2, k + 1):
+            text.take(j, shards, told(j), j == order)
         return text
 
     def step(k: int):
         def run(number: int, uri: str, payloads: list[bytes]) -> pa.Table:
-            text = learned_words(number, uri, payloads) if k == 2 else received(k - 1, uri, payloads)
-            return blocks.sent(text.ask(k, number, shards))
+            return blocks.sent(received(k - 1, uri, payloads).ask(k, number, shards))
 
         return run
 
     for k in range(2, order + 1):
         # one job to the end: shuffles keep what a lost executor had, tables between would only be further copies
-        came = blocks.by_shard(blocks.by_block(came, of, step(k), blocks.ROW), of, answer_grams(k, shards, folder, mu[k], min_context, k == order))
+        came = blocks.by_shard(blocks.by_block(came, of, step(k), blocks.ROW), of, answer_grams(k, shards, folder, min_context, k == order))
 
     kind = rows.schema["id"].dataType.simpleString()
 
     def last(number: int, uri: str, payloads: list[bytes]) -> pa.Table:
-        text = learned_words(number, uri, payloads) if order == 1 else received(order, uri, payloads)
+        text = received(order, uri, payloads)
         b, n = text.b, len(text.b.lengths)
         sums = [text.base, np.bincount(b.doc, weights=text.log, minlength=n)]
         known = np.bincount(b.doc, weights=text.known, minlength=n).astype(np.int64)
