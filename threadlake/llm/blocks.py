@@ -89,8 +89,10 @@ def distinct(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(a row of each distinct key, ascending; which of them each row is)"""
     order = ordered(*keys)
     new = np.zeros(len(order), bool)
+    new[:1] = True
     for k in keys:
-        new |= np.diff(k[order], prepend=-1) != 0
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     which = np.empty(len(order), np.int64)
     which[order] = np.cumsum(new) - 1
     return order[new], which

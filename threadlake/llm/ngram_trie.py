@@ -126,17 +126,17 @@ def usually(n: int, usual: int, gap: np.ndarray, others: np.ndarray) -> np.ndarr
 
 
 class EliasFano:
-    """An ascending sequence of numbers: low bits packed, high bits in unary with a directory of ones before each 64-bit word."""
+    """An ascending sequence of numbers: low bits packed, high bits in unary. How many ones are before each 64-bit word is counted when it is opened."""
 
     def __init__(self, words: np.ndarray):
         self.n, self.low_bits, highs = int(words[0]), int(words[1]), int(words[2])
-        self.low = words[3 : len(words) - 2 * highs]
-        self.high = words[len(words) - 2 * highs : len(words) - highs]
-        self.before = words[len(words) - highs :].view(np.int64)
+        self.low, self.high = words[3 : len(words) - highs], words[len(words) - highs :]
+        ones = np.bitwise_count(self.high)
+        self.before = np.cumsum(ones, dtype=np.int64) - ones
 
     @staticmethod
     def build(values: np.ndarray) -> np.ndarray:
-        """The sequence as 64-bit words: number, low bits, words of high bits, then low, high and the directory."""
+        """The sequence as 64-bit words: number, low bits, words of high bits, then low and high."""
         n, v = len(values), values.astype(np.uint64)
         universe = int(v[-1]) + 1 if n else 1
         bits = max(0, (universe // max(n, 1)).bit_length() - 1)
@@ -146,8 +146,7 @@ class EliasFano:
             word = place >> 6
             first = np.flatnonzero(np.diff(word, prepend=-1))
             high[word[first]] = np.bitwise_or.reduceat(np.uint64(1) << (place & 63).astype(np.uint64), first)
-        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        return np.concatenate([np.array([n, bits, len(high)], np.uint64), packed(v, bits), high, (ones - np.bitwise_count(high)).view(np.uint64)])
+        return np.concatenate([np.array([n, bits, len(high)], np.uint64), packed(v, bits), high])
 
     def _select(self, before: np.ndarray, words: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Where the k-th (from 0) set bit is, of bits with ``before`` set ones before each word."""
@@ -271,7 +270,7 @@ def ask_words(shards: int):
 
         def payload(i: np.ndarray) -> bytes:
             raw = blocks.NEXT.join([b.words[j] if b.words[j] != END else b"" for j in i])
-            return pack(*unusual(learned[i], 1), meta=(len(raw), pa.compress(raw, "zstd", asbytes=True)))
+            return pack(*unusual(learned[i], 1), meta=(len(raw), pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)))
 
         return asks(word_keys(b.words), number, shards, payload, (alphabetic(b.words),))
 
@@ -344,6 +343,7 @@ class Text:
     def __init__(self, b: Block, shards: int, payloads: list[bytes], total: int, distinct_words: int, mu: dict[int, float], min_context: int):
         self.b, self.mu, self.min_context = b, mu, min_context
         number, count = word_answers(b, shards, payloads)
+        b.words = []  # they have their numbers
         self.number, self.known = number, count[b.tokens] > 0
         log = np.log10((count + 1) / (total + distinct_words + 1))
         self.base, self.log = np.bincount(b.doc, weights=log[b.tokens], minlength=len(b.lengths)), log[b.tokens].astype(np.float32)
@@ -353,14 +353,16 @@ class Text:
         self.held = None
 
     def before(self, a: np.ndarray) -> np.ndarray:
-        out = np.where(self.inner, np.roll(a, 1), 0)
-        return out.astype(np.int64)
+        out = np.zeros(len(a), a.dtype)
+        out[1:] = a[:-1]
+        out *= self.inner
+        return out
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(positions of the distinct n-grams to ask for, which of them each open position has, the open positions)."""
         if self.held is None:
             every = np.flatnonzero((self.seen >= (self.min_context if k > 2 else 1)) & self.known)
-            first, which = distinct(self.local[every], self.b.tokens[every].astype(np.int64))
+            first, which = distinct(self.local[every], self.b.tokens[every])
             self.held = every[first], which.astype(np.int32), every.astype(np.int32)
         return self.held
 
@@ -400,9 +402,11 @@ class Text:
         self.log[every] = -(code / STEP)[which]
         if last:
             return
-        spread = np.zeros(len(self.log), np.int64)
-        for name, a in (("seen", np.where(times >= self.min_context, times, 0)[which]), ("context", node[0][which]), ("local", which + 1)):
-            spread[every] = a
+        del at, context, word, key, lower, seen, code, has
+        for name, a in (("seen", np.where(times >= self.min_context, times, 0)), ("context", node[0]), ("local", np.arange(1, len(times) + 1, dtype=np.int32))):
+            setattr(self, name, None)
+            spread = np.zeros(len(self.log), a.dtype)
+            spread[every] = a[which]
             setattr(self, name, self.before(spread))
         self.held = None
 
