@@ -139,7 +139,7 @@ def test_held_out_texts_score_better_than_by_words_alone(spark):
 
 
 def test_blocks_keep_little_of_what_shards_answer(spark, monkeypatch):
-    """Answers are what a block cannot know: under 0.7 bytes a token where they were 2.1."""
+    """Answers are what a block cannot know: under 0.7 bytes a token where they were 0.90 in one block."""
     monkeypatch.setattr(blocks, "BLOCK_BYTES", 400_000)
     base = Path(shared_base(spark).removeprefix("file://"))
     old = set(base.glob("lm-*")) if base.exists() else set()
